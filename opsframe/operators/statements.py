@@ -27,10 +27,19 @@ STATIC_SCHEMAS = ("QSYS", "QSYS2", "QTEMP", "SESSION", "SYSIBM", "QUSRSYS", "QUS
 _STATEMENT = "statement_number"
 
 
+def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    A filter on a plain computed column is pushed beneath its projection, which
+    evaluates the expression a second time; it is not pushed beneath a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_references(statements: DataFrame, name: str = "references") -> DataFrame:
     """Statements with an array of the table references in their text."""
-    masked = statements.withColumn("_masked", mask_text(F.col("statement_text")))
-    return masked.withColumn(name, reference_array(F.col("_masked"))).drop("_masked")
+    masked = _computed_once(statements, "_masked", mask_text(F.col("statement_text")))
+    return _computed_once(masked, name, reference_array(F.col("_masked"))).drop("_masked")
 
 
 def table_references(statements: DataFrame) -> DataFrame:
@@ -94,7 +103,8 @@ def strip_references(
     chained = F.filter("_refs", lambda r, i: r["seq"] == i + 1)
     if guarded:
         grouped = grouped.where(F.exists("_refs", lambda r: _needs_strip(r["schema"], static)))
-    return _finish(grouped.withColumn("_schemas", F.transform(chained, lambda r: r["schema"])), guarded, mode, static, keep_static, whole_word)
+    schemas = grouped.withColumn("_schemas", F.transform(chained, lambda r: r["schema"]))
+    return _finish(schemas, guarded, mode, static, keep_static, whole_word)
 
 
 def strip_statements(
@@ -119,10 +129,9 @@ def strip_statements(
 
 def _finish(found: DataFrame, guarded: bool, mode: str, static, keep_static: bool, whole_word: bool) -> DataFrame:
     text = _stripped(F.col("original_statement"), F.col("_schemas"), guarded, mode, static, keep_static, whole_word)
-    return found.where(F.size("_schemas") > 0).select(
-        _STATEMENT,
-        text.alias("statement_text_parsed"),
-        "original_statement",
+    found = found.where(F.size("_schemas") > 0)
+    return _computed_once(found, "statement_text_parsed", text).select(
+        _STATEMENT, "statement_text_parsed", "original_statement"
     )
 
 

@@ -59,7 +59,7 @@ select l_returnflag as collection_id, l_orderkey as intnum, l_shipdate as dtetim
 from {lineitem}"""
 
 JOB_SAMPLES = f"""
-select {_HOUR} as intnum, min(date_trunc('hour', ts)) as datetime,
+select {_HOUR} as intnum, min(ts) as datetime,
   case when event_type = 'view' then 1 else 2 end as smmbdd,
   cast(sum({_CENTS} % 40) as double) / 4 as smmtcpup, count(*) as smmnum,
   {_text('max(user_id)', 6)} as smmmcnbr, 'USER' || {_text('min(user_id)')} || '  ' as smmmcuser, 'QPADEV' as smmmcname

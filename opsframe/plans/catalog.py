@@ -27,7 +27,8 @@ from opsframe.operators import (
 from opsframe.operators.collections import active_collections
 from opsframe.plans.bindings import derived
 from opsframe.sources import archive, members
-from opsframe.sources.tables import read_tables
+from opsframe.sources.durable import settle
+from opsframe.sources.tables import read_tables, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -232,19 +233,23 @@ def statement_search(spark, folder):
 # Statement texts ------------------------------------------------------------
 
 
+def _texts(spark, folder, name="statements"):
+    return spread(derived(spark, folder, name))
+
+
 @query
 def table_references(spark, folder):
-    return statements.table_references(derived(spark, folder, "statements"))
+    return statements.table_references(_texts(spark, folder))
 
 
 @query
 def table_references_in_prose(spark, folder):
-    found = statements.table_references(derived(spark, folder, "document_statements"))
+    found = statements.table_references(_texts(spark, folder, "document_statements"))
     return found.drop("statement_text")
 
 
 def _references(spark, folder):
-    return statements.table_references(derived(spark, folder, "statements"))
+    return statements.table_references(_texts(spark, folder))
 
 
 @query
@@ -254,7 +259,7 @@ def strip_all(spark, folder):
 
 @query
 def strip_all_in_row(spark, folder):
-    return statements.strip_statements(derived(spark, folder, "statements"), guarded=False, mode="null")
+    return statements.strip_statements(_texts(spark, folder), guarded=False, mode="null")
 
 
 @query
@@ -264,13 +269,13 @@ def strip_guarded(spark, folder):
 
 @query
 def strip_guarded_in_row(spark, folder):
-    return statements.strip_statements(derived(spark, folder, "statements"), mode="stop", static=STATIC_PROOF)
+    return statements.strip_statements(_texts(spark, folder), mode="stop", static=STATIC_PROOF)
 
 
 @query
 def strip_guarded_skipping(spark, folder):
     return statements.strip_statements(
-        derived(spark, folder, "statements"), mode="skip", static=STATIC_PROOF, keep_static=True
+        _texts(spark, folder), mode="skip", static=STATIC_PROOF, keep_static=True
     )
 
 
@@ -294,7 +299,7 @@ def strip_audit_dirty(spark, folder):
 
 @query
 def strip_audit_in_row(spark, folder):
-    texts = derived(spark, folder, "statements")
+    texts = _texts(spark, folder)
     audits = [
         statements.audit_statements(texts, dirty, STATIC_PROOF).select(F.lit(name).alias("audit"), "*")
         for name, dirty in (("clean", False), ("dirty", True))
@@ -304,7 +309,7 @@ def strip_audit_in_row(spark, folder):
 
 @query
 def strip_sizes(spark, folder):
-    texts = derived(spark, folder, "statements")
+    texts = _texts(spark, folder)
     stripped = statements.strip_statements(texts, mode="stop", static=STATIC_PROOF)
     sizes = [
         statements.table_sizes(df).select(F.lit(name).alias("level"), "*")
@@ -314,7 +319,7 @@ def strip_sizes(spark, folder):
 
 
 def _fingerprinted(spark, folder):
-    return statements.strip_statements(derived(spark, folder, "statements"), mode="stop", static=STATIC_PROOF)
+    return statements.strip_statements(_texts(spark, folder), mode="stop", static=STATIC_PROOF)
 
 
 @query
@@ -322,14 +327,19 @@ def fingerprint_counts(spark, folder):
     return statements.fingerprint_counts(_fingerprinted(spark, folder))
 
 
+def _xref(spark, folder):
+    # The cross-reference reads its input twice: keep the stripped texts first.
+    return statements.statement_xref(settle(_fingerprinted(spark, folder)))
+
+
 @query
 def statement_xref(spark, folder):
-    return statements.statement_xref(_fingerprinted(spark, folder))
+    return _xref(spark, folder)
 
 
 @query
 def statement_xref_sizes(spark, folder):
-    return statements.table_sizes(statements.statement_xref(_fingerprinted(spark, folder)))
+    return statements.table_sizes(_xref(spark, folder))
 
 
 # Checks and comparisons -----------------------------------------------------
