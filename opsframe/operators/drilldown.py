@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Record ids, operation codes, file-name columns, display order.
@@ -55,9 +55,10 @@ def plan_drilldown(
     record) and the greatest thread remain; records without a thread stay.
     ``statement`` replaces the condition that picks the statement.
 
-    The two maxima are grouped aggregates joined back. They look only at keys the
-    statement uses: a semi join whose small side adaptive execution broadcasts
-    when its measured size allows.
+    Both maxima come from one aggregate per key, refresh and record type, which
+    also looks at records of other statements with the same key. For a single
+    statement it only reads the keys that statement uses: a semi join whose small
+    side adaptive execution broadcasts when its measured size allows.
     """
     c = F.col
     chosen = statement if statement is not None else (
@@ -66,21 +67,21 @@ def plan_drilldown(
         & (c("qqjnum") == number)
         & (c("qqucnt") == unique_count)
     )
-    records = monitor.where(chosen & c("qqrid").isin(*PLAN_RECORDS))
-    keys = records.select("qqjfld").distinct()
-    same_keys = monitor.join(keys, "qqjfld", "left_semi")
-    refresh = (
-        same_keys.where((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0))
-        .groupBy("qqjfld")
-        .agg(F.max("qvrcnt").alias("qvrcnt"))
-    )
-    thread = (
-        same_keys.where(c("qqrid").isin(*PLAN_RECORDS))
-        .groupBy("qqjfld", "qvrcnt", "qqrid")
+    plan_records = monitor.where(c("qqrid").isin(*PLAN_RECORDS))
+    records = plan_records.where(chosen)
+    considered = plan_records
+    if statement is None:
+        considered = plan_records.join(records.select("qqjfld").distinct(), "qqjfld", "left_semi")
+    optimized = F.when((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0), c("qvrcnt"))
+    latest = (
+        considered.groupBy("qqjfld", "qvrcnt", "qqrid")
         .agg(F.max("qqsmintf").alias("_last_thread"))
+        .withColumn("_latest", F.max(optimized).over(Window.partitionBy("qqjfld")))
+        .where(c("qvrcnt") == c("_latest"))
+        .drop("_latest")
     )
-    latest = records.join(refresh, ["qqjfld", "qvrcnt"], "left_semi").join(thread, ["qqjfld", "qvrcnt", "qqrid"])
-    plan = latest.where(c("qqsmintf").isNull() | (c("qqsmintf") == c("_last_thread"))).select(*monitor.columns)
+    matched = records.join(latest, ["qqjfld", "qvrcnt", "qqrid"])
+    plan = matched.where(c("qqsmintf").isNull() | (c("qqsmintf") == c("_last_thread"))).select(*monitor.columns)
     header = monitor.where(c("qqrid") == HEADER)
     return plan.unionByName(header).withColumn("sortqqrid", _display_order()).orderBy("sortqqrid", "qqjfld")
 

@@ -1,4 +1,8 @@
-"""Performance list of explainable statements from query-monitor records."""
+"""Performance list of explainable statements from query-monitor records.
+
+Maxima of text make Spark aggregate by sorting; a digest in front of the group
+keys lets those sorts compare one long, as keys tend to share their first bytes.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import div, from_units, ratio_cut
+from opsframe.sources.durable import settle
 
 # Record ids and operation codes of the monitor.
 STATEMENT, OPTIMIZER, STATISTICS, RETRIEVAL, INDEX = 1000, 3014, 3015, 3019, 3020
@@ -48,13 +53,16 @@ def performance_list(monitor: DataFrame) -> DataFrame:
     """Per statement key and thread: times, runs and rows, with what the optimizer
     and the retrieval records of the same refresh say about the key.
 
-    Every record stream is aggregated on its key before it meets another one, so
-    a key with a third of all records shrinks on the map side; what is joined are
-    single rows per key.
+    Statement records and plan records are each scanned once and aggregated on
+    their key before they meet, so a key with a third of all records shrinks on
+    the map side. The statement aggregates, one row per key and thread, decide
+    three things (which keys count, which refreshes, the list itself) and are
+    settled first, or each use would scan the monitor again.
     """
-    runs = _statement_runs(monitor).join(_explainable_keys(monitor), _KEY, "left_semi")
-    wanted = runs.select(_KEY, _REFRESH).distinct()
-    details = _plan_details(monitor, wanted)
+    threads = settle(_statement_threads(monitor))
+    explainable = threads.where("_explainable").select(_KEY).distinct()
+    runs = threads.where(F.col("total_times_run") > 0).join(explainable, _KEY, "left_semi")
+    details = _plan_details(monitor, runs.select(_KEY, _REFRESH).distinct())
     joined = runs.join(details, _KEY, "left")
     times = F.col("total_times_run")
     return joined.select(
@@ -88,46 +96,44 @@ def by_total_time(listed: DataFrame) -> DataFrame:
     return listed.orderBy(F.desc("qqi6_total"), _KEY)
 
 
-def _explainable_keys(monitor: DataFrame) -> DataFrame:
-    explainable = (F.col("qvc1c") == "Y") | (F.col("qqi8") >= 0)
-    return (
-        monitor.where((F.col("qqrid") == STATEMENT) & F.col("qq1000l").isNotNull() & (F.col("qqucnt") > 0) & explainable)
-        .select(_KEY)
-        .distinct()
-    )
-
-
-def _statement_runs(monitor: DataFrame) -> DataFrame:
+def _statement_threads(monitor: DataFrame) -> DataFrame:
+    """Aggregates of the complete, listed statement records per key and thread,
+    and whether any statement record of the group makes the key explainable."""
     c = F.col
     listed = (c("qvc1c") == "Y") | c("qqc21").isin(*LISTED_OPERATIONS)
     complete = c("qqstim").isNotNull() & c("qqetim").isNotNull() & c("qq1000").isNotNull()
-    records = monitor.where((c("qqrid") == STATEMENT) & complete & listed).select(
+    explainable = c("qq1000l").isNotNull() & (c("qqucnt") > 0) & ((c("qvc1c") == "Y") | (c("qqi8") >= 0))
+    taken = F.coalesce(complete & listed, F.lit(False))
+    marks = F.coalesce(explainable, F.lit(False))
+    measures = {
+        "qqucnt": c("qqucnt"),
+        _REFRESH: c("qvrcnt"),
+        "_worst": F.coalesce("qvp15d", "qqi6"),
+        "_total": c("qqi6"),
+        "_runs": F.coalesce("qvp15f", _is_query()),
+        "_rows": F.coalesce("qqi3", F.when(c("qqi2") < 0, 0).otherwise(c("qqi2"))),
+        "_text": F.when(_is_query() == 1, c("qq1000l")),
+        "qqstim": c("qqstim"),
+        "current_user": c("qvc102"),
+        **{name: c(name) for name in ("qqjob", "qquser", "qqjnum", "qqsys", "qqrdbn", "qqudef")},
+    }
+    records = monitor.where(c("qqrid") == STATEMENT).select(
         _KEY,
-        "qqucnt",
-        c("qvrcnt").alias(_REFRESH),
         F.when(c("qxc16") == THREADED, c("qqsmintf")).alias(_THREAD),
-        F.coalesce("qvp15d", "qqi6").alias("_worst"),
-        c("qqi6").alias("_total"),
-        F.coalesce("qvp15f", _is_query()).alias("_runs"),
-        F.coalesce("qqi3", F.when(c("qqi2") < 0, 0).otherwise(c("qqi2"))).alias("_rows"),
-        F.when(_is_query() == 1, c("qq1000l")).alias("_text"),
-        "qqstim", "qvc102", "qqjob", "qquser", "qqjnum", "qqsys", "qqrdbn", "qqudef",
-    )
+        taken.alias("_taken"),
+        marks.alias("_explainable"),
+        *[value.alias(name) for name, value in measures.items()],
+    )
+    folds = {_REFRESH: F.min, "qqstim": F.min, "_total": F.sum, "_rows": F.sum, "_runs": F.sum}
+    names = {"_runs": "total_times_run"}
     return (
-        records.groupBy(_KEY, _THREAD)
+        records.where("_taken OR _explainable")
+        .groupBy(F.xxhash64(_KEY).alias("_digest"), _KEY, _THREAD)
         .agg(
-            F.max("qqucnt").alias("qqucnt"),
-            F.min(_REFRESH).alias(_REFRESH),
-            F.max("_worst").alias("_worst"),
-            F.sum("_total").alias("_total"),
-            F.sum("_runs").alias("total_times_run"),
-            F.sum("_rows").alias("_rows"),
-            F.max("_text").alias("_text"),
-            F.min("qqstim").alias("qqstim"),
-            F.max("qvc102").alias("current_user"),
-            *[F.max(c).alias(c) for c in ("qqjob", "qquser", "qqjnum", "qqsys", "qqrdbn", "qqudef")],
+            F.bool_or("_explainable").alias("_explainable"),
+            *[folds.get(n, F.max)(F.when(c("_taken"), c(n))).alias(names.get(n, n)) for n in measures],
         )
-        .where(F.col("total_times_run") > 0)
+        .drop("_digest")
     )
 
 
@@ -163,7 +169,7 @@ def _plan_details(monitor: DataFrame, wanted: DataFrame) -> DataFrame:
     maxima = {"temp_storage": F.col("qqint03"), "qro_hash": of(OPTIMIZER, F.col("qqc83"))}
     per_refresh = (
         monitor.where(F.col("qqrid").isin(OPTIMIZER, STATISTICS, RETRIEVAL, INDEX))
-        .groupBy(_KEY, F.col("qvrcnt").alias(_REFRESH))
+        .groupBy(F.xxhash64(_KEY).alias("_digest"), _KEY, F.col("qvrcnt").alias(_REFRESH))
         .agg(
             *[F.sum(v).alias(n) for n, v in sums.items()],
             *[F.max(v).alias(n) for n, v in maxima.items()],

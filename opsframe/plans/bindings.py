@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.operators.monitor import STATEMENT_COLUMNS
-from opsframe.sources.tables import read_tables
+from opsframe.sources.tables import read_tables, spread
 
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -269,11 +269,18 @@ BINDINGS = {
 }
 
 
+# Derivations that are heavy per row, and the table whose rows they work on.
+_HEAVY = {"monitor": "lineitem", "statements": "orders", "document_statements": "documents"}
+
+
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived operational table as a DataFrame."""
     text = BINDINGS[name]
     used = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(text, **read_tables(spark, folder, *used))
+    tables = read_tables(spark, folder, *used)
+    if name in _HEAVY:
+        tables[_HEAVY[name]] = spread(tables[_HEAVY[name]])
+    return spark.sql(text, **tables)
 
 
 def with_clause(*names: str) -> str:

@@ -32,7 +32,7 @@ def like_table(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over all cores before work that is heavy per row.
+    """Spread a scanned table over all cores before work that is heavy per row.
 
     Only where its files give fewer tasks than there are cores, as one small file
     does; a table of many files is left as it is and nothing is shuffled.
