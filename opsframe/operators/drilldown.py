@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.sources.durable import settle
+
 # Record ids, operation codes, file-name columns, display order.
 STATEMENT, ACCESS_CHECK, OPTIMIZER, HEADER = 1000, 3010, 3014, 3018
 PLAN_RECORDS = (1000, 3004, 3007, 3010, 3014, 3015, 3019, 3023, 5002)
@@ -18,11 +20,13 @@ def records_with_statement(monitor: DataFrame) -> DataFrame:
     """Records of id 3010 with a statement record of the same key and refresh.
 
     Not matched are statements with a long-text object, cursor operations, and
-    updates or deletes positioned on a cursor.
+    updates or deletes positioned on a cursor. The statements' keys are settled:
+    adaptive execution splits a hot key only next to a side it reads as it is, not
+    next to one that is still being aggregated.
     """
     c = F.col
     positioned = c("qqc21").isin(*POSITIONED_OPERATIONS) & (F.rtrim(c("qqc181")) > "")
-    statements = (
+    statements = settle(
         monitor.where(
             (c("qqrid") == STATEMENT)
             & c("qqdbclob1").isNull()
@@ -55,10 +59,13 @@ def plan_drilldown(
     record) and the greatest thread remain; records without a thread stay.
     ``statement`` replaces the condition that picks the statement.
 
-    Both maxima come from one aggregate per key, refresh and record type, which
-    also looks at records of other statements with the same key. For a single
-    statement it only reads the keys that statement uses: a semi join whose small
-    side adaptive execution broadcasts when its measured size allows.
+    Both maxima are grouped aggregates, which also look at records of other
+    statements with the same key; they shrink on the map side, and the threads are
+    reduced to one row per refresh and record type before they meet the latest
+    refresh. The outcome, at most nine rows per key, is settled: next to a side that
+    is read as it is, adaptive execution can split the records of a hot key. For a
+    single statement only the keys it uses are read: a semi join whose small side
+    adaptive execution broadcasts when its measured size allows.
     """
     c = F.col
     chosen = statement if statement is not None else (
@@ -72,13 +79,15 @@ def plan_drilldown(
     considered = plan_records
     if statement is None:
         considered = plan_records.join(records.select("qqjfld").distinct(), "qqjfld", "left_semi")
-    optimized = F.when((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0), c("qvrcnt"))
-    latest = (
+    refresh = (
+        considered.where((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0))
+        .groupBy("qqjfld")
+        .agg(F.max("qvrcnt").alias("qvrcnt"))
+    )
+    latest = settle(
         considered.groupBy("qqjfld", "qvrcnt", "qqrid")
         .agg(F.max("qqsmintf").alias("_last_thread"))
-        .withColumn("_latest", F.max(optimized).over(Window.partitionBy("qqjfld")))
-        .where(c("qvrcnt") == c("_latest"))
-        .drop("_latest")
+        .join(refresh, ["qqjfld", "qvrcnt"], "left_semi")
     )
     matched = records.join(latest, ["qqjfld", "qvrcnt", "qqrid"])
     plan = matched.where(c("qqsmintf").isNull() | (c("qqsmintf") == c("_last_thread"))).select(*monitor.columns)

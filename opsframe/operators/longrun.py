@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import ago, at
 from opsframe.sources.archive import CAPTURE_TIME
+from opsframe.sources.durable import settle
 from opsframe.sources.tables import rtrim_text, with_defaults
 
 # Codes and verdicts, in the spelling callers compare with.
@@ -36,10 +37,11 @@ _CLIENT_COLUMNS = (
 def load_allowlist(rows: DataFrame) -> DataFrame:
     """Allowlist with one row per (profile, ip): defaults applied, padding and
     duplicates removed. Of differing duplicates the smallest allowance stays
-    (then the smaller limit flag), whatever order the rows came in."""
+    (then the smaller limit flag), whatever order the rows came in. The table is
+    settled, as loading it is what this job is for."""
     loaded = with_defaults(rtrim_text(rows), {"hard_limit": HARD_LIMIT_DEFAULT})
     entry = F.struct("allowed_query_min", "hard_limit")
-    return (
+    return settle(
         loaded.where(F.col("profile").isNotNull() & F.col("ip_address").isNotNull())
         .groupBy(*ALLOWLIST_KEY)
         .agg(F.min(entry).alias("_entry"))

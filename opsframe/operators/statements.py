@@ -20,6 +20,8 @@ from opsframe.functions.statement_text import (
     reference_array,
     strip_chain,
 )
+from opsframe.operators.lookup import weighted_lookup
+from opsframe.sources.durable import settle
 
 # Schemas that are the same on every system and stay in place.
 STATIC_SCHEMAS = ("QSYS", "QSYS2", "QTEMP", "SESSION", "SYSIBM", "QUSRSYS", "QUSRBRM")
@@ -186,21 +188,17 @@ def statement_xref(stripped: DataFrame) -> DataFrame:
     """Every statement with the greatest statement number of the same stripped text.
 
     Texts are compared by their SHA-256, so no text is shuffled. Each text shrinks
-    to one row on the map side before the exchange; the join back sends that one
-    row to the statements, and adaptive execution splits a text that a large part
-    of the statements share. Null texts match nothing.
+    to one row on the map side before the exchange; a text that many statements
+    share is then looked up without shuffling them (see ``weighted_lookup``). Null
+    texts match nothing.
     """
-    printed = stripped.select(_STATEMENT, _fingerprint()).where(F.col("_print").isNotNull())
-    latest = printed.groupBy("_print").agg(F.max(_STATEMENT).alias("_latest"))
-    return printed.join(latest, "_print").select(
+    printed = settle(stripped.select(_STATEMENT, _fingerprint()).where(F.col("_print").isNotNull()))
+    latest = settle(printed.groupBy("_print").agg(F.max(_STATEMENT).alias("_latest"), F.count("*").alias("_rows")))
+    return weighted_lookup(printed, latest, ["_print"], "_rows").select(
         F.col("_latest").alias(_STATEMENT),
         F.col(_STATEMENT).alias("related_statement_number"),
     )
 
 
-def xref_sizes(xref: DataFrame) -> DataFrame:
-    return table_sizes(xref)
-
-
 def _fingerprint() -> Column:
-    return F.sha2(F.col("statement_text_parsed"), 256).alias("_print")
+    return F.unhex(F.sha2(F.col("statement_text_parsed"), 256)).alias("_print")
