@@ -1,9 +1,9 @@
 """Time the queries on local[$BENCH_CPUS] over $BENCH_SF_DIR; prints one JSON line.
 
-``queries`` holds seconds per query, each computed in full without keeping the
-rows, the better of two runs. ``point_counts`` are single counts on each view
-form and ``sweep_seconds_per_count`` the cost of one count within a sweep: these
-compare with the published seconds per query.
+``queries`` holds seconds per query, from building it to its last row; rows are
+computed in full and not kept. ``point_counts`` are single counts, one after the
+other, on each view form and ``sweep_seconds_per_count`` is the cost of one count
+within a sweep: these compare with the published seconds per query.
 """
 
 from __future__ import annotations
@@ -13,19 +13,32 @@ import os
 import sys
 
 from opsframe import get_session
-from opsframe.plans.catalog import POINTS, QUERIES, point_count, view_sweep
+from opsframe.operators.partitions import count_where
+from opsframe.plans.catalog import POINTS, QUERIES, point_view, view_sweep
 from opsframe.timing import time_query, timeit
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 COUNTS_PER_SWEEP = 10_001
+POINT_RUNS = 20
+WARM_UP = ("recap_by_app", "long_runners")
 
 
 def best(build) -> float:
     return round(min(timeit(lambda: time_query(build())) for _ in range(RUNS)) / 1e6, 3)
 
 
+def count_seconds(view, fixed: dict) -> float:
+    """Seconds per count over a run of counts for different values."""
+
+    def run() -> None:
+        for i in range(POINT_RUNS):
+            count_where(view, **{**fixed, "dtanbr": i % 255}).collect()
+
+    return round(timeit(run) / 1e6 / POINT_RUNS, 4)
+
+
 def main() -> None:
     names = sys.argv[1:] or list(QUERIES)
     spark = get_session(
@@ -34,9 +47,10 @@ def main() -> None:
         **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()
+    for name in WARM_UP:
+        time_query(QUERIES[name](spark, FOLDER))
     seconds = {name: best(lambda: QUERIES[name](spark, FOLDER)) for name in names}
-    points = {name: best(lambda: point_count(spark, FOLDER, name)) for name in POINTS}
+    points = {name: count_seconds(point_view(spark, FOLDER, name), POINTS[name]) for name in POINTS}
     sweeps = {name: best(lambda: view_sweep(spark, FOLDER, name)) / COUNTS_PER_SWEEP for name in POINTS}
     print(
         json.dumps(

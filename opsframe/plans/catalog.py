@@ -293,12 +293,7 @@ def strip_audit_dirty(spark, folder):
 
 @query
 def strip_audit_in_row(spark, folder):
-    texts = derived(spark, folder, "statements")
-    audits = [
-        statements.audit_statements(texts, dirty, STATIC_PROOF).select(F.lit(name).alias("audit"), "*")
-        for name, dirty in (("clean", False), ("dirty", True))
-    ]
-    return audits[0].unionByName(audits[1])
+    return statements.audit_statements(derived(spark, folder, "statements"), STATIC_PROOF)
 
 
 @query
@@ -460,13 +455,16 @@ POINTS = {
 }
 
 
-def point_count(spark, folder, name):
-    return partitions.count_where(_views(spark, folder)[name], **POINTS[name])
+def point_view(spark, folder, name):
+    return _views(spark, folder)[name]
 
 
 @query
 def pv_point_counts(spark, folder):
-    counts = [point_count(spark, folder, name).select(F.lit(name).alias("view"), "n") for name in POINTS]
+    views = _views(spark, folder)
+    counts = [
+        partitions.count_where(views[name], **fixed).select(F.lit(name).alias("view"), "n") for name, fixed in POINTS.items()
+    ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
