@@ -66,7 +66,21 @@ def clock_label(stamp: Column) -> Column:
 
 
 def time_of_day(stamp: Column) -> Column:
-    return F.date_format(stamp, "HH:mm:ss")
+    """``HH:MM:SS``, from the fields so that no time zone comes into it."""
+    fields = [F.lpad(part(stamp).cast("string"), 2, "0") for part in (F.hour, F.minute, F.second)]
+    return F.concat(fields[0], F.lit(":"), fields[1], F.lit(":"), fields[2])
+
+
+def whole_minutes(start: Column, end: Column) -> Column:
+    """Whole minutes between two times, again without a time zone: a clock change
+    in the session's zone does not count."""
+    return div(_micros(end) - _micros(start), F.lit(60_000_000))
+
+
+def _micros(stamp: Column) -> Column:
+    minutes = (F.unix_date(F.to_date(stamp)) * F.lit(24) + F.hour(stamp)).cast("bigint") * 60 + F.minute(stamp)
+    seconds = F.extract(F.lit("SECOND"), stamp)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
 def parse_stamp12(text: Column) -> Column:

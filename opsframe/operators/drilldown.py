@@ -59,13 +59,11 @@ def plan_drilldown(
     record) and the greatest thread remain; records without a thread stay.
     ``statement`` replaces the condition that picks the statement.
 
-    Both maxima are grouped aggregates, which also look at records of other
-    statements with the same key; they shrink on the map side, and the threads are
-    reduced to one row per refresh and record type before they meet the latest
-    refresh. The outcome, at most nine rows per key, is settled: next to a side that
-    is read as it is, adaptive execution can split the records of a hot key. For a
-    single statement only the keys it uses are read: a semi join whose small side
-    adaptive execution broadcasts when its measured size allows.
+    Both maxima come from one aggregate per key, refresh and record type, which
+    also looks at records of other statements with the same key. It shrinks on the
+    map side and is settled, so that the monitor is read once for it. For a single
+    statement only the keys it uses are read: a semi join whose small side adaptive
+    execution broadcasts when its measured size allows.
     """
     c = F.col
     chosen = statement if statement is not None else (
@@ -79,16 +77,13 @@ def plan_drilldown(
     considered = plan_records
     if statement is None:
         considered = plan_records.join(records.select("qqjfld").distinct(), "qqjfld", "left_semi")
+    groups = settle(considered.groupBy("qqjfld", "qvrcnt", "qqrid").agg(F.max("qqsmintf").alias("_last_thread")))
     refresh = (
-        considered.where((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0))
+        groups.where((c("qqrid") == OPTIMIZER) & (c("qvrcnt") <= 0))
         .groupBy("qqjfld")
         .agg(F.max("qvrcnt").alias("qvrcnt"))
     )
-    latest = settle(
-        considered.groupBy("qqjfld", "qvrcnt", "qqrid")
-        .agg(F.max("qqsmintf").alias("_last_thread"))
-        .join(refresh, ["qqjfld", "qvrcnt"], "left_semi")
-    )
+    latest = groups.join(refresh, ["qqjfld", "qvrcnt"], "left_semi")
     matched = records.join(latest, ["qqjfld", "qvrcnt", "qqrid"])
     plan = matched.where(c("qqsmintf").isNull() | (c("qqsmintf") == c("_last_thread"))).select(*monitor.columns)
     header = monitor.where(c("qqrid") == HEADER)

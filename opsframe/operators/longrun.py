@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.functions.scalars import ago, at
+from opsframe.functions.scalars import ago, at, whole_minutes
 from opsframe.sources.archive import CAPTURE_TIME
 from opsframe.sources.durable import settle
 from opsframe.sources.tables import rtrim_text, with_defaults
@@ -77,7 +77,7 @@ def long_runners(
         "hard_limit",
     )
     listed = (F.col("profile") == F.col("_profile")) & (F.col("v_client_ip_address") == F.col("_ip"))
-    minutes = F.timestamp_diff("MINUTE", F.col("v_sql_stmt_start_timestamp"), at(as_of))
+    minutes = whole_minutes(F.col("v_sql_stmt_start_timestamp"), at(as_of))
     judged = statements.join(jobs, "job_name").join(limits, listed, "left").withColumn("run_mins", minutes)
     return judged.select(
         _verdict(unlisted_minutes).alias("kill_safe"),

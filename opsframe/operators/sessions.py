@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import ago, at, job_id, parse_stamp12, time_of_day
@@ -24,7 +24,9 @@ def session_activity(samples: DataFrame, as_of, age: str = "2 hours", idle: str
     keep the aggregation hash based, over text they would sort all samples.
     """
     stamp = F.col("_stamp")
-    recent = F.date_trunc("second", ago(as_of, age)).cast("timestamp_ntz")
+    # Stamps are whole seconds, so "from the second of as_of - age on" is "later
+    # than one second before it".
+    cutoff = ago(ago(as_of, age), "1 second")
     grouped = (
         samples.where(F.col("jbtype") == INTERACTIVE_TYPE)
         .select(
@@ -41,7 +43,7 @@ def session_activity(samples: DataFrame, as_of, age: str = "2 hours", idle: str
             F.min(stamp).alias("_first"),
             F.max(stamp).alias("_last"),
             F.sum("jbtcpu").alias("total_cpu"),
-            F.sum(F.when(stamp >= recent, F.col("jbtcpu")).otherwise(0)).alias("recent_cpu"),
+            F.sum(F.when(stamp > cutoff, F.col("jbtcpu")).otherwise(0)).alias("recent_cpu"),
         )
     )
     first, last = F.col("_first"), F.col("_last")
@@ -53,7 +55,7 @@ def session_activity(samples: DataFrame, as_of, age: str = "2 hours", idle: str
         time_of_day(first).alias("str_time"),
         time_of_day(last).alias("last_time"),
         _flag(carried).alias("yesterday"),
-        _flag(first < recent).alias("been_around"),
+        _flag(first <= cutoff).alias("been_around"),
         _flag(last < ago(as_of, idle)).alias("totally_idle"),
         "total_cpu",
         "recent_cpu",
@@ -69,14 +71,12 @@ def idle_sessions(
     cpu_ms: int = 20,
     cap: int = 1000,
     order_by: str = "time",
-    distributed: bool = True,
 ) -> DataFrame:
     """Old, open, idle sessions that used little CPU lately, in order of last use.
 
     All of them are listed; the code is 0 for the first ``cap - 1`` only.
     ``order_by="time"`` compares the time of day, ``"timestamp"`` the full stamp;
-    the job id breaks ties. ``distributed=False`` numbers the candidates in one
-    task, for lists known to be short.
+    the job id breaks ties.
     """
     candidates = (
         session_activity(samples, as_of, age, idle)
@@ -89,11 +89,7 @@ def idle_sessions(
         .withColumn("jobid", job_id(F.col("job_number"), F.col("job_user"), F.col("job_name")))
     )
     key = {"time": "last_time", "timestamp": "last_stamp"}[order_by]
-    if distributed:
-        numbered = number_rows(candidates, [key, "jobid"])
-    else:
-        order = Window.orderBy(key, "jobid")
-        numbered = candidates.withColumn("seq", F.row_number().over(order).cast("bigint"))
+    numbered = number_rows(candidates, [key, "jobid"])
     return numbered.select(
         F.when(F.col("seq") < cap, CHOSEN_CODE).otherwise(SKIPPED_CODE).alias("end_sqlcode"),
         at(as_of).alias("retrieval_time"),

@@ -133,9 +133,8 @@ def idle_sessions(spark, folder):
 
 @query
 def idle_sessions_by_timestamp(spark, folder):
-    return sessions.idle_sessions(
-        derived(spark, folder, "session_samples"), AS_OF_EVENTS, cap=20, order_by="timestamp", distributed=False
-    )
+    samples = derived(spark, folder, "session_samples")
+    return sessions.idle_sessions(samples, AS_OF_EVENTS, cap=20, order_by="timestamp")
 
 
 @query

@@ -53,3 +53,17 @@ def test_draw_repeats_and_spreads(spark):
 def test_time_filter_reaches_the_scan(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert "GreaterThan(ts" in planned(events.where(F.col("ts") > s.ago("2024-01-31", "14 days")))
+
+
+def test_whole_minutes(spark):
+    minutes = lambda a, b: value(spark, s.whole_minutes(s.at(a), s.at(b)))
+    assert minutes("2024-01-01 00:00:00", "2024-01-01 00:02:59") == 2
+    assert minutes("2024-01-01 00:00:00.9", "2024-01-01 00:02:00.5") == 1
+    assert minutes("2023-12-31 23:59:00", "2024-01-01 00:00:00") == 1
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # The clocks went forward in between.
+        assert minutes("2024-03-10 01:00:00", "2024-03-10 04:00:00") == 180
+        assert value(spark, s.time_of_day(s.at("2024-03-10 02:30:00"))) == "02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -46,10 +46,9 @@ def test_order_by_time_of_day_or_timestamp(spark):
     assert order("timestamp") == ["1", "2"]
 
 
-@pytest.mark.parametrize("distributed", [True, False])
-def test_cap_marks_but_keeps_all(spark, distributed):
+def test_cap_marks_but_keeps_all(spark):
     df = samples(spark, *[(f"{i:04}", "I", 1, "240110010000", 0) for i in range(50)])
-    rows = idle_sessions(df, AS_OF, cap=10, distributed=distributed).orderBy("seq").collect()
+    rows = idle_sessions(df, AS_OF, cap=10).orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(1, 51))
     assert [r.end_sqlcode for r in rows] == [0] * 9 + [9999999] * 41
     assert rows[0].retrieval_time == dt.datetime(2024, 1, 10, 12)
