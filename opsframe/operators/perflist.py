@@ -149,7 +149,8 @@ def _plan_details(monitor: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per key, over the refreshes that were listed: advice, times, I/O, plan hash.
 
     The sums per (key, refresh) are formed before the semi join: being listed
-    depends on these two columns only.
+    depends on these two columns only. The plan hash, a text, is a group key of
+    that first pass, which leaves it hash based; its maximum is taken afterwards.
     """
 
     def of(record: int, value: Column) -> Column:
@@ -166,19 +167,16 @@ def _plan_details(monitor: DataFrame, wanted: DataFrame) -> DataFrame:
         "_adjusted": of(OPTIMIZER, F.col("qqf1").cast("bigint")),
         **{name: retrieved(column) for name, column in _RETRIEVED.items()},
     }
-    maxima = {"temp_storage": F.col("qqint03"), "qro_hash": of(OPTIMIZER, F.col("qqc83"))}
+    plan_hash = of(OPTIMIZER, F.col("qqc83")).alias("qro_hash")
     per_refresh = (
         monitor.where(F.col("qqrid").isin(OPTIMIZER, STATISTICS, RETRIEVAL, INDEX))
-        .groupBy(F.xxhash64(_KEY).alias("_digest"), _KEY, F.col("qvrcnt").alias(_REFRESH))
-        .agg(
-            *[F.sum(v).alias(n) for n, v in sums.items()],
-            *[F.max(v).alias(n) for n, v in maxima.items()],
-        )
+        .groupBy(_KEY, F.col("qvrcnt").alias(_REFRESH), plan_hash)
+        .agg(*[F.sum(v).alias(n) for n, v in sums.items()], F.max("qqint03").alias("temp_storage"))
     )
     return (
         per_refresh.join(wanted, [_KEY, _REFRESH], "left_semi")
         .groupBy(_KEY)
-        .agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima])
+        .agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in ("temp_storage", "qro_hash")])
     )
 
 
