@@ -18,22 +18,23 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "seq")
     """Add 1, 2, 3 … in ``order``, which should be a total order.
 
     A window without partition key would sort the whole table in one task. Here
-    Spark's own distributed sort places the rows; the sorted rows are settled in
-    the checkpoint folder, each partition is counted, and a row's number is its
-    place in the partition plus the rows of the partitions before. Only the
-    partition counts, one small row per sort partition, are broadcast.
+    Spark's own distributed sort places the rows; each row's partition and place
+    in it are settled with it as columns, so counting the partitions reads one
+    column. A row's number is its place plus the rows of the partitions before.
+    Only the partition counts, one small row per sort partition, are broadcast.
     """
-    placed = settle(df.orderBy(*order))
-    marked = placed.select(
-        "*",
-        F.spark_partition_id().alias(_PART),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(_POSITION),
+    placed = settle(
+        df.orderBy(*order).select(
+            "*",
+            F.spark_partition_id().alias(_PART),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(_POSITION),
+        )
     )
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(F.spark_partition_id().alias(_PART))
+        placed.groupBy(_PART)
         .agg(F.count("*").alias("_rows"))
         .select(_PART, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(_BEFORE))
     )
-    numbered = marked.join(F.broadcast(offsets), _PART)
+    numbered = placed.join(F.broadcast(offsets), _PART)
     return numbered.select(*df.columns, (F.col(_BEFORE) + F.col(_POSITION) + 1).alias(name))

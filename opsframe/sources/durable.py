@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the checkpoint folder and read it from there.
 
-    Partitions, and the order inside each, are then fixed: losing executors
-    cannot change what a later pass sees.
+    Rows are kept as Parquet, so later passes read the columns they need only and
+    losing executors cannot change what they see. Nothing is said about the order
+    or the partitions of what is read back. Runs a Spark job at once. The files go
+    when the session's JVM ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
