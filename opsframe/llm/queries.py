@@ -7,13 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup, mixing, token_count
+from opsframe.llm import exact_dedup, mixing, packing, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), path))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -30,7 +36,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_source_mix, op4_token_counts, op5_exact_dedup)
+    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
