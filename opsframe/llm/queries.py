@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup, mixing, packing, token_count
+from opsframe.llm import exact_dedup, minhash, mixing, packing, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates."""
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup)
+    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op8_minhash_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op8_minhash_dedup": minhash.SQL,
 }
