@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup, minhash, mixing, packing, token_count
+from opsframe.llm import exact_dedup, minhash, mixing, packing, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,13 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op8_minhash_dedup)
+    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op8_minhash_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
