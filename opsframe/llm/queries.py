@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup, minhash, mixing, packing, token_count, toxicity
+from opsframe.llm import exact_dedup, minhash, mixing, packing, pii, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents"), with_text=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op8_minhash_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op6_personal_data, op8_minhash_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
