@@ -19,6 +19,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ END = 0
 SHARD_DOCS = 512
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-KEPT_PIECES = 400_000
+KEPT_PIECES = 900_000
 _LATIN = "\u024f"
 _PLAIN = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -65,28 +66,29 @@ class Encoder:
         self._known: dict[str, bytes] = {}
         self._kept = kept
 
-    def _learn(self, missing: set[str]) -> None:
-        slow = []
-        for part in missing:
-            if self._quick and (not part or max(part) <= _LATIN) and not any(mark in part for mark in self._marks):
-                self._known[part] = np.array(self._quick.encode_ordinary(part), dtype=self.kind).tobytes()
-            else:
-                slow.append(part)
-        for part, made in zip(slow, self._library.encode_batch_fast(slow, add_special_tokens=False), strict=True):
-            self._known[part] = np.array(made.ids, dtype=self.kind).tobytes()
+    def _encode(self, parts: list[str]) -> Iterator[bytes]:
+        slow = {}
+        for i, part in enumerate(parts):
+            if not self._quick or (part and max(part) > _LATIN) or any(mark in part for mark in self._marks):
+                slow[i] = part
+        found = self._library.encode_batch_fast(list(slow.values()), add_special_tokens=False)
+        ids = dict(zip(slow, (made.ids for made in found), strict=True))
+        code, quick = self.kind.char, self._quick.encode_ordinary if self._quick else None
+        for i, part in enumerate(parts):
+            yield array(code, ids[i] if i in ids else quick(part)).tobytes()
 
     def encode(self, found: list[str]) -> list[np.ndarray]:
-        known = self._known
+        known = self._known  # what follows a blank, without the blank
         if len(known) > self._kept:
             known.clear()
-        parts, missing = [], set()
-        for text in found:
-            cut = text.split(" ") if _single_blanks(text) else _PLAIN.split(text)
-            cut = [cut[0], *map(" ".__add__, cut[1:])]
-            parts.append(cut)
-            missing.update(part for part in cut if part not in known)
-        self._learn(missing)
-        return [np.frombuffer(b"".join(map(known.__getitem__, cut)), dtype=self.kind) for cut in parts]
+        cuts = [text.split(" ") if _single_blanks(text) else _PLAIN.split(text) for text in found]
+        first = self._encode([cut.pop(0) for cut in cuts])
+        missing = list(set().union(*(set(cut).difference(known) for cut in cuts)))
+        known.update(zip(missing, self._encode([" " + part for part in missing]), strict=True))
+        return [
+            np.frombuffer(start + b"".join(map(known.__getitem__, cut)), dtype=self.kind)
+            for start, cut in zip(first, cuts, strict=True)
+        ]
 
 
 def _single_blanks(text: str) -> bool:
