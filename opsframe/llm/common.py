@@ -64,6 +64,13 @@ def batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.Recor
     )
 
 
+def with_columns(made: pa.RecordBatch, rows: pa.RecordBatch, names: tuple[str, ...]) -> pa.RecordBatch:
+    """``made`` with columns of the rows it was made from, as they are."""
+    return pa.RecordBatch.from_arrays(
+        [*made.columns, *[rows.column(name) for name in names]], names=[*made.schema.names, *names]
+    )
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values one to one, so that any of their bits can be used."""
     x = (x ^ (x >> _M(30))) * _M(0xBF58476D1CE4E5B9)

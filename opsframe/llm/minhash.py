@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import WordHasher, batch, map_arrow, mixed, numbered, random_longs, shingle_set
+from opsframe.llm.common import WordHasher, batch, map_arrow, mixed, numbered, random_longs, shingle_set, with_columns
 from opsframe.llm.components import components
 from opsframe.operators.lookup import weighted_lookup
 from opsframe.sources.durable import settle
@@ -55,7 +55,7 @@ def minima(found: np.ndarray, functions: np.ndarray) -> np.ndarray:
     return least
 
 
-def _signed(words: int, groups: int, rows: int):
+def _signed(words: int, groups: int, rows: int, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         functions = random_longs(2 * groups * rows, _SEED)
@@ -75,7 +75,7 @@ def _signed(words: int, groups: int, rows: int):
                     sketch = (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
                 for name, value in zip(_SIGNATURE_TYPES, (doc_id, text, len(found), key, halves, sketch), strict=True):
                     out[name].append(value)
-            yield batch(out, _SIGNATURE_TYPES)
+            yield with_columns(batch(out, _SIGNATURE_TYPES), docs, carry)
 
     return run
 
@@ -162,12 +162,13 @@ def _with_roots(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame,
+    *carry: str,
     words: int = WORDS,
     similarity: float = SIMILARITY,
     groups: int = GROUPS,
     rows: int = MINIMA,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, stays.
+    """One row per document: doc_id, n_shingles, component_id, kept, stays, and the columns of ``carry``.
 
     A document's set holds its distinct runs of ``words`` words, A-Z lowered; with
     fewer words, all of them as one. Documents whose sets overlap by ``similarity`` of
@@ -178,8 +179,11 @@ def near_groups(
     stay. Texts of any length are taken whole; an empty table gives an empty result.
     """
     hundredths = math.ceil(similarity * 100 - 1e-9)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = numbered(map_arrow(chosen, _signed(words, groups, rows), _SIGNATURES))
+    own = {c: f"_carry{i}" for i, c in enumerate(carry) if c != "text"}
+    extra = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for c, name in own.items())
+    more = [F.col(c).alias(name) for c, name in own.items()]
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    signed = numbered(map_arrow(chosen, _signed(words, groups, rows, tuple(own.values())), _SIGNATURES + extra))
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     entries = settle(
         signed.where("n_shingles > 0")
@@ -224,7 +228,7 @@ def near_groups(
     rooted = _with_roots(entries.select("entry", "set_key", "best", "n_rows"), found)
     lowest = rooted.groupBy("root").agg(F.min("best").alias("_best"))
     facts = settle(rooted.join(lowest, "root").select("set_key", "_best", "n_rows"))
-    rest = signed.drop("text", "halves", "sketch")
+    rest = signed.drop("halves", "sketch", *([] if "text" in carry else ["text"]))
     placed = weighted_lookup(rest.where("n_shingles > 0"), facts, ["set_key"], "n_rows")
     alone = rest.where("n_shingles = 0").withColumn("_best", best)
     return placed.unionByName(alone).select(
@@ -233,6 +237,7 @@ def near_groups(
         F.col("_best.doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("_best.doc_id")).alias("kept"),
         (F.col("_row") == F.col("_best.row")).alias("stays"),
+        *[F.col(own.get(c, c)).alias(c) for c in carry],
     )
 
 

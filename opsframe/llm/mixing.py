@@ -125,7 +125,7 @@ def mix(
     times. The same rows give the same mix. An empty table gives an empty result.
     """
     rows = numbered(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *carry)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *[c for c in carry if c != "source"])
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sources, weights, most_repeats).withColumn("_shards", F.ceil(F.col("source_size") / shard_words))

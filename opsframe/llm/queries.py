@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup, minhash, mixing, packing, pii, token_count, toxicity
+from opsframe.llm import ann, exact_dedup, minhash, mixing, packing, pii, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), path))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -51,7 +56,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lexical_packing, op3_source_mix, op4_token_counts, op5_exact_dedup, op6_personal_data, op8_minhash_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_lexical_packing, op2_cross_polytope, op3_source_mix, op4_token_counts, op5_exact_dedup, op6_personal_data, op8_minhash_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {

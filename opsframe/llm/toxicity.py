@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import batch, map_arrow, texts
+from opsframe.llm.common import batch, map_arrow, texts, with_columns
 from opsframe.sources.durable import settle
 
 THRESHOLD = 0.7
@@ -104,7 +104,7 @@ def choose_terms(found: DataFrame, n_toxic: int, n_clean: int, most: int) -> lis
     return [row.term for row in chosen.select("term").collect()]
 
 
-def _vectors(terms: list[str]):
+def _vectors(terms: list[str], carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {term: i for i, term in enumerate(terms)}
         types = {"doc_id": pa.int64(), "term": pa.list_(pa.int32()), "n": pa.list_(pa.int32())}
@@ -113,10 +113,11 @@ def _vectors(terms: list[str]):
             for text in rows.column("text").to_pylist():
                 found = terms_of(text)
                 out.append(sorted((place[t], found[t]) for t in found.keys() & place.keys()))
-            yield batch(
+            made = batch(
                 {"doc_id": rows.column("doc_id"), "term": [[t for t, _ in x] for x in out], "n": [[n for _, n in x] for x in out]},
                 types,
             )
+            yield with_columns(made, rows, carry)
 
     return run
 
@@ -264,7 +265,7 @@ def _judge(rows: list, idf: np.ndarray, k: int, toxic_weight: float, clean_weigh
 _SCORES = "doc_id long, score double, evidence array<long>, cosines array<double>"
 
 
-def _scored(judge: Judge):
+def _scored(judge: Judge, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"doc_id": pa.int64(), "score": pa.float64(), "evidence": pa.list_(pa.int64()), "cosines": pa.list_(pa.float64())}
         known: dict[tuple, tuple] = {}
@@ -278,7 +279,8 @@ def _scored(judge: Judge):
                     known[key] = judge.score(np.array(terms, dtype=np.int64), np.array(counts, dtype=float))
                 out.append(known[key])
             score, evidence, cosines = zip(*out, strict=True) if out else ((), (), ())
-            yield batch({"doc_id": rows.column("doc_id"), "score": score, "evidence": evidence, "cosines": cosines}, types)
+            made = batch({"doc_id": rows.column("doc_id"), "score": score, "evidence": evidence, "cosines": cosines}, types)
+            yield with_columns(made, rows, carry)
 
     return run
 
@@ -286,12 +288,14 @@ def _scored(judge: Judge):
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
+    *carry: str,
     per_class: int = EXAMPLES_PER_CLASS,
     most_terms: int = TERMS,
     neighbours: int = NEIGHBOURS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence, cosines.
+    """One row per document: doc_id, held_out, score, predicted, evidence, cosines, and the columns of
+    ``carry``.
 
     ``score`` grows with the likelihood of label 1 and depends on the text only;
     ``evidence`` are the doc_ids of the nearest examples and ``cosines`` their
@@ -303,24 +307,27 @@ def toxicity(
     empty table gives an empty result.
     """
     examples = examples_of(labels, per_class)
-    rows = texts(docs)
+    own = {c: f"_carry{i}" for i, c in enumerate(carry)}
+    more = [F.col(c).alias(name) for c, name in own.items()]
+    extra = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for c, name in own.items())
+    rows = texts(docs, *more)
     chosen = rows.join(F.broadcast(examples), "doc_id")  # at most two classes of ``per_class``
     by_label = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
     found = map_arrow(chosen.select("text", "toxic"), _term_docs, "term string, toxic long, n long")
     terms = choose_terms(found, n_toxic, n_clean, most_terms) if n_toxic and n_clean else []
-    vectors = settle(map_arrow(rows, _vectors(terms), "doc_id long, term array<int>, n array<int>"))
+    vectors = settle(map_arrow(rows, _vectors(terms, tuple(own.values())), "doc_id long, term array<int>, n array<int>" + extra))
     size = vectors.count()
     frequency = np.zeros(len(terms))
     for row in vectors.select(F.explode("term").alias("term")).groupBy("term").count().collect():
         frequency[row.term] = row["count"]
     idf = np.log((1 + size) / (1 + frequency)) + 1
-    usable = vectors.join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"]).collect()
+    usable = vectors.select("doc_id", "term", "n").join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"]).collect()
     # How many labelled rows an example of either class stands for.
     totals = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
     stand = {r.toxic: r["count"] / max(by_label.get(r.toxic, 0), 1) for r in totals}
     judge = _judge(usable, idf, neighbours, stand.get(1, 1.0), stand.get(0, 1.0))
-    scored = map_arrow(vectors, _scored(judge), _SCORES)
+    scored = map_arrow(vectors, _scored(judge, tuple(own.values())), _SCORES + extra)
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -328,4 +335,5 @@ def toxicity(
         (F.col("score") >= threshold).cast("int").alias("predicted"),
         "evidence",
         "cosines",
+        *[F.col(name).alias(c) for c, name in own.items()],
     )
