@@ -1,8 +1,93 @@
-"""The pipeline over documents."""
+"""The pipeline over documents: each stage applies one operator to all rows the one before kept.
 
-STAGES = []
+1. toxicity: documents predicted toxic go.
+2. exact dedup: of equal texts one row stays.
+3. near dedup: of linked texts one row stays.
+4. mixing: sources are brought to their targets; a document is repeated whole as often
+   as the mix takes it whole, and the words it takes once more follow as rows of their own.
+5. packing: what is left in windows of tokens, one row per piece.
+
+All stages but the last return the columns of documents. Null texts count as empty;
+null doc_ids and repeated rows are rows of their own; an empty table gives no piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opsframe.llm import exact_dedup, minhash, mixing, packing, toxicity
+from opsframe.llm.common import SPACE
+from opsframe.sources.durable import settle
+
+COLUMNS = ("text", "lang", "source", "n_chars")
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", *COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _documents(toxicity.toxicity(docs, labels, *COLUMNS).where("predicted = 0"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _documents(exact_dedup.exact_groups(docs, *COLUMNS).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return _documents(minhash.near_groups(docs, *COLUMNS).where("stays"))
+
+
+def _words(start: Column, end: Column) -> Column:
+    """The words from ``start`` on and before ``end``, with one blank between them."""
+    words = F.filter(F.split("text", f"{SPACE}+"), lambda w: w != "")
+    return F.array_join(F.slice(words, start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int")), " ")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts that the mix takes, with repeats."""
+    begin, end = F.col("from_word"), F.col("to_word")
+    none = F.array().cast("array<string>")
+    more = (
+        F.when(begin.isNull(), none)
+        .when(begin < end, F.array(_words(begin, end)))
+        .otherwise(F.array(_words(F.lit(0), end), _words(begin, F.col("size"))))
+    )
+    taken = F.concat(F.array_repeat("text", F.col("passes").cast("int")), F.filter(more, lambda t: t != ""))
+    rows = mixing.mix(docs, "text", "lang", "n_chars", "source").where("taken > 0")
+    chosen = rows.select("doc_id", F.explode(taken).alias("text"), "lang", "source", "n_chars")
+    return chosen.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all windows."""
+    return packing.piece_digests(packing.pack(docs, public_tokenizers.path(VOCABULARY)))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Votes of neighbours, minima and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = settle(docs)
+    return docs
