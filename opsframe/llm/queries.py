@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import ann, exact_dedup, minhash, mixing, packing, pii, token_count, toxicity
+from opsframe.llm import ann, exact_dedup, licenses, minhash, mixing, packing, pii, token_count, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,26 +40,44 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents"), with_text=False))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the entries that were active when it was fetched."""
+    pages = _table(spark, sf_dir, "pages")
+    captures, entries = (spark.sql(sql.replace("from pages", "from {pages}"), pages=pages) for sql in (url_filter.CAPTURES, url_filter.ENTRIES))
+    return url_filter.url_filter(captures, entries, "page_id")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates."""
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that documents or parts of them are."""
+    return licenses.license_scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every document."""
-    return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents"), with_text=False))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lexical_packing, op2_cross_polytope, op3_source_mix, op4_token_counts, op5_exact_dedup, op6_personal_data, op8_minhash_dedup, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_lexical_packing, op2_cross_polytope, op3_source_mix, op4_token_counts, op5_exact_dedup,
+        op6_personal_data, op7_url_filter, op8_minhash_dedup, op9_licenses, op10_toxicity,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_url_filter": url_filter.SQL,
     "op8_minhash_dedup": minhash.SQL,
+    "op9_licenses": licenses.SQL,
 }
