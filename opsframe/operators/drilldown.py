@@ -47,7 +47,13 @@ def any_record_with_statement(monitor: DataFrame) -> DataFrame:
 def referenced_tables(monitor: DataFrame) -> DataFrame:
     """Records that name a file, ordered by record id and name; file names first."""
     rest = [c for c in monitor.columns if c not in ("qqrid", *FILE_NAMES)]
-    return monitor.where(F.col("qqtfn").isNotNull()).select("qqrid", *FILE_NAMES, *rest).orderBy("qqrid", "qqtfn")
+    named = monitor.where(F.col("qqtfn").isNotNull()).select("qqrid", *FILE_NAMES, *rest)
+    return named.orderBy("qqrid", "qqtfn", *_row_keys(monitor))
+
+
+def _row_keys(monitor: DataFrame) -> list[str]:
+    """Last sort keys, by which a range sort can split the rows of a hot key."""
+    return [c for c in ("qqjfld", "qvrcnt", "qqsmintf", "qqstn", "qqtime") if c in monitor.columns]
 
 
 def plan_drilldown(
@@ -87,7 +93,8 @@ def plan_drilldown(
     matched = records.join(latest, ["qqjfld", "qvrcnt", "qqrid"])
     plan = matched.where(c("qqsmintf").isNull() | (c("qqsmintf") == c("_last_thread"))).select(*monitor.columns)
     header = monitor.where(c("qqrid") == HEADER)
-    return plan.unionByName(header).withColumn("sortqqrid", _display_order()).orderBy("sortqqrid", "qqjfld")
+    shown = plan.unionByName(header).withColumn("sortqqrid", _display_order())
+    return shown.orderBy("sortqqrid", *_row_keys(monitor))
 
 
 def _display_order() -> Column:

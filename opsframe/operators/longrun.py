@@ -37,18 +37,30 @@ _CLIENT_COLUMNS = (
 def load_allowlist(rows: DataFrame) -> DataFrame:
     """Allowlist with one row per (profile, ip): defaults applied, padding and
     duplicates removed. Of differing duplicates the smallest allowance stays
-    (then the smaller limit flag), whatever order the rows came in. The table is
-    settled, as loading it is what this job is for."""
+    (then the smaller limit flag), whatever order the rows came in. A row without
+    profile or ip is refused: loading raises, ``allowlist_rejects`` lists such rows.
+    The table is settled, as loading it is what this job is for, and hot clients
+    can be split next to it."""
     loaded = with_defaults(rtrim_text(rows), {"hard_limit": HARD_LIMIT_DEFAULT})
     entry = F.struct("allowed_query_min", "hard_limit")
+    refused = F.raise_error("Allowlist row without profile or ip_address").cast("boolean")
     return settle(
-        loaded.where(F.col("profile").isNotNull() & F.col("ip_address").isNotNull())
+        loaded.where(F.when(_has_key(), True).otherwise(refused))
         .groupBy(*ALLOWLIST_KEY)
         .agg(F.min(entry).alias("_entry"))
         .select(*ALLOWLIST_KEY, "_entry.allowed_query_min", "_entry.hard_limit")
     )
 
 
+def _has_key() -> Column:
+    return F.col("profile").isNotNull() & F.col("ip_address").isNotNull()
+
+
+def allowlist_rejects(rows: DataFrame) -> DataFrame:
+    """Allowlist rows that ``load_allowlist`` refuses."""
+    return rows.where(~_has_key())
+
+
 def long_runners(
     active_jobs: DataFrame,
     job_statements: DataFrame,

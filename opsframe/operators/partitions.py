@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATA_COLUMNS = ("dtanbr", "dtachr")
@@ -21,16 +21,19 @@ def partition_view(
     """One lazy table over several partition tables.
 
     ``key`` adds the partition key column. ``bounds`` declares the one key value
-    each part holds: the branch is filtered to it and shows it as a literal, so
-    Catalyst drops a branch that contradicts a predicate on the key. ``label``
-    adds a column with the part's name, which lets it drop branches likewise.
+    each part holds: the branch shows it as a literal, so Catalyst drops a branch
+    that contradicts a predicate on the key. A row outside the bound of its part,
+    or with a null key, is refused: reading its branch raises. ``out_of_bounds``
+    lists such rows. ``label`` adds a column with the part's name, which lets
+    branches be dropped likewise.
     """
     shown = [*([key] if key else []), *columns]
 
     def branch(name: str, df: DataFrame) -> DataFrame:
         if bounds is not None:
-            value = F.lit(bounds[name]).cast(df.schema[key].dataType)
-            df = df.where(F.col(key) == value).withColumn(key, value)
+            value = _bound(df, key, bounds[name])
+            refused = F.raise_error(f"Row of {name} outside its bound {bounds[name]!r}").cast("boolean")
+            df = df.where(F.when(F.col(key).eqNullSafe(value), True).otherwise(refused)).withColumn(key, value)
         if label:
             return df.select(F.lit(name).alias(label), *shown)
         return df.select(*shown)
@@ -38,6 +41,19 @@ def partition_view(
     return reduce(DataFrame.unionByName, [branch(n, df) for n, df in parts.items()])
 
 
+def _bound(df: DataFrame, key: str, value: object) -> Column:
+    return F.lit(value).cast(df.schema[key].dataType)
+
+
+def out_of_bounds(parts: Mapping[str, DataFrame], key: str, bounds: Mapping[str, object]) -> DataFrame:
+    """Rows that are not in the part whose bound they meet, with the part's name in ``part``."""
+    outside = [
+        df.where(~F.col(key).eqNullSafe(_bound(df, key, bounds[name]))).select(F.lit(name).alias("part"), "*")
+        for name, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, outside)
+
+
 def count_where(view: DataFrame, name: str = "n", **equal) -> DataFrame:
     """Count of the rows whose columns equal the given values, as a one-row table."""
     for column, value in equal.items():

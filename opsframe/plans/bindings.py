@@ -12,8 +12,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsframe.operators.intervals import SYSTEM_COUNTERS
 from opsframe.operators.monitor import STATEMENT_COLUMNS
-from opsframe.sources.tables import read_tables, spread
+from opsframe.sources.tables import read_tables
 
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -89,8 +90,10 @@ select l_orderkey as intnum, l_shipdate as datetime, l_linenumber as sitype,
   cast(floor(l_quantity) as bigint) - 1 as sidata01, cast(floor(l_extendedprice) as bigint) as sidata02
 from {lineitem}"""
 
-SUPPLIER_METRICS = """
-select s_suppkey as intnum, s_name as dtetim, s_nationkey as sysizc, s_acctbal as syszwt from {supplier}"""
+# Every counter has values of its own.
+_COUNTERS = ", ".join(f"s_suppkey * {place + 1} + s_nationkey as {name}" for place, name in enumerate(SYSTEM_COUNTERS))
+SUPPLIER_METRICS = f"""
+select s_suppkey as intnum, s_name as dtetim, {_COUNTERS} from {{supplier}}"""
 
 SESSION_SAMPLES = f"""
 select 'QPADEV' || {_text('user_id % 10', 4)} as jbname, 'USER' || {_text('user_id % 7')} || '  ' as jbuser,
@@ -169,7 +172,7 @@ select l_orderkey * 8 + l_linenumber as rid, l_linestatus as mo, cast(l_orderkey
   l_returnflag || l_linestatus as dtachr, l_shipdate as chgtsp
 from {lineitem}"""
 
-# What the derived monitor holds; its other columns are null.
+# What the derived monitor holds; each other column has two values of its own.
 _MONITOR = {
     "qqrid": """cast(case when l_linenumber <= 2 then 1000 when l_linenumber = 3 then 3014 when l_linenumber = 4 then 3019
       when l_linenumber = 5 then 3020 when l_linenumber = 6 then 3010 when l_returnflag = 'A' then 3015
@@ -211,7 +214,7 @@ _MONITOR = {
     "qvc1c": "case when l_returnflag = 'A' then 'Y' else 'N' end",
     "qvc1282": f"'PROC' || {_text('o_custkey % 3')}",
     "qqia": "o_custkey % 2",
-    "qqf1": "cast(floor(l_extendedprice * 7) as double) + 0.5",
+    "qqf1": "cast(l_partkey % 2 as double) + 0.5",
     "qvc24": "case l_partkey % 4 when 0 then 'AB' when 1 then 'A1' when 2 then 'B3' else null end",
     "qq1000l": f"""case when l_tax < 0.005 then null when l_tax < 0.015 then ''
       else 'select ' || o_orderpriority || ' from LIB' || {_text('o_custkey % 3')} || '.ORD' end""",
@@ -237,10 +240,18 @@ _MONITOR = {
     "qqc101": f"'MON' || {_text('l_suppkey % 3')}",
 }
 _MONITOR_TYPES = {raw: kind for raw, _, kind in STATEMENT_COLUMNS}
+
+
+def _own_value(column: str, place: int) -> str:
+    if _MONITOR_TYPES[column] == "string":
+        return f"'{column}_' || {_text('l_partkey % 2')}"
+    return f"cast({1000 * place} + l_partkey % 2 as {_MONITOR_TYPES[column]})"
+
+
 MONITOR = "\nselect {}\nfrom {{lineitem}} join {{orders}} on l_orderkey = o_orderkey".format(
     ",\n  ".join(
-        f"{_MONITOR.get(column, f'cast(null as {_MONITOR_TYPES.get(column)})')} as {column}"
-        for column in dict.fromkeys([*_MONITOR_TYPES, *_MONITOR])
+        f"{_MONITOR.get(column) or _own_value(column, place)} as {column}"
+        for place, column in enumerate(dict.fromkeys([*_MONITOR_TYPES, *_MONITOR]))
     )
 )
 
@@ -269,18 +280,11 @@ BINDINGS = {
 }
 
 
-# Derivations that are heavy per row, and the table whose rows they work on.
-_HEAVY = {"monitor": "lineitem", "statements": "orders", "document_statements": "documents"}
-
-
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived operational table as a DataFrame."""
     text = BINDINGS[name]
     used = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    tables = read_tables(spark, folder, *used)
-    if name in _HEAVY:
-        tables[_HEAVY[name]] = spread(tables[_HEAVY[name]])
-    return spark.sql(text, **tables)
+    return spark.sql(text, **read_tables(spark, folder, *used))
 
 
 def with_clause(*names: str) -> str:

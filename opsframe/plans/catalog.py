@@ -27,7 +27,7 @@ from opsframe.operators import (
 from opsframe.operators.collections import active_collections
 from opsframe.plans.bindings import derived
 from opsframe.sources import archive, members
-from opsframe.sources.tables import read_tables, spread
+from opsframe.sources.tables import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,7 +115,7 @@ def ratio_metric(spark, folder):
 
 @query
 def metric_projection(spark, folder):
-    return intervals.system_metrics(derived(spark, folder, "supplier_metrics"), ("sysizc", "syszwt"))
+    return intervals.system_metrics(derived(spark, folder, "supplier_metrics"))
 
 
 @query
@@ -212,8 +212,7 @@ def snapshot_latest(spark, folder):
 
 @query
 def snapshot_capture(spark, folder):
-    decoded = _decoded(spark, folder).select("statement_number", "statement_text", "end_timestamp")
-    return archive.with_capture_date(decoded, "2024-02-01")
+    return archive.with_capture_date(_decoded(spark, folder), "2024-02-01")
 
 
 @query
@@ -224,7 +223,7 @@ def snapshot_counts(spark, folder):
 
 @query
 def statement_search(spark, folder):
-    documents = spread(read_tables(spark, folder, "documents")["documents"])
+    documents = read_tables(spark, folder, "documents")["documents"]
     return monitor.search_statements(documents, "the", "text").select("doc_id", "lang", "text")
 
 

@@ -29,13 +29,3 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 def like_table(df: DataFrame) -> DataFrame:
     """An empty table of the same shape."""
     return df.sparkSession.createDataFrame([], df.schema)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scanned table over all cores before work that is heavy per row.
-
-    Only where its files give fewer tasks than there are cores, as one small file
-    does; a table of many files is left as it is and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from opsframe.operators import checks, jobs, monitor, reasons
 from opsframe.sources import archive, durable
-from opsframe.sources.tables import rtrim_text, spread, with_defaults
+from opsframe.sources.tables import rtrim_text, with_defaults
 from opsframe.timing import time_query, timeit
-from tests.plans import final_plan, planned
+from tests.plans import final_plan
 
 
 def test_assert_no_rows(spark):
@@ -93,11 +93,6 @@ def test_settled_frames_do_not_recompute(spark):
     assert durable.ensure_checkpoint_dir(spark)
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    assert "Exchange" not in planned(spread(spark.range(0, 100, 1, 16)))
-    assert "Exchange" in planned(spread(spark.range(0, 100, 1, 1)))
-
-
 def test_timing(spark):
     assert timeit(lambda: None) >= 0
     assert time_query(spark.range(10)) > 0

@@ -4,8 +4,9 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import PySparkException
 
-from opsframe.operators.longrun import capture_history, kill_list, load_allowlist, long_runners
+from opsframe.operators.longrun import allowlist_rejects, capture_history, kill_list, load_allowlist, long_runners
 from opsframe.operators.checks import duplicate_keys
 from opsframe.sources.archive import append_history
 from opsframe.sources.tables import like_table
@@ -52,6 +53,14 @@ def test_allowlist(spark, allowlist):
     assert like_table(allowlist).schema == allowlist.schema
 
 
+@pytest.mark.parametrize("profile, ip", [(None, "10.0.0.1"), ("HARD", None), (None, None)])
+def test_clients_without_a_key_are_refused(spark, allowlist, profile, ip):
+    rows = allowlist.union(spark.createDataFrame([(profile, ip, Decimal(1), "Y")], ALLOWED))
+    assert [(r.profile, r.ip_address) for r in allowlist_rejects(rows).collect()] == [(profile, ip)]
+    with pytest.raises(PySparkException, match="without profile or ip_address"):
+        load_allowlist(rows).collect()
+
+
 @pytest.mark.parametrize(
     "profile, ip, minutes, verdict, known",
     [

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from opsframe.operators.generators import double_rows, month_rows, row_ids, skewed_rows, tenant_schedule
-from opsframe.operators.partitions import count_sweep, count_where, partition_view, sweep_params
+from opsframe.operators.partitions import count_sweep, count_where, out_of_bounds, partition_view, sweep_params
 from tests.plans import planned
 
 MONTHS = {"JANUARY": 1, "FEBRUARY": 2}
@@ -49,6 +50,20 @@ def test_views_and_counts_agree(parts):
     assert views["bounded"].schema["mo"].dataType == views["key"].schema["mo"].dataType
 
 
+@pytest.mark.parametrize("stray", [3, None])
+def test_rows_outside_their_bound_are_refused(spark, parts, stray):
+    key = F.lit(stray).cast(parts["JANUARY"].schema["mo"].dataType)
+    strays = parts["JANUARY"].limit(1).withColumn("mo", key)
+    mixed = parts | {"JANUARY": parts["JANUARY"].unionByName(strays)}
+    view = partition_view(mixed, key="mo", bounds=MONTHS)
+    for read in (view.count, view.where("mo = 1").collect):
+        with pytest.raises(PySparkException, match="outside its bound"):
+            read()
+    assert view.where("mo = 2").count() == 2000  # the other branch is not read
+    assert [(r.part, r.mo) for r in out_of_bounds(mixed, "mo", MONTHS).collect()] == [("JANUARY", stray)]
+    assert out_of_bounds(parts, "mo", MONTHS).count() == 0
+
+
 def test_sweep_equals_single_counts(spark, parts):
     view = partition_view(parts, key="mo")
     rows = count_sweep(view, sweep_params(0, 600, spark), "dtanbr", mo=2).collect()
