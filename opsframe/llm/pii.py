@@ -4,8 +4,8 @@ The patterns find the base spans. What they find are the protected entities, and
 words around a mention are its context. Following the information content of terms,
 IC(e) = -log2 p(e) is what naming an entity tells, and PMI(t, e) = log2 p(t, e) /
 (p(t) p(e)) is how much of it a term tells, where probabilities are shares of
-documents and the joint one counts different contexts, so that copies of a text are
-one witness. A term discloses an entity when PMI reaches ``generalise`` of IC: it is
+different texts, so that copies of a text count once in each of them, and different
+contexts are the witnesses. A term discloses an entity when PMI reaches ``generalise`` of IC: it is
 then replaced by a class of terms, and from ``remove`` on it is taken out.
 
 DataFrame expressions only. Positions come from splitting a text at its matches; the
@@ -163,30 +163,31 @@ def _terms(part: Column, at: Column, first_whole: Column, last_whole: Column) ->
 
 def disclosing_terms(rows: DataFrame, docs: DataFrame, size: int, generalise: float, remove: float, witnesses: int) -> DataFrame:
     """(_row, start, end, removed) of the terms near a mention that give its entity away."""
-    mentions = rows.select("_row", "spans", F.explode("mentions").alias("m")).select("_row", "spans", "m.*")
+    mentions = rows.select("_row", "spans", "digest", F.explode("mentions").alias("m")).select("_row", "spans", "digest", "m.*")
     mentions = mentions.withColumn("witness", F.xxhash64("before", "after"))
-    seen = mentions.select("entity", "witness").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    contexts, texts = F.count_distinct("witness").alias("contexts"), F.count_distinct("digest")
+    seen = mentions.groupBy("entity").agg(texts.alias("n_entity"), contexts)
     # An entity with few contexts cannot have a term with enough of them.
-    supported = mentions.join(seen.where(F.col("n_entity") >= witnesses), "entity")
+    supported = mentions.join(seen.where(F.col("contexts") >= witnesses), "entity")
     cut = (F.col("at") == 0, F.length("after") < CONTEXT)
     near = F.concat(
         _terms(F.col("before"), F.col("at"), cut[0], F.lit(False)), _terms(F.col("after"), F.col("after_at"), F.lit(False), cut[1])
     )
-    placed = supported.select("_row", "spans", "entity", "n_entity", "witness", F.explode(near).alias("t")).select(
-        "_row", "spans", "entity", "n_entity", "witness", "t.*"
+    placed = supported.select("_row", "spans", "digest", "entity", "n_entity", "witness", F.explode(near).alias("t")).select(
+        "_row", "spans", "digest", "entity", "n_entity", "witness", "t.*"
     )
     inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     placed = settle(placed.where(~inside & (F.length("term") >= 3)).drop("spans"))
     joint = settle(
-        placed.select("entity", "n_entity", "term", "witness").distinct()
-        .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_joint"))
-        .where(F.col("n_joint") >= witnesses)
+        placed.groupBy("entity", "n_entity", "term").agg(texts.alias("n_joint"), contexts)
+        .where(F.col("contexts") >= witnesses).drop("contexts")
     )
     if joint.head(1) == []:
         return placed.select("_row", "start", "end", F.lit(True).alias("removed")).where(F.lit(False))
     wanted = joint.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), _NOT_TERM))).alias("term"))
-    n_docs = words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    text = F.coalesce("text", F.lit(""))
+    words = docs.select(F.sha2(text, 256).alias("digest"), F.explode(F.array_distinct(F.split(F.lower(text), _NOT_TERM))).alias("term"))
+    n_docs = words.join(wanted, "term").groupBy("term").agg(texts.alias("n_term"))
     total = float(size)
     information = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = F.log2(F.col("n_joint") * total / (F.col("n_entity") * F.col("n_term")))
@@ -229,10 +230,11 @@ def personal_data(
     """
     text = F.coalesce("text", F.lit(""))
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = kept.withColumn("spans", base_spans(F.col("text")))
+    rows = kept.withColumn("spans", base_spans(F.col("text"))).withColumn("digest", F.sha2("text", 256))
     rows = rows.withColumn("mentions", _contexts(F.col("text"), F.col("spans"), CONTEXT))
     rows = numbered(rows if with_text else rows.drop("text"))
-    terms = disclosing_terms(rows.where(F.size("spans") > 0), docs, rows.count(), generalise, remove, witnesses)
+    size = rows.agg(F.count_distinct("digest")).scalar()
+    terms = disclosing_terms(rows.where(F.size("spans") > 0), docs, size, generalise, remove, witnesses)
     added = F.struct(
         F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.when(F.col("removed"), "removed").otherwise("general").alias("value")
     )

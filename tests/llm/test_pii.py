@@ -99,6 +99,15 @@ def test_copies_are_one_witness(spark):
     assert all(s.kind < len(KINDS) for r in personal_data(docs).collect() for s in r.spans)
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    noise = [(100 + i, f"common words about item{i}") for i in range(300)]
+    telling = [(i, f"place{i} secret handshake of anna@mail.org is known{i}") for i in range(3)]
+    copies = [(1000 + i, telling[0][1]) for i in range(30)]
+    docs = spark.createDataFrame(noise + telling + copies, "doc_id long, text string")
+    rows = {r.doc_id: r.sanitised for r in personal_data(docs).collect()}
+    assert all("handshake" not in rows[i] for i, _ in telling + copies)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")]])
 def test_edges(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
