@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import ann, exact_dedup, licenses, minhash, mixing, packing, pii, token_count, toxicity, url_filter
+from opsframe.llm import (
+    ann,
+    chat,
+    exact_dedup,
+    filter_audit,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    token_count,
+    toxicity,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +81,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a period in the words of every document, some of them planted."""
+    docs = periodic.with_planted_runs(_table(spark, sf_dir, "documents"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over all documents, by source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as examples, read back from them."""
+    turns = chat.with_control_turns(_table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lexical_packing, op2_cross_polytope, op3_source_mix, op4_token_counts, op5_exact_dedup,
         op6_personal_data, op7_url_filter, op8_minhash_dedup, op9_licenses, op10_toxicity,
+        op11_periodic_runs, op12_filter_audit, op13_chat_examples,
     )
 }
 
@@ -80,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": url_filter.SQL,
     "op8_minhash_dedup": minhash.SQL,
     "op9_licenses": licenses.SQL,
+    "op11_periodic_runs": periodic.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_chat_examples": chat.SQL,
 }
