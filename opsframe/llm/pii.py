@@ -1,32 +1,41 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-The patterns find the base spans. What they find are the protected entities, and the
-words around a mention are its context. Following the information content of terms,
-IC(e) = -log2 p(e) is what naming an entity tells, and PMI(t, e) = log2 p(t, e) /
-(p(t) p(e)) is how much of it a term tells, where probabilities are shares of
-different texts, so that copies of a text count once in each of them, and different
-contexts are the witnesses. A term discloses an entity when PMI reaches ``generalise`` of IC: it is
-then replaced by a class of terms, and from ``remove`` on it is taken out.
-
-DataFrame expressions only. Positions come from splitting a text at its matches; the
-patterns are possessive, so no text makes them backtrack. Pairs of term and entity
-are made from contexts of bounded width and counted before they move.
+The patterns find the base spans. What they find are the protected entities. Following
+the information content of terms, IC(e) = -log2 p(e) is what naming an entity tells,
+and PMI(t, e) = log2 p(t, e) / (p(t) p(e)) is how much of it a term tells, where
+probabilities are shares of different texts: a text counts once, however many copies
+it has, and term and entity meet anywhere in it. A term discloses an entity when PMI
+reaches ``generalise`` of IC: it is then replaced by a class of terms, and from
+``remove`` on it is taken out, in all documents, also where no entity is named. For an
+entity that one of N texts names, a share g is reached by terms in up to N^(1-g) texts:
+those that lead to that text.
+
+DataFrame expressions only. Positions come from splitting a text at its matches and
+adding lengths up; the patterns are possessive but for the phone's, which gives back no
+more than a run of its own characters. Entities that the same texts name are one class,
+so that a text with thousands of entities of its own does not multiply its terms. A
+term is counted against a class only where its frequency lets it reach the threshold;
+the bound used first, a 64-bit mask of the texts it stands in, never exceeds the count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import numbered
+from opsframe.operators.lookup import weighted_lookup
 from opsframe.sources.durable import settle
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-GENERALISE = 0.8
+GENERALISE = 0.9
 REMOVE = 0.95
-WITNESSES = 3
-CONTEXT = 80  # code points on either side
+WITNESSES = 1
+#: So many of the most frequent terms that disclose nothing are dropped before the shuffle
+#: that finds the others; a fixed number, so what is broadcast for it does not grow.
+MOST_FREQUENT = 1 << 17
 
 # The fixed patterns. A match cannot start inside a run of its first class unless the
 # match before ended there, so the search never starts again in the middle of one.
@@ -44,8 +53,19 @@ _NEEDS = {
     "card": "[0-9](?:[ -]?[0-9]){13}",
     "phone": r"\+[0-9]",
 }
-_TERM_RUN = r"[\p{L}\p{N}]++"
-_NOT_TERM = r"[^\p{L}\p{N}]+"
+# A term is a run of letters and digits outside of all that looks like an entity, valid or not.
+_TOKEN = "|".join(
+    (
+        r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+        PATTERNS["phone"],
+        r"[0-9]++(?:\.[0-9]++){3}",
+        r"[0-9](?:[\x20-]?[0-9]){13,}+",
+        r"[\p{L}\p{N}]++",
+    )
+)
+_IS_TERM = r"^(?![0-9]{14})[\p{L}\p{N}]+$"
+_ANY = "|".join(_NEEDS.values())
+_TEXT = ("text_1", "text_2")  # a text's identity: 128 bits of hash
 
 
 def _digits(match: Column) -> Column:
@@ -78,29 +98,53 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 _SPAN = "struct<start:long,kind:int,end:long,value:string>"
+_CHUNK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value all before it combined, from 0 on. This is done in chunks, so that an
+    array that grows by one is copied a few dozen times, not as often as a text has matches."""
+
+    def running(some: Column, first: Column) -> Column:
+        state = F.struct(first.alias("total"), F.array().cast("array<long>").alias("found"))
+        step = lambda s, v: F.struct(combine(s["total"], v).alias("total"), F.concat(s["found"], F.array(s["total"])).alias("found"))
+        return F.aggregate(some, state, step)["found"]
+
+    zero = F.lit(0).cast("long")
+    places = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_CHUNK))
+    chunks = F.transform(places, lambda at: F.slice(values, at, F.lit(_CHUNK)))
+    whole = lambda c: F.transform(c, lambda x: F.aggregate(x, zero, combine))
+    return _let(chunks, lambda c: F.flatten(F.zip_with(c, running(whole(c), zero), running)))
+
+
+def _placed(text: Column, pattern: str, span: Callable[[Column, Column], Column]) -> Column:
+    """``span`` of the start and the value of each match, in order."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+
+    def place(pieces: Column) -> Column:
+        lengths = F.zip_with(pieces["gaps"], pieces["matches"], lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        starts = F.zip_with(_let(lengths, lambda x: _before(x, lambda a, v: a + v)), pieces["gaps"], lambda b, g: b + g)
+        return F.filter(F.zip_with(starts, pieces["matches"], span), lambda s: s["value"].isNotNull())
+
+    return _let(F.struct(matches.alias("matches"), gaps.alias("gaps")), place)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
     """The valid matches of a kind: structs of start, kind, end and the matched value."""
-    pieces = F.zip_with(
-        F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)),
-        F.split(text, PATTERNS[kind], -1),
-        lambda match, before: F.struct(match.alias("match"), before.alias("before")),
-    )
     order = F.lit(KINDS.index(kind))
-    none = F.array().cast(f"array<{_SPAN}>")
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["before"])
-        end = begin + F.coalesce(F.length(piece["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), order.alias("kind"), end.alias("end"), piece["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+    def span(start: Column, match: Column) -> Column:
+        end = start + F.length(match)
+        return F.struct(start.alias("start"), order.alias("kind"), end.alias("end"), match.alias("value"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
-    spans = F.filter(
-        F.aggregate(pieces, start, step)["found"], lambda s: s["value"].isNotNull() & _valid(kind, s["value"])
-    )
-    return F.when(F.regexp_like(text, F.lit(_NEEDS[kind])), spans).otherwise(none)
+    valid = F.filter(_placed(text, PATTERNS[kind], span), lambda s: _valid(kind, s["value"]))
+    return F.when(F.regexp_like(text, F.lit(_NEEDS[kind])), valid).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -123,93 +167,95 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.when(digits, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _contexts(text: Column, spans: Column, width: int) -> Column:
-    """For each base span the whole words nearby, as text and the place where it starts."""
-
-    def one(s: Column) -> Column:
-        start = F.greatest(s["start"] - width, F.lit(0))
-        return F.struct(
-            _entity(s).alias("entity"),
-            start.alias("at"),
-            # One more character on both sides tells whether the outer words are whole.
-            F.substring(text, (start + F.lit(1)).cast("int"), (s["start"] - start).cast("int")).alias("before"),
-            s["end"].alias("after_at"),
-            F.substring(text, (s["end"] + 1).cast("int"), F.lit(width)).alias("after"),
-        )
-
-    return F.transform(spans, one)
-
-
-def _terms(part: Column, at: Column, first_whole: Column, last_whole: Column) -> Column:
-    """The letter and digit runs of a text with their places; runs at a cut edge are left out."""
-    words = F.regexp_extract_all(part, F.lit(_TERM_RUN), F.lit(0))
-    gaps = F.split(part, _TERM_RUN, -1)
-    none = F.array().cast("array<struct<start:long,end:long,term:string>>")
-
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.coalesce(F.length(piece["word"]), F.lit(0))
-        found = F.struct(begin.alias("start"), end.alias("end"), F.lower(piece["word"]).alias("term"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
-
-    pieces = F.zip_with(words, gaps, lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
-    state = F.struct(at.alias("at"), none.alias("found"))
-    found = F.aggregate(pieces, state, step)["found"]
-    end = at + F.length(part)
-    return F.filter(
-        found, lambda t: t["term"].isNotNull() & (first_whole | (t["start"] > at)) & (last_whole | (t["end"] < end))
-    )
+def _identity(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(_TEXT[0]), F.xxhash64(F.lit(1), text).alias(_TEXT[1])]
 
 
-def disclosing_terms(rows: DataFrame, docs: DataFrame, size: int, generalise: float, remove: float, witnesses: int) -> DataFrame:
-    """(_row, start, end, removed) of the terms near a mention that give its entity away."""
-    mentions = rows.select("_row", "spans", "digest", F.explode("mentions").alias("m")).select("_row", "spans", "digest", "m.*")
-    mentions = mentions.withColumn("witness", F.xxhash64("before", "after"))
-    contexts, texts = F.count_distinct("witness").alias("contexts"), F.count_distinct("digest")
-    seen = mentions.groupBy("entity").agg(texts.alias("n_entity"), contexts)
-    # An entity with few contexts cannot have a term with enough of them.
-    supported = mentions.join(seen.where(F.col("contexts") >= witnesses), "entity")
-    cut = (F.col("at") == 0, F.length("after") < CONTEXT)
-    near = F.concat(
-        _terms(F.col("before"), F.col("at"), cut[0], F.lit(False)), _terms(F.col("after"), F.col("after_at"), F.lit(False), cut[1])
-    )
-    placed = supported.select("_row", "spans", "digest", "entity", "n_entity", "witness", F.explode(near).alias("t")).select(
-        "_row", "spans", "digest", "entity", "n_entity", "witness", "t.*"
-    )
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    placed = settle(placed.where(~inside & (F.length("term") >= 3)).drop("spans"))
-    joint = settle(
-        placed.groupBy("entity", "n_entity", "term").agg(texts.alias("n_joint"), contexts)
-        .where(F.col("contexts") >= witnesses).drop("contexts")
-    )
-    if joint.head(1) == []:
-        return placed.select("_row", "start", "end", F.lit(True).alias("removed")).where(F.lit(False))
-    wanted = joint.select("term").distinct()
+def _key(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
+
+
+def _term_keys(text: Column) -> Column:
+    """The different terms of a text, as hashes."""
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.regexp_like(t, F.lit(_IS_TERM)))
+    return F.array_distinct(F.transform(tokens, _key))
+
+
+def _term_places(text: Column) -> Column:
+    """Every term of a text with its place."""
+
+    def place(start: Column, token: Column) -> Column:
+        # The value only tells terms from other matches here.
+        value = F.when(F.regexp_like(token, F.lit(_IS_TERM)), F.lit(True))
+        return F.struct(_key(token).alias("term"), start.alias("start"), (start + F.length(token)).alias("end"), value.alias("value"))
+
+    return F.transform(_placed(text, _TOKEN, place), lambda t: t.dropFields("value"))
+
+
+def entity_classes(rows: DataFrame) -> DataFrame:
+    """(class, n_entity, text_1, text_2): the texts of each class of entities.
+
+    Entities named by the same texts have the same frequencies with every term; they
+    are told apart by the exclusive or of their texts' hashes.
+    """
+    named = settle(rows.select(*_TEXT, F.explode("spans").alias("s")).select(_entity(F.col("s")).alias("entity"), *_TEXT).distinct())
+    facts = named.groupBy("entity").agg(F.count("*").alias("n_entity"), *[F.bit_xor(t).alias(f"_{t}") for t in _TEXT])
+    facts = settle(facts.withColumn("class", F.xxhash64("n_entity", *[f"_{t}" for t in _TEXT])))
+    kept = facts.groupBy("class").agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"))
+    kept = settle(kept.withColumn("_n", F.col("n_entity")))
+    return settle(weighted_lookup(named, kept, ["entity"], "_n").select("class", "n_entity", *_TEXT))
+
+
+def disclosing_terms(
+    docs: DataFrame, rows: DataFrame, generalise: float, remove: float, witnesses: int
+) -> DataFrame:
+    """(text_1, text_2, start, end, removed) of each term, in any text, that gives an entity away.
+
+    ``docs`` holds text, ``rows`` the base spans and the identity of the same texts.
+    """
+    total = float(rows.select(*_TEXT).distinct().count())
+    classes = entity_classes(rows)
+    # The most texts a term can stand in and still tell ``generalise`` of the class.
+    ceiling = F.pow(F.lit(max(total, 1.0)), F.lit(1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
+    copies = rows.where(F.size("spans") > 0).groupBy(*_TEXT).agg(F.count("*").alias("_n"))
+    near = settle(classes.groupBy(*_TEXT).agg(F.max(ceiling).alias("_ceiling")).join(copies, list(_TEXT)))
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(F.sha2(text, 256).alias("digest"), F.explode(F.array_distinct(F.split(F.lower(text), _NOT_TERM))).alias("term"))
-    n_docs = words.join(wanted, "term").groupBy("term").agg(texts.alias("n_term"))
-    total = float(size)
+    held = docs.select(F.explode(_term_keys(text)).alias("term"), _identity(text)[0])
+    bit = F.expr(f"shiftleft(1L, cast(pmod({_TEXT[0]}, 64) as int))")
+    seen = settle(held.groupBy("term").agg(F.count("*").alias("n_rows"), F.bit_count(F.bit_or(bit)).alias("least")))
+    # Terms of texts that name an entity, where their frequency may be low enough.
+    naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(*_identity(text), _term_keys(text).alias("terms"))
+    naming = weighted_lookup(naming, near, _TEXT, "_n").select("_ceiling", F.explode("terms").alias("term"))
+    wanted = naming.groupBy("term").agg(F.max("_ceiling").alias("_ceiling")).join(seen, "term")
+    wanted = settle(wanted.where(F.col("least") <= F.col("_ceiling")).select("term"))
+    frequent = seen.join(wanted, "term", "left_anti").orderBy(F.col("n_rows").desc(), "term").limit(MOST_FREQUENT).select("term")
+    places = docs.select(*_identity(text), F.explode(_term_places(text)).alias("p")).select(*_TEXT, "p.*")
+    places = places.join(F.broadcast(frequent), "term", "left_anti").join(wanted, "term")
+    places = settle(places.distinct())  # copies of a text are one
+    found = settle(places.select("term", *_TEXT).distinct())
+    n_term = found.groupBy("term").agg(F.count("*").alias("n_term"))
+    joint = classes.join(found, list(_TEXT)).groupBy("class", "n_entity", "term").agg(F.count("*").alias("n_joint"))
     information = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = F.log2(F.col("n_joint") * total / (F.col("n_entity") * F.col("n_term")))
     told = F.when(information > 0, pmi / information)
-    telling = joint.join(n_docs, "term").withColumn("told", told).where(F.col("told") >= generalise)
-    found = placed.join(telling.select("entity", "term", "told"), ["entity", "term"])
-    return found.groupBy("_row", "start", "end").agg((F.max("told") >= remove).alias("removed"))
+    telling = joint.where(F.col("n_joint") >= witnesses).join(n_term, "term").withColumn("told", told)
+    telling = telling.where(F.col("told") >= generalise - 1e-12).groupBy("term")
+    telling = telling.agg((F.max("told") >= remove - 1e-12).alias("removed"))
+    return places.join(telling, "term").select(*_TEXT, "start", "end", "removed")
 
 
 def _sanitised(text: Column, spans: Column, names: Column) -> Column:
     """The text with each span replaced by its name; what overlaps an earlier span goes with it."""
+    ends = F.transform(spans, lambda s: s["end"])
+    part = lambda start, n: F.substring(text, (start + F.lit(1)).cast("int"), n.cast("int"))
 
-    def step(state: Column, s: Column) -> Column:
-        between = F.substring(text, (state["at"] + F.lit(1)).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+    def written(at: Column, s: Column) -> Column:
         name = F.when(s["kind"] == len(KINDS), F.when(s["value"] == "removed", "").otherwise("[TERM]")).otherwise(F.get(names, s["kind"]))
-        new = F.when(s["start"] < state["at"], F.lit("")).otherwise(F.concat(between, name))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(new)).alias("parts"))
+        return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(part(at, s["start"] - at), name))
 
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, state, step)
-    rest = F.substring(text, (done["at"] + F.lit(1)).cast("int"), F.length(text))
-    return F.concat(F.array_join(done["parts"], ""), rest)
+    parts = F.zip_with(_let(ends, lambda x: _before(x, lambda a, v: F.greatest(a, v))), spans, written)
+    last = F.coalesce(F.array_max(ends), F.lit(0).cast("long"))
+    return F.concat(F.array_join(parts, ""), part(last, F.length(text)))
 
 
 def personal_data(
@@ -222,26 +268,29 @@ def personal_data(
     """One row per document: doc_id, base_spans, spans (with the terms added), and sanitised text.
 
     Spans are structs of start, kind (its place in KINDS, then the term), end and the
-    value; places are code points, the end exclusive. ``sanitised`` names the kind in
-    the place of a base span and of a generalised term and omits removed terms; it is
-    left out without ``with_text``. Null counts as empty text, which has no spans;
-    null doc_ids and repeated rows are documents of their own; texts of any length are
-    read whole; an empty table gives an empty result.
+    value; places are code points, the end exclusive. Terms are runs of letters and
+    digits of any length, compared in lower case; none that overlaps a base span is
+    added. A term tells an entity only when ``witnesses`` different texts hold both.
+    ``sanitised`` names the kind in the place of a base span and of a generalised term
+    and omits removed terms; it is left out without ``with_text``. Null counts as empty
+    text, which has no spans; null doc_ids and repeated rows are documents of their
+    own; texts of any length are read whole; an empty table gives an empty result;
+    other columns are not read. Texts and terms meet by hashes of 128 and 64 bits.
     """
     text = F.coalesce("text", F.lit(""))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = kept.withColumn("spans", base_spans(F.col("text"))).withColumn("digest", F.sha2("text", 256))
-    rows = rows.withColumn("mentions", _contexts(F.col("text"), F.col("spans"), CONTEXT))
-    rows = numbered(rows if with_text else rows.drop("text"))
-    size = rows.agg(F.count_distinct("digest")).scalar()
-    terms = disclosing_terms(rows.where(F.size("spans") > 0), docs, size, generalise, remove, witnesses)
+    more = [text.alias("text")] if with_text else []
+    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(text), base_spans(text).alias("spans"), *more))
+    terms = disclosing_terms(docs, rows, generalise, remove, witnesses)
     added = F.struct(
-        F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.when(F.col("removed"), "removed").otherwise("general").alias("value")
-    )
-    terms = terms.groupBy("_row").agg(F.collect_set(added).alias("terms"))  # of one document
-    every = rows.join(terms, "_row", "left").withColumn(
-        "all_spans", F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>"))))
+        "start", F.lit(len(KINDS)).alias("kind"), "end", F.when(F.col("removed"), "removed").otherwise("general").alias("value")
     )
+    terms = terms.groupBy(*_TEXT).agg(F.collect_list(added).alias("_terms"))  # of one text
+    facts = settle(rows.groupBy(*_TEXT).agg(F.count("*").alias("_n")).join(terms, list(_TEXT), "left"))
+    every = weighted_lookup(rows, facts, _TEXT, "_n")
+    none = F.array().cast(f"array<{_SPAN}>")
+    free = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
+    own = F.when(F.size("spans") > 0, F.filter("_terms", free)).otherwise(F.col("_terms"))
+    every = every.withColumn("all_spans", F.array_sort(F.concat("spans", F.coalesce(own, none))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     clean = [_sanitised(F.col("text"), F.col("all_spans"), names).alias("sanitised")] if with_text else []
     return every.select("doc_id", F.col("spans").alias("base_spans"), F.col("all_spans").alias("spans"), *clean)

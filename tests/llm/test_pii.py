@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from opsframe.llm.pii import KINDS, personal_data, span_digest
+from opsframe.llm.pii import KINDS, _identity, base_spans, entity_classes, personal_data, span_digest
+from opsframe.sources.durable import settle
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -59,7 +64,9 @@ def rows_of(spark, found):
 def test_base_spans_equal_the_patterns(spark):
     found = rows_of(spark, CASES)
     for i, text in enumerate(CASES):
-        assert found[i] == expected(text), text
+        want = expected(text)
+        assert found[i][:5] == want[:5], text
+        assert set(filter(None, want[5].split(","))) <= set(found[i][5].split(","))
 
 
 @settings(max_examples=3, deadline=None)
@@ -79,33 +86,127 @@ def test_given_documents(spark):
         assert set(filter(None, want[5].split(","))) <= set(r.spans.split(","))
 
 
-def test_terms_that_disclose_are_found_and_replaced(spark):
-    noise = [(100 + i, f"common words about item{i} and other item{i % 7} things") for i in range(400)]
-    leaks = [(i, f"reach plumberjones about case{i} at jones@mail.org or visit house{i}") for i in range(6)]
-    docs = spark.createDataFrame(noise + leaks, "doc_id long, text string")
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+LOOKS = regex.compile(
+    r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:\.[0-9]++){3}"
+    r"|[0-9](?:[\x20-]?[0-9]){13,}+|[\p{L}\p{N}]++"
+)
+
+
+def words_of(text):
+    return [
+        (m.start(), m.end(), m.group().lower()) for m in LOOKS.finditer(text)
+        if WORD.fullmatch(m.group()) and not re.match("[0-9]{14}", m.group())
+    ]
+
+
+def disclosed(texts, generalise=0.9, remove=0.95, witnesses=1):
+    """{text: {(start, end): removed}} by pointwise mutual information over different texts."""
+    texts = set(texts)
+    where, entities = {}, {}
+    for text in texts:
+        for _, _, word in words_of(text):
+            where.setdefault(word, set()).add(text)
+        for kind, pattern in BASE.items():
+            for m in re.finditer(pattern, text):
+                if valid(kind, m.group()):
+                    value = re.sub("[^0-9]", "", m.group()) if kind in ("card", "phone") else m.group().lower()
+                    entities.setdefault((kind, value), set()).add(text)
+    told = {}
+    for holders in entities.values():
+        information = math.log2(len(texts) / len(holders))
+        for word, at in where.items():
+            both = len(at & holders)
+            if both >= max(witnesses, 1) and information > 0:
+                share = math.log2(both * len(texts) / (len(holders) * len(at))) / information
+                told[word] = max(share, told.get(word, -1))
+    out = {}
+    for text in texts:
+        spans = [(m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text) if valid(k, m.group())]
+        out[text] = {
+            (s, e): told[w] >= remove - 1e-12 for s, e, w in words_of(text)
+            if told.get(w, -1) >= generalise - 1e-12 and not any(a < e and b > s for a, b in spans)
+        }
+    return out
+
+
+def terms_of(spans):
+    return {(s.start, s.end): s.value == "removed" for s in spans if s.kind == len(KINDS)}
+
+
+@pytest.mark.parametrize("limits", [(0.9, 0.95, 1), (0.5, 0.9, 1), (0.8, 0.95, 2)])
+def test_terms_equal_brute_force(spark, limits):
+    rnd = random.Random(4)
+    common = ["the", "of", "and", "é", "人", "to", "x9"]
+    people = [f"p{i}@mail.org" for i in range(8)] + ["10.0.0.1", "+1 (743) 555-3824", "4785380592391139"]
+    texts = []
+    for i in range(300):
+        words = rnd.choices(common, k=rnd.randint(0, 12)) + rnd.choices([f"w{k}" for k in range(200)], k=rnd.randint(0, 8))
+        if i % 5 == 0:
+            who = rnd.sample(range(len(people)), rnd.randint(1, 2))
+            words += [people[k] for k in who] + [f"Nick{k}" for k in who] + [f"only{i}"] * 2
+        if i % 7 == 0:
+            words += [f"nick{rnd.randrange(11)}"]
+        rnd.shuffle(words)
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(words))
+    rows = texts + texts[:40] * 3 + [None, ""]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, term int")
+    want = disclosed([t or "" for t in rows], *limits)
+    got = {r.doc_id: r for r in personal_data(docs, True, *limits).collect()}
+    assert sum(map(len, want.values())) > 20 and len(got) == len(rows)
+    for i, text in enumerate(rows):
+        assert terms_of(got[i].spans) == want[text or ""], text
+        for (start, end), removed in terms_of(got[i].spans).items():
+            assert removed is False or WORD.search(text[start:end])
+
+
+def test_terms_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = disclosed(texts.values())
+    found = personal_data(docs, with_text=False).collect()
+    assert all(terms_of(r.spans) == want[texts[r.doc_id]] for r in found)
+    assert sum(bool(terms_of(r.spans)) for r in found) > 20
+
+
+def test_planted_terms_are_found_among_many_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    leaks = [(10**6 + i, f"the Zybulon of anna.z@mail.org, case {i}") for i in range(3)] + [(10**6 + 9, "zybulon was here")]
+    found = personal_data(docs.union(spark.createDataFrame(leaks, docs.schema))).where("doc_id >= 1000000").collect()
+    for r in found:
+        assert "zybulon" not in r.sanitised.lower() and "anna.z" not in r.sanitised
+    assert len(found) == 4 and all(" of " in r.sanitised for r in found if r.base_spans)
+
+
+def test_terms_in_documents_that_name_no_entity_are_marked(spark):
+    noise = [(100 + i, f"common words about item{i % 40} and other item{i % 7} things") for i in range(400)]
+    leaks = [(i, f"reach plumberjones about case{i} at jones@mail.org or visit common words") for i in range(6)]
+    apart = [(50, "common plumberjones " + "words and other things " * 90 + "PlumberJones")]
+    docs = spark.createDataFrame(noise + leaks + apart, "doc_id long, text string")
     rows = {r.doc_id: r for r in personal_data(docs).collect()}
-    assert all(not rows[i].spans for i, _ in noise)
-    for i, text in leaks:
-        terms = {text[s.start : s.end] for s in rows[i].spans if s.kind == len(KINDS)}
-        assert "plumberjones" in terms and f"case{i}" not in terms
-        assert "jones@mail.org" not in rows[i].sanitised and "plumberjones" not in rows[i].sanitised
-        assert "[EMAIL]" in rows[i].sanitised and f"house{i}" in rows[i].sanitised
+    assert all("common words" in rows[i].sanitised for i, _ in noise)
+    for i, _ in leaks:
+        assert "plumberjones" not in rows[i].sanitised and "[EMAIL]" in rows[i].sanitised and "jones@" not in rows[i].sanitised
+    assert "lumber" not in rows[50].sanitised and "words and other things" in rows[50].sanitised
 
 
 def test_copies_are_one_witness(spark):
     noise = [(100 + i, f"common words about item{i}") for i in range(300)]
     copies = [(i, "secret handshake of anna@mail.org is known") for i in range(9)]
     docs = spark.createDataFrame(noise + copies, "doc_id long, text string")
-    assert all(s.kind < len(KINDS) for r in personal_data(docs).collect() for s in r.spans)
-
-
-def test_copies_do_not_hide_a_disclosing_term(spark):
-    noise = [(100 + i, f"common words about item{i}") for i in range(300)]
-    telling = [(i, f"place{i} secret handshake of anna@mail.org is known{i}") for i in range(3)]
-    copies = [(1000 + i, telling[0][1]) for i in range(30)]
-    docs = spark.createDataFrame(noise + telling + copies, "doc_id long, text string")
-    rows = {r.doc_id: r.sanitised for r in personal_data(docs).collect()}
-    assert all("handshake" not in rows[i] for i, _ in telling + copies)
+    assert all(s.kind < len(KINDS) for r in personal_data(docs, witnesses=2).collect() for s in r.spans)
+    # Nor do copies hide a term.
+    more = [(50 + i, f"place{i} handshake of anna@mail.org known{i}") for i in range(2)]
+    docs = spark.createDataFrame(noise + copies + more, "doc_id long, text string")
+    rows = {r.doc_id: r.sanitised for r in personal_data(docs, witnesses=2).collect()}
+    assert all("handshake" not in rows[i] for i, _ in copies + more)
+
+
+def test_many_entities_of_one_text_are_one_class(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"u{i}@mail.org" for i in range(3000)) + " listed"), (2, "other"), (3, "more")], "doc_id long, text string")
+    rows = settle(docs.select(*_identity(F.col("text")), base_spans(F.col("text")).alias("spans")))
+    assert entity_classes(rows).count() == 1
+    assert [s.kind for r in personal_data(docs).collect() for s in r.spans if s.kind == len(KINDS)] == [len(KINDS)]
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")]])
