@@ -10,23 +10,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsframe.functions.arrays import before_each, let, placed, sums_before
+
 # A statement as strings, delimited names, comments and plain runs. A doubled
 # quote inside a string simply ends one token and starts the next.
 _TOKEN = r"""(?s)'[^']*'?|"[^"]*"?|--[^\n]*|/\*.*?(?:\*/|$)|[^'"/\-]+|."""
+_HIDES = r"""['"]|--|/\*"""
 
 _WORD = r"[\p{L}_$#@][\p{L}\p{N}_$#@]*+"
+_PART = rf'(?:{_WORD}|(?:"[^"]*+")++)'
 _EDGE = r"(?<![\p{L}\p{N}_$#@.])"
 _END = r"(?![\p{L}\p{N}_$#@])"
-_NOT_A_TABLE = rf"(?!(?:set|select|values|lateral|final|old|new){_END})"
-_NAME = rf"{_NOT_A_TABLE}{_WORD}(?:\s*+[./]\s*+{_WORD})?+"
-_ITEM = rf"{_NAME}(?!\s*+\()(?:\s+(?:as\s+)?{_WORD})?"
-
-# Where a clause that names tables may begin.
-_CLAUSE_START = rf"(?i)(?={_EDGE}(?:from|join|into|(?<!for\s)update){_END})(?<!distinct\s)"
-_CLAUSE = rf"(?i)^(?:(?:from|join)\s+{_ITEM}(?:\s*,\s*{_ITEM})*+|(?:into|update)\s+{_NAME})"
-_LEAD = r"(?i)^\s*(?:(?:from|join|into|update)\s+)?"
-_PARTS = rf"{_LEAD}(?:({_WORD})\s*+[./]\s*+)?({_WORD})"
-_CTE = rf"(?i)(?:{_EDGE}with\s+|,\s*)({_WORD})\s*+(?:\([^()]*\)\s*+)?as\s*+\("
+_NOT_A_TABLE = rf"(?!(?:set|select|values|lateral|final|old|new|unnest|with){_END})"
+_NAME = rf"{_NOT_A_TABLE}{_PART}(?:\s*+[./]\s*+{_PART})*+"
+
+# Where the meaning of a comma may change: a bracket, or a word that begins a clause.
+_ENDS_LIST = (
+    "where|group|having|order|fetch|for|union|except|intersect|minus|window|limit|offset|set|values|when|start|connect|with|optimize"
+)
+_CUT = rf"(?i)(?=[()]|(?<![\p{{L}}\p{{N}}_$#@.])(?:(?<!distinct\s{{1,9}})from|select|delete|{_ENDS_LIST}){_END})"
+# A bracket around joined tables: their list starts at the bracket.
+_JOINED = rf"(?i)^\(\s*+{_NAME}(?:\s+(?:as\s+)?{_PART})??\s+(?:cross|inner|left|right|full|natural|join){_END}"
+_LEAD = rf"(?i)(?:{_EDGE}(?:(?<!distinct\s{{1,9}})from|join|(?:insert|merge)\s+into|(?<!for\s{{1,9}})update|using){_END}\s*+|,\s*+)(?:(?:only|final\s+table){_END}\s*+)?+"
+_REFERENCE = rf"{_LEAD}(?:(?<=into\s{{1,9}}|update\s{{1,9}}){_NAME}|{_NAME}(?!\s*+\())"
+_CTE = rf"(?i){_EDGE}({_PART})\s*+(?:\([^()]*\)\s*+)?as\s*+(?:(?:not\s+)?materialized\s*+)?\("
+_HAS_CTE = rf"(?i){_EDGE}with{_END}"
 
 REFERENCE_TYPE = "array<struct<schema:string,name:string,name_start_position:int>>"
 
@@ -36,69 +44,141 @@ MODES = ("null", "stop", "skip")
 
 
 def mask_text(text: Column) -> Column:
-    """The text with strings and comments blanked, character positions unchanged."""
+    """The text with strings and comments blanked, character positions unchanged.
+
+    What stands between the quotes of a delimited name becomes a line of underscores, so
+    that a bracket or a word in it means nothing.
+    """
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     hidden = r"(?s)^(?:'|--|/\*).*"
-    return F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(t.rlike(hidden), F.repeat(F.lit(" "), F.length(t))).otherwise(t),
-        ),
-        "",
-    )
 
+    def blank(t: Column) -> Column:
+        name = F.concat(F.lit('"'), F.repeat(F.lit("_"), F.length(t) - 2), F.lit('"'))
+        return F.when(t.rlike(hidden), F.repeat(F.lit(" "), F.length(t))).when(t.rlike('(?s)^".*"$'), name).otherwise(t)
+
+    # Most texts have nothing to hide.
+    return F.when(text.rlike(_HIDES), F.array_join(F.transform(tokens, blank), "")).otherwise(text)
 
-def _with_offsets(pieces: Column, start: Column) -> Column:
-    """Consecutive pieces of a text, each with its 0-based offset."""
-    kind = "array<struct<offset:int,piece:string>>"
-    return F.reduce(
-        pieces,
-        F.struct(start.cast("int").alias("next"), F.array().cast(kind).alias("found")),
-        lambda acc, p: F.struct(
-            (acc["next"] + F.length(p)).alias("next"),
-            F.concat(acc["found"], F.array(F.struct(acc["next"].alias("offset"), p.alias("piece")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
 
+# What a segment begins with; the numbers order nothing.
+_OTHER, _SELECT, _FROM, _LIST_END, _OPEN, _OPEN_LIST, _CLOSE = range(7)
 
-def _clauses(masked: Column) -> Column:
-    """FROM / JOIN / INTO / UPDATE clauses of a masked text with their offsets."""
-    pieces = F.split(masked, _CLAUSE_START)
-    clauses = F.transform(
-        _with_offsets(pieces, F.lit(0)),
-        lambda p: F.struct(
-            p["offset"].alias("offset"),
-            F.regexp_extract(p["piece"], _CLAUSE, 0).alias("clause"),
-        ),
+
+def _code(segment: Column) -> Column:
+    """The kind of a segment by its first word or bracket."""
+    first = F.left(segment, F.lit(1))
+    return (
+        F.when(first == "(", F.when(segment.rlike(_JOINED), _OPEN_LIST).otherwise(_OPEN))
+        .when(first == ")", _CLOSE)
+        .when(segment.rlike(r"(?i)^from\b"), _FROM)
+        .when(segment.rlike(r"(?i)^(?:select|delete)\b"), _SELECT)
+        .when(segment.rlike(rf"(?i)^(?:{_ENDS_LIST}){_END}"), _LIST_END)
+        .otherwise(_OTHER)
     )
-    return F.filter(clauses, lambda c: c["clause"] != "")
 
 
-def reference_array(masked: Column) -> Column:
+def _last_event(codes: Column, wanted: Column) -> Column:
+    """For each place the code of the last event before it, among those that ``wanted`` marks."""
+    events = F.zip_with(codes, wanted, lambda c, w: F.struct(c.alias("c"), w.alias("w")))
+    numbered = F.transform(events, lambda e, i: F.when(e["w"], (i + 1) * 8 + e["c"]).otherwise(0).cast("long"))
+    return let(numbered, lambda n: F.transform(before_each(n, lambda a, b: F.greatest(a, b)), lambda x: (x % 8).cast("int")))
+
+
+def _in_list(codes: Column) -> Column:
+    """For each segment of one bracket after the other whether commas part tables in it.
+
+    FROM begins a list of tables when a SELECT or DELETE stands before it in the same
+    bracket, and not another FROM: those of ``extract(year from x)`` and ``fetch from c``
+    do not. A list ends with a word that begins another clause.
+    """
+    flag = lambda *kinds: (lambda c: c.isin(*kinds))
+    valid = F.zip_with(codes, _last_event(codes, F.transform(codes, flag(_SELECT, _FROM, _OPEN, _OPEN_LIST))), lambda c, last: (c != _FROM) | (last == _SELECT))
+    events = F.zip_with(codes, valid, lambda c, ok: ok & c.isin(_SELECT, _FROM, _LIST_END, _OPEN, _OPEN_LIST))
+
+    def state(marked: Column) -> Column:
+        pairs = F.zip_with(codes, marked, lambda c, e: F.struct(c.alias("c"), e.alias("e")))
+        own = F.zip_with(pairs, _last_event(codes, marked), lambda p, last: F.when(p["e"], p["c"]).otherwise(last))
+        return F.transform(own, flag(_FROM, _OPEN_LIST))
+
+    return let(events, state)
+
+
+def _marked(masked: Column) -> Column:
+    """The masked text with the commas that part no tables, and the FROMs that begin no
+    list, replaced by others of their length.
+
+    The text is cut at brackets and clause words. A running sum over the brackets is
+    the depth; put in the order of depth, the segments of one bracket stand together,
+    and what a segment means depends on the last events before it.
+    """
+    segments = F.transform(F.split(masked, _CUT), lambda s: F.struct(_code(s).alias("code"), s.alias("text")))
+
+    def by_depth(found: Column) -> Column:
+        steps = F.transform(found, lambda s: F.when(s["code"].isin(_OPEN, _OPEN_LIST), 1).when(s["code"] == _CLOSE, -1).otherwise(0).cast("long"))
+        depths = F.zip_with(let(steps, sums_before), steps, lambda b, s: b + s)
+        ordered = F.array_sort(F.transform(
+            F.zip_with(depths, found, lambda d, s: F.struct(d.alias("d"), s["code"].alias("c"))),
+            lambda s, i: F.struct(s["d"].alias("d"), i.alias("i"), s["c"].alias("c")),
+        ))
+        return let(ordered, lambda o: rejoined(found, o))
+
+    def rejoined(found: Column, ordered: Column) -> Column:
+        codes = F.transform(ordered, lambda o: o["c"])
+        flags = F.zip_with(ordered, let(codes, _in_list), lambda o, f: F.struct(o["i"].alias("i"), f.alias("f")))
+        return F.array_join(F.zip_with(found, F.array_sort(flags), written), "")
+
+    def written(segment: Column, flag: Column) -> Column:
+        text = segment["text"]
+        quiet = F.translate(F.when(segment["code"] == _FROM, F.overlay(text, F.lit("...."), F.lit(1))).otherwise(text), ",", ";")
+        listed = F.when(segment["code"] == _OPEN_LIST, F.overlay(text, F.lit(","), F.lit(1))).otherwise(text)
+        return F.when(flag["f"], listed).otherwise(quiet)
+
+    return let(segments, by_depth)
+
+
+def reference_array(masked: Column, text: Column | None = None) -> Column:
     """Table references of a masked text in text order.
 
-    Names are folded to upper case as ordinary identifiers are; the schema is
-    null when absent; positions are 1-based and point at the qualified name.
-    Names of common table expressions are no tables and are left out.
+    Names come from ``text`` (the masked one if it is not given): ordinary identifiers
+    are folded to upper case, delimited ones are taken as they are; the schema is the
+    part before the name and null when absent; positions are 1-based and point at the
+    qualified name. Names of common table expressions are no tables and are left out.
     """
+    given = masked if text is None else text
+
+    def part(name: Column) -> Column:
+        plain = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(name, F.lit('"')), plain).otherwise(F.upper(name))
+
+    def of(start: Column, match: Column) -> Column:
+        lead = F.length(F.regexp_extract(match, rf"^{_LEAD}", 0))
+        qualified = F.substring(given, (start + lead + 1).cast("int"), (F.length(match) - lead).cast("int"))
+        return F.struct(
+            F.regexp_extract_all(qualified, F.lit(_PART), F.lit(0)).alias("parts"),
+            F.lower(F.left(match, F.lit(5))).alias("lead"),
+            (start + lead + 1).alias("place"),
+        )
 
-    def of_clause(clause: Column) -> Column:
-        return F.transform(
-            _with_offsets(F.split(clause["clause"], r"(?<=,)"), clause["offset"]),
-            lambda p: F.struct(
-                F.nullif(F.upper(F.regexp_extract(p["piece"], _PARTS, 1)), F.lit("")).alias("schema"),
-                F.upper(F.regexp_extract(p["piece"], _PARTS, 2)).alias("name"),
-                (p["offset"] + F.length(F.regexp_extract(p["piece"], _LEAD, 0)) + 1).alias("name_start_position"),
-            ),
+    def named(r: Column) -> Column:
+        n = F.size(r["parts"])
+        return F.struct(
+            F.when(n > 1, part(F.get(r["parts"], n - 2))).alias("schema"),
+            part(F.get(r["parts"], n - 1)).alias("name"),
+            r["place"].alias("name_start_position"),
+            r["lead"].alias("lead"),
         )
 
-    ctes = F.transform(F.regexp_extract_all(masked, F.lit(_CTE), F.lit(1)), F.upper)
-    references = F.flatten(F.transform(_clauses(masked), of_clause))
-    return F.filter(
-        references,
-        lambda r: r["schema"].isNotNull() | ~F.array_contains(ctes, r["name"]),
-    ).cast(REFERENCE_TYPE)
+    found = F.transform(placed(let(masked, _marked), _REFERENCE, of), named)
+    ctes = F.transform(F.regexp_extract_all(given, F.lit(_CTE), F.lit(1)), part)
+    merge = F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
+
+    def kept(references: Column, own: Column) -> Column:
+        table = lambda r: (r["schema"].isNotNull() | ~F.array_contains(own, r["name"])) & ((r["lead"] != "using") | merge)
+        return F.transform(F.filter(references, table), lambda r: r.dropFields("lead"))
+
+    none = F.array().cast("array<string>")
+    own = F.when(masked.rlike(_HAS_CTE), ctes).otherwise(none)
+    return kept(found, own).cast(REFERENCE_TYPE)
 
 
 def remove_first(text: Column, schema: Column, separator: str = GUARDED_SEPARATOR, whole_word: bool = False) -> Column:

@@ -41,7 +41,7 @@ def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_references(statements: DataFrame, name: str = "references") -> DataFrame:
     """Statements with an array of the table references in their text."""
     masked = _computed_once(statements, "_masked", mask_text(F.col("statement_text")))
-    return _computed_once(masked, name, reference_array(F.col("_masked"))).drop("_masked")
+    return _computed_once(masked, name, reference_array(F.col("_masked"), F.col("statement_text"))).drop("_masked")
 
 
 def table_references(statements: DataFrame) -> DataFrame:
