@@ -20,11 +20,10 @@ the bound used first, a 64-bit mask of the texts it stands in, never exceeds the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.arrays import before_each, let, placed, sums_before
 from opsframe.operators.lookup import weighted_lookup
 from opsframe.sources.durable import settle
 
@@ -35,7 +34,7 @@ REMOVE = 0.95
 WITNESSES = 1
 #: So many of the most frequent terms that disclose nothing are dropped before the shuffle
 #: that finds the others; a fixed number, so what is broadcast for it does not grow.
-MOST_FREQUENT = 1 << 17
+MOST_FREQUENT = 1 << 18
 
 # The fixed patterns. A match cannot start inside a run of its first class unless the
 # match before ended there, so the search never starts again in the middle of one.
@@ -53,19 +52,11 @@ _NEEDS = {
     "card": "[0-9](?:[ -]?[0-9]){13}",
     "phone": r"\+[0-9]",
 }
-# A term is a run of letters and digits outside of all that looks like an entity, valid or not.
-_TOKEN = "|".join(
-    (
-        r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        PATTERNS["phone"],
-        r"[0-9]++(?:\.[0-9]++){3}",
-        r"[0-9](?:[\x20-]?[0-9]){13,}+",
-        r"[\p{L}\p{N}]++",
-    )
-)
-_IS_TERM = r"^(?![0-9]{14})[\p{L}\p{N}]+$"
+# A term is a run of letters and digits.
+_NOT_TERM = r"[^\p{L}\p{N}]++"
+_PIECE = r"[^\p{L}\p{N}]*+[\p{L}\p{N}]++"
 _ANY = "|".join(_NEEDS.values())
-_TEXT = ("text_1", "text_2")  # a text's identity: 128 bits of hash
+_TEXT = "text_key"
 
 
 def _digits(match: Column) -> Column:
@@ -98,41 +89,6 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 _SPAN = "struct<start:long,kind:int,end:long,value:string>"
-_CHUNK = 64
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """For each value all before it combined, from 0 on. This is done in chunks, so that an
-    array that grows by one is copied a few dozen times, not as often as a text has matches."""
-
-    def running(some: Column, first: Column) -> Column:
-        state = F.struct(first.alias("total"), F.array().cast("array<long>").alias("found"))
-        step = lambda s, v: F.struct(combine(s["total"], v).alias("total"), F.concat(s["found"], F.array(s["total"])).alias("found"))
-        return F.aggregate(some, state, step)["found"]
-
-    zero = F.lit(0).cast("long")
-    places = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_CHUNK))
-    chunks = F.transform(places, lambda at: F.slice(values, at, F.lit(_CHUNK)))
-    whole = lambda c: F.transform(c, lambda x: F.aggregate(x, zero, combine))
-    return _let(chunks, lambda c: F.flatten(F.zip_with(c, running(whole(c), zero), running)))
-
-
-def _placed(text: Column, pattern: str, span: Callable[[Column, Column], Column]) -> Column:
-    """``span`` of the start and the value of each match, in order."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
-
-    def place(pieces: Column) -> Column:
-        lengths = F.zip_with(pieces["gaps"], pieces["matches"], lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long"))
-        starts = F.zip_with(_let(lengths, lambda x: _before(x, lambda a, v: a + v)), pieces["gaps"], lambda b, g: b + g)
-        return F.filter(F.zip_with(starts, pieces["matches"], span), lambda s: s["value"].isNotNull())
-
-    return _let(F.struct(matches.alias("matches"), gaps.alias("gaps")), place)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
@@ -143,7 +99,7 @@ def kind_spans(text: Column, kind: str) -> Column:
         end = start + F.length(match)
         return F.struct(start.alias("start"), order.alias("kind"), end.alias("end"), match.alias("value"))
 
-    valid = F.filter(_placed(text, PATTERNS[kind], span), lambda s: _valid(kind, s["value"]))
+    valid = F.filter(placed(text, PATTERNS[kind], span), lambda s: _valid(kind, s["value"]))
     return F.when(F.regexp_like(text, F.lit(_NEEDS[kind])), valid).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
@@ -167,81 +123,84 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.when(digits, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _identity(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias(_TEXT[0]), F.xxhash64(F.lit(1), text).alias(_TEXT[1])]
+def _identity(text: Column) -> Column:
+    return F.xxhash64(text).alias(_TEXT)
 
 
 def _key(term: Column) -> Column:
-    return F.xxhash64(F.lower(term))
+    return F.xxhash64(F.lower(term)).alias("term")
 
 
-def _term_keys(text: Column) -> Column:
-    """The different terms of a text, as hashes."""
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.regexp_like(t, F.lit(_IS_TERM)))
-    return F.array_distinct(F.transform(tokens, _key))
+def _words(text: Column) -> Column:
+    """The terms of a text and perhaps an empty one."""
+    return F.split(text, _NOT_TERM)
 
 
-def _term_places(text: Column) -> Column:
-    """Every term of a text with its place."""
+def term_places(docs: DataFrame) -> DataFrame:
+    """(text_key, term, start, end) for every term of every text.
 
-    def place(start: Column, token: Column) -> Column:
-        # The value only tells terms from other matches here.
-        value = F.when(F.regexp_like(token, F.lit(_IS_TERM)), F.lit(True))
-        return F.struct(_key(token).alias("term"), start.alias("start"), (start + F.length(token)).alias("end"), value.alias("value"))
-
-    return F.transform(_placed(text, _TOKEN, place), lambda t: t.dropFields("value"))
+    A text is cut behind each term; the lengths of the pieces add up to the places.
+    """
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    ends = lambda p: let(F.transform(p, lambda x: F.length(x).cast("long")), sums_before)
+    zipped = let(pieces, lambda p: F.arrays_zip(p.alias("piece"), ends(p).alias("begin")))
+    found = docs.select(_identity(text), F.explode(zipped).alias("p"))
+    piece, begin = F.col("p.piece"), F.col("p.begin")
+    found = found.select(_TEXT, F.regexp_extract(piece, r"[\p{L}\p{N}]++$", 0).alias("_word"), (begin + F.length(piece)).cast("int").alias("end"))
+    return found.select(_TEXT, _key(F.col("_word")), (F.col("end") - F.length("_word")).alias("start"), "end")
 
 
 def entity_classes(rows: DataFrame) -> DataFrame:
-    """(class, n_entity, text_1, text_2): the texts of each class of entities.
+    """(class, n_entity, text_key): the texts of each class of entities.
 
     Entities named by the same texts have the same frequencies with every term; they
-    are told apart by the exclusive or of their texts' hashes.
+    are told apart by two exclusive ors of hashes of their texts.
     """
-    named = settle(rows.select(*_TEXT, F.explode("spans").alias("s")).select(_entity(F.col("s")).alias("entity"), *_TEXT).distinct())
-    facts = named.groupBy("entity").agg(F.count("*").alias("n_entity"), *[F.bit_xor(t).alias(f"_{t}") for t in _TEXT])
-    facts = settle(facts.withColumn("class", F.xxhash64("n_entity", *[f"_{t}" for t in _TEXT])))
-    kept = facts.groupBy("class").agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"))
-    kept = settle(kept.withColumn("_n", F.col("n_entity")))
-    return settle(weighted_lookup(named, kept, ["entity"], "_n").select("class", "n_entity", *_TEXT))
+    named = settle(rows.select(_TEXT, F.explode("spans").alias("s")).select(_entity(F.col("s")).alias("entity"), _TEXT).distinct())
+    both = F.bit_xor(_TEXT).alias("_one"), F.bit_xor(F.xxhash64(_TEXT)).alias("_other")
+    facts = settle(named.groupBy("entity").agg(F.count("*").alias("n_entity"), *both))
+    kept = facts.groupBy("n_entity", "_one", "_other").agg(F.min("entity").alias("entity"))
+    kept = settle(kept.select("entity", F.col("entity").alias("class"), "n_entity", F.col("n_entity").alias("_n")))
+    return settle(weighted_lookup(named, kept, ["entity"], "_n").select("class", "n_entity", _TEXT))
 
 
 def disclosing_terms(
     docs: DataFrame, rows: DataFrame, generalise: float, remove: float, witnesses: int
 ) -> DataFrame:
-    """(text_1, text_2, start, end, removed) of each term, in any text, that gives an entity away.
+    """(text_key, start, end, removed) of each term, in any text, that gives an entity away.
 
     ``docs`` holds text, ``rows`` the base spans and the identity of the same texts.
     """
-    total = float(rows.select(*_TEXT).distinct().count())
+    total = float(rows.select(_TEXT).distinct().count())
     classes = entity_classes(rows)
     # The most texts a term can stand in and still tell ``generalise`` of the class.
     ceiling = F.pow(F.lit(max(total, 1.0)), F.lit(1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
-    copies = rows.where(F.size("spans") > 0).groupBy(*_TEXT).agg(F.count("*").alias("_n"))
-    near = settle(classes.groupBy(*_TEXT).agg(F.max(ceiling).alias("_ceiling")).join(copies, list(_TEXT)))
+    copies = rows.where(F.size("spans") > 0).groupBy(_TEXT).agg(F.count("*").alias("_n"))
+    near = settle(classes.groupBy(_TEXT).agg(F.max(ceiling).alias("_ceiling")).join(copies, _TEXT))
     text = F.coalesce("text", F.lit(""))
-    held = docs.select(F.explode(_term_keys(text)).alias("term"), _identity(text)[0])
-    bit = F.expr(f"shiftleft(1L, cast(pmod({_TEXT[0]}, 64) as int))")
-    seen = settle(held.groupBy("term").agg(F.count("*").alias("n_rows"), F.bit_count(F.bit_or(bit)).alias("least")))
+    # How often each term stands anywhere, and the mask of the texts it stands in.
+    held = docs.select(_identity(text), F.explode(_words(text)).alias("_word")).select(_TEXT, _key(F.col("_word")))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({_TEXT}, 64) as int))")
+    seen = settle(held.groupBy("term").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("least")))
     # Terms of texts that name an entity, where their frequency may be low enough.
-    naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(*_identity(text), _term_keys(text).alias("terms"))
-    naming = weighted_lookup(naming, near, _TEXT, "_n").select("_ceiling", F.explode("terms").alias("term"))
-    wanted = naming.groupBy("term").agg(F.max("_ceiling").alias("_ceiling")).join(seen, "term")
-    wanted = settle(wanted.where(F.col("least") <= F.col("_ceiling")).select("term"))
-    frequent = seen.join(wanted, "term", "left_anti").orderBy(F.col("n_rows").desc(), "term").limit(MOST_FREQUENT).select("term")
-    places = docs.select(*_identity(text), F.explode(_term_places(text)).alias("p")).select(*_TEXT, "p.*")
-    places = places.join(F.broadcast(frequent), "term", "left_anti").join(wanted, "term")
+    naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(_identity(text), F.array_distinct(_words(text)).alias("words"))
+    naming = weighted_lookup(naming, near, [_TEXT], "_n").select("_ceiling", F.explode("words").alias("_word"))
+    wanted = naming.where("_word <> ''").groupBy(_key(F.col("_word"))).agg(F.max("_ceiling").alias("_ceiling"))
+    wanted = settle(wanted.join(seen, "term").where(F.col("least") <= F.col("_ceiling")).select("term"))
+    frequent = seen.join(wanted, "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(MOST_FREQUENT).select("term")
+    places = term_places(docs).join(F.broadcast(frequent), "term", "left_anti").join(wanted, "term")
     places = settle(places.distinct())  # copies of a text are one
-    found = settle(places.select("term", *_TEXT).distinct())
+    found = settle(places.select("term", _TEXT).distinct())
     n_term = found.groupBy("term").agg(F.count("*").alias("n_term"))
-    joint = classes.join(found, list(_TEXT)).groupBy("class", "n_entity", "term").agg(F.count("*").alias("n_joint"))
+    joint = classes.join(found, _TEXT).groupBy("class", "n_entity", "term").agg(F.count("*").alias("n_joint"))
     information = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = F.log2(F.col("n_joint") * total / (F.col("n_entity") * F.col("n_term")))
     told = F.when(information > 0, pmi / information)
     telling = joint.where(F.col("n_joint") >= witnesses).join(n_term, "term").withColumn("told", told)
     telling = telling.where(F.col("told") >= generalise - 1e-12).groupBy("term")
     telling = telling.agg((F.max("told") >= remove - 1e-12).alias("removed"))
-    return places.join(telling, "term").select(*_TEXT, "start", "end", "removed")
+    return places.join(telling, "term").select(_TEXT, "start", "end", "removed")
 
 
 def _sanitised(text: Column, spans: Column, names: Column) -> Column:
@@ -253,7 +212,7 @@ def _sanitised(text: Column, spans: Column, names: Column) -> Column:
         name = F.when(s["kind"] == len(KINDS), F.when(s["value"] == "removed", "").otherwise("[TERM]")).otherwise(F.get(names, s["kind"]))
         return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(part(at, s["start"] - at), name))
 
-    parts = F.zip_with(_let(ends, lambda x: _before(x, lambda a, v: F.greatest(a, v))), spans, written)
+    parts = F.zip_with(let(ends, lambda x: before_each(x, lambda a, v: F.greatest(a, v))), spans, written)
     last = F.coalesce(F.array_max(ends), F.lit(0).cast("long"))
     return F.concat(F.array_join(parts, ""), part(last, F.length(text)))
 
@@ -269,24 +228,25 @@ def personal_data(
 
     Spans are structs of start, kind (its place in KINDS, then the term), end and the
     value; places are code points, the end exclusive. Terms are runs of letters and
-    digits of any length, compared in lower case; none that overlaps a base span is
-    added. A term tells an entity only when ``witnesses`` different texts hold both.
+    digits of any length, compared in lower case, those inside an entity included; none
+    that overlaps a base span is added. A term tells an entity only when ``witnesses`` different texts hold both.
     ``sanitised`` names the kind in the place of a base span and of a generalised term
     and omits removed terms; it is left out without ``with_text``. Null counts as empty
     text, which has no spans; null doc_ids and repeated rows are documents of their
     own; texts of any length are read whole; an empty table gives an empty result;
-    other columns are not read. Texts and terms meet by hashes of 128 and 64 bits.
+    other columns are not read. Texts and terms are counted by 64 bits of hash.
     """
     text = F.coalesce("text", F.lit(""))
     more = [text.alias("text")] if with_text else []
-    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(text), base_spans(text).alias("spans"), *more))
+    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identity(text), base_spans(text).alias("spans"), *more))
     terms = disclosing_terms(docs, rows, generalise, remove, witnesses)
     added = F.struct(
-        "start", F.lit(len(KINDS)).alias("kind"), "end", F.when(F.col("removed"), "removed").otherwise("general").alias("value")
+        F.col("start").cast("long").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("end").cast("long").alias("end"),
+        F.when(F.col("removed"), "removed").otherwise("general").alias("value")
     )
-    terms = terms.groupBy(*_TEXT).agg(F.collect_list(added).alias("_terms"))  # of one text
-    facts = settle(rows.groupBy(*_TEXT).agg(F.count("*").alias("_n")).join(terms, list(_TEXT), "left"))
-    every = weighted_lookup(rows, facts, _TEXT, "_n")
+    terms = terms.groupBy(_TEXT).agg(F.collect_list(added).alias("_terms"))  # of one text
+    facts = settle(rows.groupBy(_TEXT).agg(F.count("*").alias("_n")).join(terms, _TEXT, "left"))
+    every = weighted_lookup(rows, facts, [_TEXT], "_n")
     none = F.array().cast(f"array<{_SPAN}>")
     free = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
     own = F.when(F.size("spans") > 0, F.filter("_terms", free)).otherwise(F.col("_terms"))

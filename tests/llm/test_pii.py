@@ -87,17 +87,10 @@ def test_given_documents(spark):
 
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-LOOKS = regex.compile(
-    r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:\.[0-9]++){3}"
-    r"|[0-9](?:[\x20-]?[0-9]){13,}+|[\p{L}\p{N}]++"
-)
 
 
 def words_of(text):
-    return [
-        (m.start(), m.end(), m.group().lower()) for m in LOOKS.finditer(text)
-        if WORD.fullmatch(m.group()) and not re.match("[0-9]{14}", m.group())
-    ]
+    return [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
 
 
 def disclosed(texts, generalise=0.9, remove=0.95, witnesses=1):
@@ -204,7 +197,7 @@ def test_copies_are_one_witness(spark):
 
 def test_many_entities_of_one_text_are_one_class(spark):
     docs = spark.createDataFrame([(1, " ".join(f"u{i}@mail.org" for i in range(3000)) + " listed"), (2, "other"), (3, "more")], "doc_id long, text string")
-    rows = settle(docs.select(*_identity(F.col("text")), base_spans(F.col("text")).alias("spans")))
+    rows = settle(docs.select(_identity(F.col("text")), base_spans(F.col("text")).alias("spans")))
     assert entity_classes(rows).count() == 1
     assert [s.kind for r in personal_data(docs).collect() for s in r.spans if s.kind == len(KINDS)] == [len(KINDS)]
 
