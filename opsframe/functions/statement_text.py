@@ -5,8 +5,6 @@ Everything works inside one row, so a job built on these needs no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,21 +196,21 @@ def strip_chain(
     schemas: Column,
     mode: str,
     separator: str = GUARDED_SEPARATOR,
-    keep: Sequence[str] = (),
+    keep: Column | None = None,
     whole_word: bool = False,
 ) -> Column:
     """Apply ``remove_first`` for each schema of an array, in order.
 
     ``mode`` says what a null schema does: ``"null"`` makes the text null,
     ``"stop"`` leaves the first reference alone and ends the chain at any later
-    one, ``"skip"`` passes over it. Schemas in ``keep`` are passed over.
+    one, ``"skip"`` passes over it. Schemas in the array ``keep`` are passed over.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
 
     def strip(current: Column, schema: Column) -> Column:
         stripped = remove_first(current, schema, separator, whole_word)
-        return F.when(schema.isin(list(keep)), current).otherwise(stripped) if keep else stripped
+        return stripped if keep is None else F.when(F.array_contains(keep, schema), current).otherwise(stripped)
 
     if mode == "null":
         return F.reduce(schemas, text, strip)

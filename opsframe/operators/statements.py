@@ -26,6 +26,10 @@ from opsframe.sources.durable import settle
 # Schemas that are the same on every system and stay in place.
 STATIC_SCHEMAS = ("QSYS", "QSYS2", "QTEMP", "SESSION", "SYSIBM", "QUSRSYS", "QUSRBRM")
 
+#: A table of static schemas with up to so many names is given to every task.
+MOST_STATIC = 10_000
+Static = Sequence[str] | DataFrame
+
 _STATEMENT = "statement_number"
 
 
@@ -59,32 +63,58 @@ def table_references(statements: DataFrame) -> DataFrame:
     )
 
 
-def _is_static(schema: Column, static: Sequence[str]) -> Column:
-    return schema.isin(list(static))
+def _static_names(static: Static) -> list[str | None] | None:
+    """The static schemas as a list; None for a table of more than MOST_STATIC names."""
+    if not isinstance(static, DataFrame):
+        return list(static)
+    found = static.select(F.rtrim(F.col(static.columns[0]).cast("string")).alias("name")).distinct().limit(MOST_STATIC + 1)
+    names = [row.name for row in found.collect()]
+    return names if len(names) <= MOST_STATIC else None
+
 
+def _is_in(schema: Column, names: list[str | None]) -> Column:
+    """IN as SQL has it: unknown where the schema is null, or not found next to a null."""
+    return schema.isin(names) if names else F.lit(False) & schema.isNotNull()
 
-def _needs_strip(schema: Column, static: Sequence[str]) -> Column:
-    return schema.isNotNull() & ~_is_static(schema, static)
 
+def _mark_static(references: DataFrame, static: Static) -> DataFrame:
+    """Rows with a ``schema`` and whether it is static: true, false, or unknown as with IN.
 
-def _clean(schema: Column, static: Sequence[str]) -> Column:
-    return schema.isNull() | _is_static(schema, static)
+    A list, or a table up to MOST_STATIC names, becomes a literal. A larger table is joined:
+    each different schema once, then the references by schema, without a shuffle for those
+    that many references share.
+    """
+    names = _static_names(static)
+    if names is not None:
+        return references.withColumn("_static", _is_in(F.col("schema"), names))
+    library = static.select(F.rtrim(F.col(static.columns[0]).cast("string")).alias("schema"))
+    unknown = library.where(F.col("schema").isNull()).limit(1).count() > 0
+    references = settle(references)
+    used = references.where(F.col("schema").isNotNull()).groupBy("schema").agg(F.count("*").alias("_n"))
+    known = library.distinct().withColumn("_static", F.lit(True))
+    missing = F.lit(None).cast("boolean") if unknown else F.lit(False)
+    facts = settle(used.join(known, "schema", "left").withColumn("_static", F.coalesce("_static", missing)))
+    bare = references.where(F.col("schema").isNull()).withColumn("_static", F.lit(None).cast("boolean"))
+    return weighted_lookup(references, facts, ["schema"], "_n").unionByName(bare)
 
 
-def _stripped(
-    text: Column, schemas: Column, guarded: bool, mode: str, static: Sequence[str], keep_static: bool, whole_word: bool
-) -> Column:
-    separator = GUARDED_SEPARATOR if guarded else SIMPLE_SEPARATOR
-    return strip_chain(text, schemas, mode, separator, static if keep_static else (), whole_word)
+def _needs_strip(schema: Column, is_static: Column) -> Column:
+    """Qualified, and not in the static schemas; not where that is unknown."""
+    return schema.isNotNull() & F.coalesce(~is_static, F.lit(False))
+
+
+def _clean(schema: Column, is_static: Column) -> Column:
+    return schema.isNull() | F.coalesce(is_static, F.lit(False))
 
 
 def strip_references(
     references: DataFrame,
     guarded: bool = True,
     mode: str = "skip",
-    static: Sequence[str] = STATIC_SCHEMAS,
+    static: Static = STATIC_SCHEMAS,
     keep_static: bool = False,
     whole_word: bool = False,
+    statements: DataFrame | None = None,
 ) -> DataFrame:
     """Statement texts without schemas, from rows of ``table_references``.
 
@@ -95,59 +125,67 @@ def strip_references(
     guard and ``"null"`` without are the strict chains. A statement without
     reference 1 gives nothing, and its chain ends at a gap in the numbers.
 
-    A group is the references of one statement, bounded by its own text; only
-    number and schema of each are collected, the text is kept once.
+    ``static`` is a list or a table of schemas; next to a null in the table no schema
+    is known not to be static, as with NOT IN. With ``statements`` the texts are joined
+    by number after the references are folded; without, they come from the references.
+    A group is the references of one statement, bounded by its own text; only number
+    and schema of each are collected.
     """
-    grouped = references.groupBy(_STATEMENT).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "schema"))).alias("_refs"),
-        F.any_value("statement_text").alias("original_statement"),
-    )
-    chained = F.filter("_refs", lambda r, i: r["seq"] == i + 1)
+    narrow = references.select(_STATEMENT, "seq", "schema", *([] if statements is not None else ["statement_text"]))
+    refs = F.sort_array(F.collect_list(F.struct("seq", "schema", "_static"))).alias("_refs")
+    texts = [] if statements is not None else [F.any_value("statement_text").alias("original_statement")]
+    grouped = _mark_static(narrow, static).groupBy(_STATEMENT).agg(refs, *texts)
     if guarded:
-        grouped = grouped.where(F.exists("_refs", lambda r: _needs_strip(r["schema"], static)))
-    schemas = grouped.withColumn("_schemas", F.transform(chained, lambda r: r["schema"]))
-    return _finish(schemas, guarded, mode, static, keep_static, whole_word)
+        grouped = grouped.where(F.exists("_refs", lambda r: _needs_strip(r["schema"], r["_static"])))
+    chained = grouped.withColumn("_refs", F.filter("_refs", lambda r, i: r["seq"] == i + 1)).where(F.size("_refs") > 0)
+    if statements is not None:
+        chained = chained.join(statements.select(_STATEMENT, F.col("statement_text").alias("original_statement")), _STATEMENT)
+    return _finish(chained, guarded, mode, keep_static, whole_word)
 
 
 def strip_statements(
     statements: DataFrame,
     guarded: bool = True,
     mode: str = "skip",
-    static: Sequence[str] = STATIC_SCHEMAS,
+    static: Static = STATIC_SCHEMAS,
     keep_static: bool = False,
     whole_word: bool = False,
 ) -> DataFrame:
-    """``strip_references`` straight from the texts (statement numbers are unique);
-    scan, find and strip stay in one stage without an exchange."""
-    found = with_references(statements).select(
-        _STATEMENT,
-        F.col("statement_text").alias("original_statement"),
-        F.transform("references", lambda r: r["schema"]).alias("_schemas"),
-    )
-    if guarded:
-        found = found.where(F.exists("_schemas", lambda s: _needs_strip(s, static)))
-    return _finish(found, guarded, mode, static, keep_static, whole_word)
-
-
-def _finish(found: DataFrame, guarded: bool, mode: str, static, keep_static: bool, whole_word: bool) -> DataFrame:
-    text = _stripped(F.col("original_statement"), F.col("_schemas"), guarded, mode, static, keep_static, whole_word)
-    found = found.where(F.size("_schemas") > 0)
+    """``strip_references`` straight from the texts (statement numbers are unique); scan,
+    find and strip stay in one stage without an exchange. A table of static schemas too
+    large for a literal is looked up by schema, and the texts are joined by number."""
+    names = _static_names(static)
+    if names is None:
+        found = table_references(statements).drop("statement_text")
+        return strip_references(found, guarded, mode, static, keep_static, whole_word, statements)
+    refs = F.transform("references", lambda r: F.struct(r["schema"].alias("schema"), _is_in(r["schema"], names).alias("_static")))
+    found = with_references(statements).select(_STATEMENT, F.col("statement_text").alias("original_statement"), refs.alias("_refs"))
+    wanted = F.exists("_refs", lambda r: _needs_strip(r["schema"], r["_static"])) if guarded else F.size("_refs") > 0
+    return _finish(found.where(wanted), guarded, mode, keep_static, whole_word)
+
+
+def _finish(found: DataFrame, guarded: bool, mode: str, keep_static: bool, whole_word: bool) -> DataFrame:
+    separator = GUARDED_SEPARATOR if guarded else SIMPLE_SEPARATOR
+    schemas = F.transform("_refs", lambda r: r["schema"])
+    keep = F.transform(F.filter("_refs", lambda r: r["_static"]), lambda r: r["schema"]) if keep_static else None
+    text = strip_chain(F.col("original_statement"), schemas, mode, separator, keep, whole_word)
     return _computed_once(found, "statement_text_parsed", text).select(
         _STATEMENT, "statement_text_parsed", "original_statement"
     )
 
 
-def strip_audit(references: DataFrame, dirty: bool, static: Sequence[str] = STATIC_SCHEMAS) -> DataFrame:
+def strip_audit(references: DataFrame, dirty: bool, static: Static = STATIC_SCHEMAS) -> DataFrame:
     """Reference rows and statements of the statements with at least one
     reference to strip (``dirty``) or one that needs none; a statement can be both.
 
     Counted per statement first: one exchange of counters, no join of the
-    references with themselves.
+    references with themselves. ``static`` as in ``strip_references``.
     """
     wanted = _needs_strip if dirty else _clean
-    per_statement = references.groupBy(_STATEMENT).agg(
+    marked = _mark_static(references.select(_STATEMENT, "schema"), static)
+    per_statement = marked.groupBy(_STATEMENT).agg(
         F.count("*").alias("_rows"),
-        F.bool_or(wanted(F.col("schema"), static)).alias("_wanted"),
+        F.bool_or(wanted(F.col("schema"), F.col("_static"))).alias("_wanted"),
     )
     return per_statement.where("_wanted").agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("reference_rows"),
@@ -155,13 +193,18 @@ def strip_audit(references: DataFrame, dirty: bool, static: Sequence[str] = STAT
     )
 
 
-def audit_statements(statements: DataFrame, static: Sequence[str] = STATIC_SCHEMAS) -> DataFrame:
-    """Both audits of ``strip_audit`` in one pass over the texts: a row "clean" and
-    a row "dirty"; only counters are shuffled."""
+def audit_statements(statements: DataFrame, static: Static = STATIC_SCHEMAS) -> DataFrame:
+    """Both audits of ``strip_audit`` in one pass over the texts: a row "clean" and a row
+    "dirty"; only counters are shuffled (and references, for a large table of schemas)."""
     kinds = {"clean": _clean, "dirty": _needs_strip}
+    names = _static_names(static)
+    if names is None:
+        narrow = settle(table_references(statements).select(_STATEMENT, "schema"))
+        audits = [strip_audit(narrow, kind == "dirty", static).select(F.lit(kind).alias("audit"), "*") for kind in kinds]
+        return audits[0].unionByName(audits[1])
 
     def any_reference(wanted) -> Column:
-        return F.exists("references", lambda r: wanted(r["schema"], static))
+        return F.exists("references", lambda r: wanted(r["schema"], _is_in(r["schema"], names)))
 
     found = with_references(statements).select(
         F.size("references").cast("bigint").alias("_rows"),

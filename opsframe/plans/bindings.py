@@ -137,6 +137,12 @@ _Q2 = f"case when o_custkey % 4 = 0 then '' else 'lib' || {_text('o_custkey % 3'
 _Q3 = "case when o_orderkey % 3 = 0 then '' else 'QSYS2.' end"
 _T1, _T2 = f"'ORD' || {_text('o_orderkey % 7')}", "'CUST'"
 
+# Fixed-width names, as the table of libraries keeps them.
+STATIC_LIBRARIES = """
+select rpad(case when n_nationkey % 5 = 0 then 'QSYS2' when n_nationkey % 5 = 1 then 'LIB0'
+  else 'LIB' || cast(n_nationkey as string) end, 10, ' ') as library
+from {nation} where n_nationkey not in (2, 3)"""
+
 STATEMENTS = f"""
 select o_orderkey as statement_number,
   'Select a.* from ' || {_Q1} || {_T1} || ' a, ' || {_Q2} || {_T2} || ' b join ' || {_Q3} || 'NOTES c on a.id = b.id'
@@ -271,6 +277,7 @@ BINDINGS = {
     "active_jobs": ACTIVE_JOBS,
     "job_statements": JOB_STATEMENTS,
     "job_snapshot": JOB_SNAPSHOT,
+    "static_libraries": STATIC_LIBRARIES,
     "statements": STATEMENTS,
     "refs": REFERENCES,
     "document_statements": DOCUMENT_STATEMENTS,

@@ -27,6 +27,7 @@ from opsframe.operators import (
 from opsframe.operators.collections import active_collections
 from opsframe.plans.bindings import derived
 from opsframe.sources import archive, members
+from opsframe.sources.durable import scratch_folder
 from opsframe.sources.tables import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +216,25 @@ def snapshot_capture(spark, folder):
     return archive.with_capture_date(_decoded(spark, folder), "2024-02-01")
 
 
+@query
+def snapshot_append(spark, folder):
+    """Two captures of one day, which share statements, and one of the next; what the
+    archive then holds of both days, and what was refused."""
+    numbered = _decoded(spark, folder)
+    one, two = numbered.where("statement_number % 3 <> 0"), numbered.where("statement_number % 3 <> 1")
+    path = scratch_folder(spark, "archive")
+    captures = (("2024-02-01", one), ("2024-02-01", two), ("2024-02-02", one))
+    told = [
+        archive.append_snapshot(df, day, path).select(F.lit(i).alias("capture"), "status", "statement_number")
+        for i, (day, df) in enumerate(captures, 1)
+    ]
+    refused = told[0].unionByName(told[1]).unionByName(told[2]).where(F.col("status") != archive.ACCEPTED)
+    held = archive.read_archive(spark, path).select(
+        F.dayofmonth(archive.CAPTURE_DATE).alias("capture"), F.lit("held").alias("status"), "statement_number"
+    )
+    return held.unionByName(refused)
+
+
 @query
 def snapshot_counts(spark, folder):
     decoded = _decoded(spark, folder)
@@ -246,7 +266,8 @@ def _references(spark, folder):
 
 @query
 def strip_all(spark, folder):
-    return statements.strip_references(_references(spark, folder), guarded=False, mode="null")
+    texts = derived(spark, folder, "statements")
+    return statements.strip_references(_references(spark, folder), guarded=False, mode="null", statements=texts)
 
 
 @query
@@ -259,6 +280,25 @@ def strip_guarded(spark, folder):
     return statements.strip_references(_references(spark, folder), mode="stop", static=STATIC_PROOF)
 
 
+@query
+def strip_guarded_by_table(spark, folder):
+    static, texts = derived(spark, folder, "static_libraries"), derived(spark, folder, "statements")
+    return statements.strip_statements(texts, mode="stop", static=static)
+
+
+@query
+def strip_audit_by_table(spark, folder):
+    static, texts = derived(spark, folder, "static_libraries"), derived(spark, folder, "statements")
+    return statements.audit_statements(texts, static)
+
+
+@query
+def strip_audit_null_library(spark, folder):
+    static = derived(spark, folder, "static_libraries")
+    static = static.union(static.limit(1).select(F.lit(None).cast("string")))
+    return statements.strip_audit(_references(spark, folder), dirty=True, static=static)
+
+
 @query
 def strip_guarded_in_row(spark, folder):
     return statements.strip_statements(derived(spark, folder, "statements"), mode="stop", static=STATIC_PROOF)

@@ -34,7 +34,29 @@ def settle(df: DataFrame) -> DataFrame:
     when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the checkpoint folder; what is written there goes with the session."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    return path.toString()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing will read again.
+
+    Only for frames that come straight from ``settle``: plans built on them that have
+    not run yet fail afterwards.
+    """
+    spark = df.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path.getName().startswith("settled-") and files.makeQualified(path.getParent()).equals(files.makeQualified(root)):
+            files.delete(path, True)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -74,6 +76,46 @@ def test_archive(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "saved")).count() == 1
 
 
+def test_append_keeps_the_key_of_a_day_unique(spark, tmp_path):
+    path = str(tmp_path / "plans")
+    schema = "statement_number bigint, statement_text string"
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "n"), (3, "same"), (3, "same")], schema)
+    again = spark.createDataFrame([(2, "later"), (4, "d"), (None, "m")], schema)
+
+    def told(df, day):
+        return sorted((r.statement_number or 0, r.status) for r in archive.append_snapshot(df, day, path).collect())
+
+    want = [(0, "accepted"), (1, "accepted"), (2, "accepted"), (2, "repeated"), (3, "accepted"), (3, "repeated")]
+    assert told(first, "2024-01-01") == want
+    assert {status for _, status in told(first, "2024-01-01")} == {"present"}  # a job that runs twice adds nothing
+    assert told(again, "2024-01-01") == [(0, "present"), (2, "present"), (4, "accepted")]
+    assert told(again, "2024-01-02") == [(0, "accepted"), (2, "accepted"), (4, "accepted")]
+    assert told(first.limit(0), "2024-01-03") == []
+    held = archive.read_archive(spark, path)
+    assert held.columns == ["statement_number", "statement_text", "capture_date"]
+    assert checks.duplicate_keys(held, [archive.CAPTURE_DATE, "statement_number"]).count() == 0
+    assert held.count() == 8 and held.where("statement_text = 'later'").count() == 1
+    day = held.where("capture_date = date '2024-01-02'")
+    assert day.count() == 3 and "PartitionFilters: [isnotnull(capture_date" in final_plan(day)
+    scan = day._jdf.queryExecution().executedPlan().toString()
+    assert "capture_date" in scan and len(day.inputFiles()) >= 1
+    assert archive.latest_snapshot(held).count() == 3
+    # What a lost job left in staging is not read.
+    first.write.parquet(f"{path}/_staging/lost")
+    assert archive.read_archive(spark, path).count() == 8
+
+
+def test_discard_deletes_settled_files_only(spark, tmp_path):
+    settled = durable.settle(spark.range(10))
+    files = settled.inputFiles()
+    durable.discard(settled)
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
+    spark.range(3).write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    durable.discard(table)
+    assert table.count() == 3
+
+
 def test_reasons(spark):
     rows = [(3006, "AB", None)] * 3 + [(3006, "A1", None), (1000, "AB", "AB"), (1000, None, "B1"), (1000, None, None)]
     df = spark.createDataFrame(rows, "qqrid bigint, qqrcod string, qvc24 string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.statement_text import mask_text, remove_first, strip_chain
 from opsframe.operators import statements as job
+from tests.plans import planned
 
 
 def one(spark, text, schema=None):
@@ -213,3 +214,38 @@ def test_xref_skips_null_texts_and_counts_the_rest(spark):
     assert sorted(map(tuple, xref.collect())) == [(2, 1), (2, 2), (4, 4)]
     counts = job.fingerprint_counts(df).first()
     assert (counts.distinct_statements, counts.statements) == (2, 4)
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_static_schemas_as_a_table(spark, monkeypatch, most):
+    monkeypatch.setattr(job, "MOST_STATIC", most)  # 1: the table is joined
+    texts = [
+        (1, "select * from L1.a, QSYS2.b"), (2, "select 1 from QSYS.a, b"), (3, "values 1"),
+        (4, "select 1 from l2/a join QSYS.b on 1 = 1"), (5, "select 1 from L1.a"),
+    ]
+    df = spark.createDataFrame(texts, "statement_number bigint, statement_text string")
+    refs = job.table_references(df)
+    names = ["QSYS2", "QSYS", "L2"]
+    table = spark.createDataFrame([(n.ljust(10),) for n in names], "library string")
+    for options in ({"mode": "stop"}, {"keep_static": True}, {"guarded": False, "mode": "null"}):
+        want = sorted(map(tuple, job.strip_statements(df, static=names, **options).collect()))
+        assert want and sorted(map(tuple, job.strip_statements(df, static=table, **options).collect())) == want
+        assert sorted(map(tuple, job.strip_references(refs, static=table, **options).collect())) == want
+        assert sorted(map(tuple, job.strip_references(refs.drop("statement_text"), static=table, statements=df, **options).collect())) == want
+    want = {r.audit: (r.reference_rows, r.statements) for r in job.audit_statements(df, names).collect()}
+    assert want == {"clean": (6, 3), "dirty": (3, 2)}
+    assert {r.audit: (r.reference_rows, r.statements) for r in job.audit_statements(df, table).collect()} == want
+    # Next to a null no schema is known not to be static.
+    unknown = table.union(spark.createDataFrame([(None,)], "library string"))
+    assert job.strip_statements(df, static=unknown).count() == 0
+    assert tuple(job.strip_audit(refs, True, unknown).first()) == (0, 0)
+    assert tuple(job.strip_audit(refs, False, unknown).first()) == (6, 3)
+    none = table.limit(0)
+    assert tuple(job.strip_audit(refs, True, none).first()) == (7, 4)
+
+
+def test_texts_are_not_shuffled_with_references(spark):
+    df = spark.createDataFrame([(1, "select * from L1.a, QSYS2.b")], "statement_number bigint, statement_text string")
+    narrow = job.table_references(df).drop("statement_text")
+    plan = planned(job.strip_references(narrow, statements=df))
+    assert "any_value" not in plan and "first(statement_text" not in plan
