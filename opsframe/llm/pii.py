@@ -14,8 +14,8 @@ DataFrame expressions only. Positions come from splitting a text at its matches
 adding lengths up; the patterns are possessive but for the phone's, which gives back no
 more than a run of its own characters. Entities that the same texts name are one class,
 so that a text with thousands of entities of its own does not multiply its terms. A
-term is counted against a class only where its frequency lets it reach the threshold;
-the bound used first, a 64-bit mask of the texts it stands in, never exceeds the count.
+term is looked for in all texts only where it can reach the threshold: the count with the
+class gives the most texts it may stand in, and two bounds from below how many there are.
 """
 
 from __future__ import annotations
@@ -172,32 +172,35 @@ def disclosing_terms(
 
     ``docs`` holds text, ``rows`` the base spans and the identity of the same texts.
     """
-    total = float(rows.select(_TEXT).distinct().count())
+    n_rows, n_texts = rows.agg(F.count("*"), F.count_distinct(_TEXT)).first()
+    total, copies = float(max(n_texts, 1)), n_rows - n_texts
     classes = entity_classes(rows)
-    # The most texts a term can stand in and still tell ``generalise`` of the class.
-    ceiling = F.pow(F.lit(max(total, 1.0)), F.lit(1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
-    copies = rows.where(F.size("spans") > 0).groupBy(_TEXT).agg(F.count("*").alias("_n"))
-    near = settle(classes.groupBy(_TEXT).agg(F.max(ceiling).alias("_ceiling")).join(copies, _TEXT))
     text = F.coalesce("text", F.lit(""))
-    # How often each term stands anywhere, and the mask of the texts it stands in.
-    held = docs.select(_identity(text), F.explode(_words(text)).alias("_word")).select(_TEXT, _key(F.col("_word")))
+    # Documents that hold each term, and the mask of the texts it stands in. Of the texts, it
+    # stands in as many as the mask has bits at least, and in as many as its documents less
+    # all further copies of any text.
+    held = docs.select(_identity(text), F.explode(F.array_distinct(_words(text))).alias("_word"))
+    held = held.where("_word <> ''").select(_TEXT, _key(F.col("_word")))
     bit = F.expr(f"shiftleft(1L, cast(pmod({_TEXT}, 64) as int))")
-    seen = settle(held.groupBy("term").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("least")))
-    # Terms of texts that name an entity, where their frequency may be low enough.
-    naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(_identity(text), F.array_distinct(_words(text)).alias("words"))
-    naming = weighted_lookup(naming, near, [_TEXT], "_n").select("_ceiling", F.explode("words").alias("_word"))
-    wanted = naming.where("_word <> ''").groupBy(_key(F.col("_word"))).agg(F.max("_ceiling").alias("_ceiling"))
-    wanted = settle(wanted.join(seen, "term").where(F.col("least") <= F.col("_ceiling")).select("term"))
+    least = F.greatest(F.bit_count(F.bit_or(bit)).cast("long"), F.count("*") - copies)
+    seen = settle(held.groupBy("term").agg(F.count("*").alias("n"), least.alias("least")))
+    # The texts that name an entity: how many of a class hold each term.
+    naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(_identity(text), F.explode(F.array_distinct(_words(text))).alias("_word"))
+    naming = naming.where("_word <> ''").select(_TEXT, _key(F.col("_word"))).distinct()
+    joint = settle(classes.join(naming, _TEXT).groupBy("class", "n_entity", "term").agg(F.count("*").alias("n_joint")))
+    joint = joint.where(F.col("n_joint") >= witnesses)
+    # PMI reaches the share of IC only for terms in so many texts.
+    ceiling = F.col("n_joint") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    wanted = joint.groupBy("term").agg(F.max(ceiling).alias("_ceiling")).join(seen, "term")
+    wanted = settle(wanted.where(F.col("least") <= F.col("_ceiling")).select("term"))
     frequent = seen.join(wanted, "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(MOST_FREQUENT).select("term")
     places = term_places(docs).join(F.broadcast(frequent), "term", "left_anti").join(wanted, "term")
     places = settle(places.distinct())  # copies of a text are one
-    found = settle(places.select("term", _TEXT).distinct())
-    n_term = found.groupBy("term").agg(F.count("*").alias("n_term"))
-    joint = classes.join(found, _TEXT).groupBy("class", "n_entity", "term").agg(F.count("*").alias("n_joint"))
+    n_term = places.select("term", _TEXT).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = F.log2(F.col("n_joint") * total / (F.col("n_entity") * F.col("n_term")))
     told = F.when(information > 0, pmi / information)
-    telling = joint.where(F.col("n_joint") >= witnesses).join(n_term, "term").withColumn("told", told)
+    telling = joint.join(n_term, "term").withColumn("told", told)
     telling = telling.where(F.col("told") >= generalise - 1e-12).groupBy("term")
     telling = telling.agg((F.max("told") >= remove - 1e-12).alias("removed"))
     return places.join(telling, "term").select(_TEXT, "start", "end", "removed")
