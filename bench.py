@@ -2,8 +2,9 @@
 
 ``queries`` holds seconds per query, from building it to its last row; rows are
 computed in full and not kept. ``point_counts`` are single counts, one after the
-other, on each view form and ``sweep_seconds_per_count`` is the cost of one count
-within a sweep: these compare with the published seconds per query.
+other, on each view form; ``point_counts_from_summary`` are the same from a summary of
+the parts that is checked against their files each time; ``sweep_seconds_per_count`` is
+the cost of one count within a sweep. These compare with the published seconds per query.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import sys
 
 from opsframe import get_session
 from opsframe.operators.partitions import count_where
-from opsframe.plans.catalog import POINTS, QUERIES, point_view, view_sweep
+from opsframe.plans.catalog import POINTS, QUERIES, point_summary, point_view, summary_count, view_sweep
 from opsframe.timing import time_query, timeit
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -39,6 +40,12 @@ def count_seconds(view, fixed: dict) -> float:
     return round(timeit(run) / 1e6 / POINT_RUNS, 4)
 
 
+def summary_seconds(summary, name: str) -> float:
+    """The same from the counts kept beside the data, each after a check of the files."""
+    summary_count(summary, name)
+    return round(timeit(lambda: [summary_count(summary, name) for _ in range(POINT_RUNS)]) / 1e6 / POINT_RUNS, 6)
+
+
 def main() -> None:
     names = sys.argv[1:] or list(QUERIES)
     spark = get_session(
@@ -51,6 +58,8 @@ def main() -> None:
         time_query(QUERIES[name](spark, FOLDER))
     seconds = {name: best(lambda: QUERIES[name](spark, FOLDER)) for name in names}
     points = {name: count_seconds(point_view(spark, FOLDER, name), POINTS[name]) for name in POINTS}
+    summary = point_summary(spark, FOLDER)
+    summary_points = {name: summary_seconds(summary, name) for name in POINTS}
     sweeps = {name: best(lambda: view_sweep(spark, FOLDER, name)) / COUNTS_PER_SWEEP for name in POINTS}
     print(
         json.dumps(
@@ -60,6 +69,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "point_counts": points,
+                "point_counts_from_summary": summary_points,
                 "sweep_seconds_per_count": {name: float(f"{value:.3g}") for name, value in sweeps.items()},
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
                 "cpus": CPUS,

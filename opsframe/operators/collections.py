@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import at as moment
+from opsframe.sources.durable import settle
 
 # The schema, collection type and tables of the sample sets.
 SAMPLE_SCHEMA = "QMPGDATA"
@@ -23,6 +24,7 @@ SAMPLE_TABLES = (
     "QAPMJOBMI",
 )
 OPEN_END_YEAR = 1
+BIN_SECONDS = 6 * 3600
 
 
 def active_collections(
@@ -59,5 +61,64 @@ def active_collections(
     )
 
 
+def active_collections_at(
+    collections: DataFrame,
+    table_members: DataFrame,
+    times: DataFrame,
+    column: str = "asked_at",
+    schema: str = SAMPLE_SCHEMA,
+    tables: Sequence[str] = SAMPLE_TABLES,
+    collection_type: str = COLLECTION_TYPE,
+    bin_seconds: int = BIN_SECONDS,
+) -> DataFrame:
+    """``active_collections`` for every different time of a table: its column, tbl and mbr.
+
+    An interval join by bins of time. A bin that an interval covers whole needs no
+    single time: the greatest such member is one number for bin and table, and for open
+    ends a running maximum over the bins. Only in the two bins where it starts and ends
+    is an interval compared with the times there. All joins are on table and bin; bins
+    outside the times are not made. Null times have no collection.
+    """
+    when = F.col(column)
+    asked = times.select(column).where(when.isNotNull()).distinct().withColumn("_bin", _bin(when, bin_seconds))
+    asked = settle(asked)
+    least, most = asked.agg(F.min("_bin"), F.max("_bin")).first()
+    low, high = F.lit(least).cast("long"), F.lit(most).cast("long")
+    open_end = F.col("ccenddt").isNull() | (F.year("ccenddt") == OPEN_END_YEAR)
+    kept = collections.where(F.col("ccclrid") == collection_type).select(
+        "cccnname", F.col("ccstrdt").alias("_start"), F.when(~open_end, F.col("ccenddt")).alias("_end"), open_end.alias("_open")
+    )
+    members = table_members.where((F.col("system_table_schema") == schema) & F.col("system_table_name").isin(list(tables)))
+    spans = members.select(F.col("system_table_name").alias("tbl"), F.col("system_table_member").alias("mbr")).distinct()
+    spans = spans.join(kept, F.col("mbr") == F.col("cccnname"))
+    first, last = _bin(F.col("_start"), bin_seconds), _bin(F.col("_end"), bin_seconds)
+    spans = spans.select("tbl", "mbr", "_start", "_end", "_open", first.alias("_first"), last.alias("_last"))
+    spans = settle(spans.where((F.col("_first") <= high) & (F.col("_open") | (F.col("_last") >= low))))
+    # Whole bins, from the one after the start.
+    begin = F.greatest(F.col("_first") + 1, low)
+    inner = F.sequence(begin, F.greatest(begin, F.least(F.col("_last") - 1, high)))
+    closed = spans.where(~F.col("_open") & (F.least(F.col("_last") - 1, high) >= begin))
+    closed = closed.select("tbl", F.explode(inner).alias("_bin"), "mbr")
+    opened = spans.where("_open").select("tbl", begin.alias("_bin"), "mbr").groupBy("tbl", "_bin").agg(F.max("mbr").alias("mbr"))
+    # One row for each table and bin; running on to the bins that are asked for.
+    names = F.explode(F.array(*[F.lit(t) for t in tables])).alias("tbl")
+    wanted = asked.select("_bin").distinct().select(names, "_bin", F.lit(None).cast("string").alias("mbr"))
+    so_far = Window.partitionBy("tbl").orderBy("_bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = opened.unionByName(wanted).select("tbl", "_bin", F.max("mbr").over(so_far).alias("mbr")).where("mbr is not null")
+    whole = closed.unionByName(running).groupBy("tbl", "_bin").agg(F.max("mbr").alias("mbr"))
+    in_whole = asked.join(whole, "_bin").select(column, "tbl", "mbr")
+    # The bins of the ends.
+    edges = spans.select("tbl", "mbr", "_start", "_end", "_open", F.explode(F.array_distinct(F.array_compact(F.array("_first", "_last")))).alias("_bin"))
+    active = (F.col("_start") < when) & (F.col("_open") | (F.col("_end") >= when))
+    at_edges = asked.join(edges, "_bin").where(active).select(column, "tbl", "mbr")
+    return in_whole.unionByName(at_edges).groupBy(column, "tbl").agg(F.max("mbr").alias("mbr"))
+
+
+def _bin(stamp: Column, seconds: int) -> Column:
+    """The number of the bin a time is in, whatever zone the session has."""
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", origin, stamp.cast("timestamp_ntz")) / seconds)
+
+
 def _local(stamp: Column, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), stamp.cast("timestamp_ntz"))

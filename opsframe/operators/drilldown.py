@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,22 @@ STATEMENT, ACCESS_CHECK, OPTIMIZER, HEADER = 1000, 3010, 3014, 3018
 PLAN_RECORDS = (1000, 3004, 3007, 3010, 3014, 3015, 3019, 3023, 5002)
 UNMATCHED_OPERATIONS = ("FE", "CL", "CH", "HC")
 POSITIONED_OPERATIONS = ("DL", "UP")
+_MATCH = ("qqjfld", "qqi5")
+#: How many records the search for any match looks at before it joins them all.
+KEYS_PER_TRY = (200, 5_000)
 FILE_NAMES = ("qqtfn", "qvqtbl", "qvptbl", "qqptfn")
 DISPLAY_ORDER = {1000: 9000, 3014: 2914, 5002: 2902, 3018: 1}
 
 
+def _can_match(monitor: DataFrame) -> DataFrame:
+    """The statement records that a record of id 3010 can belong to."""
+    c = F.col
+    positioned = c("qqc21").isin(*POSITIONED_OPERATIONS) & (F.rtrim(c("qqc181")) > "")
+    return monitor.where(
+        (c("qqrid") == STATEMENT) & c("qqdbclob1").isNull() & ~c("qqc21").isin(*UNMATCHED_OPERATIONS) & ~positioned
+    )
+
+
 def records_with_statement(monitor: DataFrame) -> DataFrame:
     """Records of id 3010 with a statement record of the same key and refresh.
 
@@ -24,26 +38,39 @@ def records_with_statement(monitor: DataFrame) -> DataFrame:
     adaptive execution splits a hot key only next to a side it reads as it is, not
     next to one that is still being aggregated.
     """
-    c = F.col
-    positioned = c("qqc21").isin(*POSITIONED_OPERATIONS) & (F.rtrim(c("qqc181")) > "")
-    statements = settle(
-        monitor.where(
-            (c("qqrid") == STATEMENT)
-            & c("qqdbclob1").isNull()
-            & ~c("qqc21").isin(*UNMATCHED_OPERATIONS)
-            & ~positioned
-        )
-        .select("qqjfld", "qqi5")
-        .distinct()
-    )
-    return monitor.where(c("qqrid") == ACCESS_CHECK).join(statements, ["qqjfld", "qqi5"], "left_semi")
+    statements = settle(_can_match(monitor).select(*_MATCH).distinct())
+    return monitor.where(F.col("qqrid") == ACCESS_CHECK).join(statements, list(_MATCH), "left_semi")
+
 
+def any_record_with_statement(monitor: DataFrame, keys_per_try: Sequence[int] = KEYS_PER_TRY) -> DataFrame:
+    """A single row 1 when there is such a record, no row otherwise. Runs Spark jobs at once.
 
-def any_record_with_statement(monitor: DataFrame) -> DataFrame:
-    """A single row 1 when there is such a record, no row otherwise."""
+    The keys of some records of id 3010, as many as the first number, are taken from
+    the partitions read first; statements are then searched for one of them, partition
+    by partition, with the keys pushed to the scan. A hit ends the search. The last
+    numbers are larger; where all of them fail, the whole join decides, so a table
+    without a match gives no row. Tables where matches are frequent are read in part.
+    """
+    spark = monitor.sparkSession
+    found = spark.range(1).select(F.lit(1).alias("found"))
+    checks = monitor.where((F.col("qqrid") == ACCESS_CHECK) & F.col("qqjfld").isNotNull() & F.col("qqi5").isNotNull())
+    for wanted in keys_per_try:
+        # A limit reads partition after partition, and stops.
+        rows = checks.select(*_MATCH).limit(wanted).collect()
+        if rows and _hit(monitor, {tuple(row) for row in rows}, checks.select(*_MATCH).schema):
+            return found
+        if len(rows) < wanted:  # these were all
+            return found.where(F.lit(False))
     return records_with_statement(monitor).select(F.lit(1).alias("found")).limit(1)
 
 
+def _hit(monitor: DataFrame, keys: set[tuple], schema) -> bool:
+    """Whether a statement record has one of the keys, a bounded set."""
+    table = F.broadcast(monitor.sparkSession.createDataFrame(sorted(keys), schema))
+    near = _can_match(monitor).where(F.col("qqjfld").isin(sorted({key for key, _ in keys})))
+    return bool(near.select(*_MATCH).join(table, list(_MATCH), "left_semi").take(1))
+
+
 def referenced_tables(monitor: DataFrame) -> DataFrame:
     """Records that name a file, ordered by record id and name; file names first."""
     rest = [c for c in monitor.columns if c not in ("qqrid", *FILE_NAMES)]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATA_COLUMNS = ("dtanbr", "dtachr")
+#: A part with more different values (of key and column) is not summed up.
+MOST_VALUES = 100_000
 
 
 def partition_view(
@@ -74,6 +76,74 @@ def count_sweep(view: DataFrame, params: DataFrame, column: str, **equal) -> Dat
     return found.select(*params.columns, F.coalesce("_n", F.lit(0)).alias("n"))
 
 
+class CountSummary:
+    """Counts by value of each part of a partition view, kept beside the data.
+
+    A single count reads no row of a part: it adds up numbers that were counted once.
+    The numbers are tied to the files a part consists of; when a part's files have
+    changed (rows appended, a file replaced), that part is counted again before the next
+    answer. A part with more than ``most_values`` different values has no summary, and its
+    counts scan, so what is kept is bounded whatever the data size.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        parts: Mapping[str, tuple[Sequence[str], Callable[[], DataFrame]]],
+        column: str,
+        key: str | None = None,
+        most_values: int = MOST_VALUES,
+    ):
+        """``parts`` gives each part's folders or files, and opens it anew, so that files added
+        later are seen. An answer that needs no new count costs a listing of the files."""
+        self._spark, self._parts, self._column, self._key, self._most = spark, dict(parts), column, key, most_values
+        self._held: dict[str, tuple[tuple, dict | None]] = {}
+
+    def refresh(self) -> list[str]:
+        """Count the parts whose files have changed; their names."""
+        changed, listed = [], {}
+        for name, (paths, opened) in self._parts.items():
+            files = tuple(listed.get(path) or listed.setdefault(path, _file_states(self._spark, path)) for path in paths)
+            if name not in self._held or self._held[name][0] != files:
+                self._held[name] = (files, self._counted(opened()))
+                changed.append(name)
+        return changed
+
+    def _counted(self, df: DataFrame) -> dict | None:
+        by = [*([self._key] if self._key else []), self._column]
+        rows = df.groupBy(*by).agg(F.count("*").alias("_n")).limit(self._most + 1).collect()
+        return None if len(rows) > self._most else {tuple(row[:-1]): row[-1] for row in rows}
+
+    def count(self, value, label: str | None = None, key=None) -> int:
+        """Rows whose column equals ``value``, of the part ``label`` only, with the key only, or
+        of all. The answer is that of a scan at the moment of the call; null equals nothing."""
+        self.refresh()
+        total = 0
+        for name, (_, counts) in self._held.items():
+            if label is not None and name != label:
+                continue
+            if counts is None:
+                equal = {self._column: value} | ({self._key: key} if key is not None else {})
+                total += count_where(self._parts[name][1](), **equal).first()[0]
+            elif value is not None:
+                total += sum(n for own, n in counts.items() if own[-1] == value and (key is None or own[0] == key))
+        return total
+
+    def count_table(self, value, name: str = "n", **where) -> DataFrame:
+        """``count`` as a one-row table."""
+        return self._spark.createDataFrame([(self.count(value, **where),)], f"{name} long")
+
+
+def _file_states(spark: SparkSession, path: str) -> tuple:
+    """The files under a path, each with length and time of change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, states = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        file = found.next()
+        states.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(states))
+
+
 def sweep_params(first: int, last: int, spark, modulus: int = 255, column: str = "dtanbr") -> DataFrame:
     """Run numbers first … last and the value each asks for, run mod modulus."""
     return spark.range(first, last + 1).select(

@@ -48,6 +48,10 @@ select case when o_orderstatus = 'P' then '*PFR' else '*CS' end as ccclrid,
   case when o_orderkey % 50 = 0 then null else o_orderdate + interval '2' day end as ccenddt
 from {{orders}}"""
 
+# Moments in the years that the collections are of.
+TIMES = """
+select ts - interval '26' year as asked_at from {events}"""
+
 TABLE_MEMBERS = f"""
 select case when l_returnflag = 'N' then 'OTHER' else 'QMPGDATA' end as system_table_schema,
   case l_linenumber when 1 then 'QAPMSMCMN' when 2 then 'QAPMSMDSK' when 3 then 'QAPMSMJMI' when 4 then 'QAPMSMJOS'
@@ -264,6 +268,7 @@ MONITOR = "\nselect {}\nfrom {{lineitem}} join {{orders}} on l_orderkey = o_orde
 BINDINGS = {
     "errors": ERRORS,
     "collections": COLLECTIONS,
+    "times": TIMES,
     "table_members": TABLE_MEMBERS,
     "samples": SAMPLES,
     "job_samples": JOB_SAMPLES,

@@ -24,7 +24,7 @@ from opsframe.operators import (
     sessions,
     statements,
 )
-from opsframe.operators.collections import active_collections
+from opsframe.operators.collections import active_collections, active_collections_at
 from opsframe.plans.bindings import derived
 from opsframe.sources import archive, members
 from opsframe.sources.durable import scratch_folder
@@ -84,6 +84,12 @@ def active_collection(spark, folder):
     )
 
 
+@query
+def active_collections_at_times(spark, folder):
+    tables = [derived(spark, folder, name) for name in ("collections", "table_members", "times")]
+    return active_collections_at(*tables)
+
+
 @query
 def bound_member_scan(spark, folder):
     samples = derived(spark, folder, "samples")
@@ -420,11 +426,6 @@ def skewed_counts(spark, folder):
     )
 
 
-@query
-def tenant_schedule(spark, folder):
-    return generators.tenant_schedule(_order_ids(spark, folder).withColumnRenamed("id", "run"))
-
-
 @query
 def month_rows(spark, folder):
     return generators.month_rows(_order_ids(spark, folder), 1, WRITTEN_AT)
@@ -506,6 +507,25 @@ def pv_point_counts(spark, folder):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
+def point_summary(spark, folder):
+    """The counts by value of both parts; a part is opened anew at each check."""
+    def part(value):
+        return [f"{folder}/lineitem.parquet"], lambda: derived(spark, folder, "months").where(F.col("mo") == value)
+
+    return partitions.CountSummary(spark, {name: part(value) for name, value in PARTS.items()}, "dtanbr", key="mo")
+
+
+def summary_count(summary, name):
+    fixed = dict(POINTS[name])
+    return summary.count(fixed.pop("dtanbr"), label=fixed.get("month_name"), key=fixed.get("mo"))
+
+
+@query
+def pv_summary_counts(spark, folder):
+    summary = point_summary(spark, folder)
+    return spark.createDataFrame([(name, summary_count(summary, name)) for name in POINTS], "view string, n long")
+
+
 def view_sweep(spark, folder, name):
     first, last = SWEEP_RUNS_BOUNDED if name == "bounded" else SWEEP_RUNS
     fixed = {k: v for k, v in POINTS[name].items() if k != "dtanbr"}

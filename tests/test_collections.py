@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.operators.collections import active_collections
+from opsframe.operators.collections import active_collections, active_collections_at
 from opsframe.sources.members import bind_active, bind_members, member_scan, partitioned_reader
 from tests.plans import final_plan, planned
 
@@ -85,3 +85,44 @@ def test_member_from_a_query_prunes_when_run(spark, tmp_path):
     bound = member_scan(samples, samples.agg(F.max("collection_id")))
     assert [r.intnum for r in bound.collect()] == [2]
     assert "PartitionFilters: [isnotnull(collection_id" in final_plan(bound)
+
+
+@pytest.mark.parametrize("bin_seconds", [1, 3600, 10**9])
+def test_many_times_equal_one_time_each(spark, bin_seconds):
+    import random
+
+    rnd = random.Random(2)
+    stamp = lambda h: str(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h))
+    rows = []
+    for i in range(30):
+        start = rnd.randrange(40)
+        end = rnd.choice([None, stamp(start + rnd.randrange(12)), stamp(start), "0001-01-01 00:00:00"])
+        rows.append((rnd.choice(["*CS", "*CS", "*PFR"]), f"Q{i:02}", stamp(start), end))
+    days = collections(spark, *rows)
+    members = spark.createDataFrame(
+        [("QMPGDATA", t, f"Q{i:02}") for i in range(30) for t in ("QAPMSMJMI", "QAPMSMSYS", "ELSE") if rnd.random() < 0.7],
+        "system_table_schema string, system_table_name string, system_table_member string",
+    )
+    asked = [stamp(h) for h in range(-2, 60)] + [stamp(5), None]
+    times = spark.createDataFrame([(t,) for t in asked], "t string").select(F.expr("cast(t as timestamp_ntz) asked_at"))
+    got = {}
+    for r in active_collections_at(days, members, times, bin_seconds=bin_seconds).collect():
+        assert (r.asked_at, r.tbl) not in got
+        got[r.asked_at, r.tbl] = r.mbr
+    intervals = {n: (dt.datetime.fromisoformat(s), e and dt.datetime.fromisoformat(e)) for k, n, s, e in rows if k == "*CS"}
+    want = {}
+    for t in {dt.datetime.fromisoformat(t) for t in asked if t}:
+        for _, tbl, mbr in members.collect():
+            if tbl != "ELSE" and mbr in intervals:
+                start, end = intervals[mbr]
+                if start < t and (end is None or end.year == 1 or end >= t):
+                    want[t, tbl] = max(want.get((t, tbl), ""), mbr)
+    assert got == want
+
+
+def test_many_times_need_no_nested_loop(spark, day, table_members):
+    times = spark.createDataFrame([(DAY + "10:00:00",)], "t string").select(F.expr("cast(t as timestamp_ntz) asked_at"))
+    found = active_collections_at(day, table_members, times)
+    assert {r.mbr for r in found.collect()} == {"Q2"}
+    assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
+    assert active_collections_at(day, table_members, times.limit(0)).count() == 0

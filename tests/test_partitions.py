@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from opsframe.operators import partitions
 from opsframe.operators.generators import double_rows, month_rows, row_ids, skewed_rows, tenant_schedule
 from opsframe.operators.partitions import count_sweep, count_where, out_of_bounds, partition_view, sweep_params
 from tests.plans import planned
@@ -104,3 +105,31 @@ def test_skewed_rows_and_schedule(spark):
     assert [r.tenant for r in runs] == [i // 10 % 2 + 1 for i in range(1, 101)]
     assert all(r.tenant + r.other_tenant == 3 and 0 <= r.pause_us < 100_000 for r in runs)
     assert 30 <= sum(r.queue == "batch" for r in runs) <= 70
+
+
+def test_summary_equals_the_scan_after_an_append(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("cast(id % 7 as smallint) as dtanbr", "cast(id % 2 as string) as mo")
+    paths = {name: str(tmp_path / name) for name in ("JANUARY", "FEBRUARY")}
+    for path in paths.values():
+        rows.write.parquet(path)
+    opened = {name: ([path], lambda p=path: spark.read.parquet(p)) for name, path in paths.items()}
+    summary = partitions.CountSummary(spark, opened, "dtanbr", key="mo")
+
+    def scans(value, **where):
+        total = 0
+        for name, path in paths.items():
+            if where.get("label", name) == name:
+                df = spark.read.parquet(path).where(F.col("dtanbr") == value)
+                total += (df.where(F.col("mo") == where["key"]) if "key" in where else df).count()
+        return total
+
+    asked = [(v, w) for v in (0, 5, 99) for w in ({}, {"label": "JANUARY"}, {"label": "FEBRUARY", "key": "1"}, {"key": "0"})]
+    assert all(summary.count(v, **w) == scans(v, **w) for v, w in asked)
+    assert summary.refresh() == []
+    rows.limit(300).write.mode("append").parquet(paths["JANUARY"])
+    assert all(summary.count(v, **w) == scans(v, **w) for v, w in asked)
+    rows.limit(10).write.mode("append").parquet(paths["JANUARY"])
+    assert summary.refresh() == ["JANUARY"]
+    small = partitions.CountSummary(spark, opened, "dtanbr", most_values=3)  # scans
+    assert small.count(5) == scans(5) and summary.count(None) == 0
+    assert summary.count_table(5, label="JANUARY").first().n == scans(5, label="JANUARY")

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.operators import longrun, recap, statements
+from opsframe.operators import drilldown, longrun, recap, statements
 from opsframe.operators.drilldown import plan_drilldown, records_with_statement
 from opsframe.operators.perflist import performance_list
 from opsframe.operators.lookup import MOST_HEAVY, weighted_lookup
@@ -141,8 +141,9 @@ def test_performance_list_scans_each_record_stream_once(spark, tmp_path):
     derived(spark, FOLDER, "monitor").write.parquet(path)
     listed = performance_list(spark.read.parquet(path))
     plan = planned(listed)
-    # Statement records are settled before; only the plan records are scanned here.
-    assert plan.count("FileScan parquet") == 1
+    # Statement records are settled before; of the monitor only the plan records are scanned here.
+    scans = [part.split("ReadSchema")[0] for part in plan.split("FileScan parquet")[1:]]
+    assert sum("qqrid" in scan for scan in scans) == 1
     assert "In(qqrid, [3014,3015,3019,3020])" in plan
 
 
@@ -162,6 +163,25 @@ def test_performance_list_with_a_hot_key(spark):
     assert total == pytest.approx(taken.agg(F.sum("qqi6")).first()[0] / 1e6)
 
 
+def test_any_record_stops_early_and_is_exact(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "monitor")
+    derived(spark, FOLDER, "monitor").repartition(16).write.parquet(path)
+    monitor = spark.read.parquet(path)
+    with monkeypatch.context() as patched:  # the whole join is not needed
+        patched.setattr(drilldown, "records_with_statement", None)
+        assert drilldown.any_record_with_statement(monitor).count() == 1
+    apart = monitor.withColumn("qqjfld", F.when(F.col("qqrid") == 3010, F.concat(F.lit("x"), "qqjfld")).otherwise(F.col("qqjfld")))
+    for tries in ((), (1,), (5, 10), (10**6,)):
+        assert drilldown.any_record_with_statement(monitor, tries).count() == 1
+        assert drilldown.any_record_with_statement(apart, tries).count() == 0
+    # The only match is none of those looked at first.
+    key = records_with_statement(monitor).first()
+    only = apart.unionByName(monitor.where((F.col("qqrid") == 3010) & (F.col("qqjfld") == key.qqjfld) & (F.col("qqi5") == key.qqi5)))
+    assert drilldown.any_record_with_statement(only, (1,)).count() == 1
+    nulls = monitor.withColumn("qqi5", F.lit(None).cast("bigint"))
+    assert drilldown.any_record_with_statement(nulls).count() == 0
+
+
 def test_empty_monitor(spark):
     empty = spark.createDataFrame([], derived(spark, FOLDER, "monitor").schema)
     assert performance_list(empty).count() == 0
