@@ -35,6 +35,7 @@ WITNESSES = 1
 #: So many of the most frequent terms that disclose nothing are dropped before the shuffle
 #: that finds the others; a fixed number, so what is broadcast for it does not grow.
 MOST_FREQUENT = 1 << 18
+MASK_WORDS = 4  # of 64 bits, for each term
 
 # The fixed patterns. A match cannot start inside a run of its first class unless the
 # match before ended there, so the search never starts again in the middle of one.
@@ -176,13 +177,16 @@ def disclosing_terms(
     total, copies = float(max(n_texts, 1)), n_rows - n_texts
     classes = entity_classes(rows)
     text = F.coalesce("text", F.lit(""))
-    # Documents that hold each term, and the mask of the texts it stands in. Of the texts, it
+    # Documents that hold each term, and a mask of the texts it stands in. Of the texts, it
     # stands in as many as the mask has bits at least, and in as many as its documents less
     # all further copies of any text.
     held = docs.select(_identity(text), F.explode(F.array_distinct(_words(text))).alias("_word"))
     held = held.where("_word <> ''").select(_TEXT, _key(F.col("_word")))
+    place = F.pmod(_TEXT, F.lit(64 * MASK_WORDS))
     bit = F.expr(f"shiftleft(1L, cast(pmod({_TEXT}, 64) as int))")
-    least = F.greatest(F.bit_count(F.bit_or(bit)).cast("long"), F.count("*") - copies)
+    words = [F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(0)) for i in range(MASK_WORDS)]
+    texts = sum((F.bit_count(word) for word in words), F.lit(0)).cast("long")
+    least = F.greatest(texts, F.count("*") - copies)
     seen = settle(held.groupBy("term").agg(F.count("*").alias("n"), least.alias("least")))
     # The texts that name an entity: how many of a class hold each term.
     naming = docs.where(F.regexp_like(text, F.lit(_ANY))).select(_identity(text), F.explode(F.array_distinct(_words(text))).alias("_word"))
