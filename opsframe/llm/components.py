@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.sources.durable import settle
+from opsframe.sources.durable import discard, settle
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while state[0]:
-        current = settle(_small_star(_large_star(current)))
+        older, current = current, settle(_small_star(_large_star(current)))
+        discard(older)
         before, state = state, _state(current)
         if state == before:
             break

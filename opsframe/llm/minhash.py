@@ -9,12 +9,14 @@ i-th group of one with the j-th group of the other: 2 m h minima in the place of
 Keys are made only where they can match: a group that no other document has takes no
 part, so most documents never form a key. Equal sets are one entry from the start.
 
-In a table's bucket the smallest entry is its hub. First each entry is compared with
-its smallest hub, which joins most of a group of copies at the cost of one comparison
-each. Then, in buckets that still hold several components, entries of different
-components are compared by their minima, cut to bytes: pairs that could be links
-(five standard deviations allowed) go on. All candidates are confirmed on full sets.
-A bucket is compared inside one task, and its pairs stay there unless they pass.
+In a table's bucket every entry is compared with a few hubs, entries of it that are drawn
+by a hash; of those it agrees with by their minima, cut to bytes, the best one goes on.
+So an entry has one candidate a round, and a group of copies falls together in a round
+or two without its pairs being listed. Then, in buckets that still hold several
+components, all entries of different components are compared, in blocks of bounded
+size, first by the same bytes and then by a sketch ten times as long. Pairs that could
+be links (five standard deviations allowed) go on, each once. All candidates are
+confirmed on full sets. No bucket is held by one task.
 """
 
 from __future__ import annotations
@@ -25,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import WordHasher, batch, map_arrow, mixed, numbered, random_longs, shingle_set, with_columns
 from opsframe.llm.components import components
 from opsframe.operators.lookup import weighted_lookup
-from opsframe.sources.durable import settle
+from opsframe.sources.durable import discard, settle
 
 WORDS = 5
 SIMILARITY = 0.75
 GROUPS = 16
 MINIMA = 3
+HUBS = 4
+ROUNDS = 3
+WIDE = 1024  # minima of the long sketch; it begins with those of the short one
+BLOCK = 1024  # entries of a bucket compared with as many others in a task
 _STEP = 4096  # shingles whose minima are computed at once
 _SEED = 23
 
@@ -55,6 +61,10 @@ def minima(found: np.ndarray, functions: np.ndarray) -> np.ndarray:
     return least
 
 
+def _bytes(least: np.ndarray) -> bytes:
+    return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def _signed(words: int, groups: int, rows: int, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -72,7 +82,7 @@ def _signed(words: int, groups: int, rows: int, carry: tuple[str, ...] = ()):
                         half = mixed(half + column)
                     halves = half.view(np.int64)
                     key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    sketch = (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
+                    sketch = _bytes(least)
                 for name, value in zip(_SIGNATURE_TYPES, (doc_id, text, len(found), key, halves, sketch), strict=True):
                     out[name].append(value)
             yield with_columns(batch(out, _SIGNATURE_TYPES), docs, carry)
@@ -100,51 +110,128 @@ def table_keys(entries: DataFrame, groups: int) -> DataFrame:
     )  # at most ``groups`` on either side
     keys = live.select("entry", F.explode("_left").alias("_a"), "_right")
     keys = settle(keys.select("entry", F.explode("_right").alias("_b"), "_a").select(F.xxhash64("_a", "_b").alias("bucket"), "entry"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("entry").alias("hub")).where("_n > 1")
-    return settle(keys.join(shared.select("bucket", "hub"), "bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    kept = settle(keys.join(shared, "bucket"))
+    discard(keys)
+    return kept
+
+
+def _long_sketches(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = random_longs(n, _SEED)
+        for rows in batches:
+            sets = (np.array(found.as_py(), dtype=np.int64).view(np.uint64) for found in rows.column("shingles"))
+            made = [_bytes(minima(found, functions)) for found in sets]
+            yield batch({"entry": rows.column("entry"), "sketch": made}, {"entry": pa.int64(), "sketch": pa.binary()})
+
+    return run
+
+
+def least_equal(n: int, similarity: float) -> int:
+    """So many of n bytes agree at least where the sets have the similarity, five standard
+    deviations allowed; other bytes agree by chance once in 256."""
+    equal = similarity + (1 - similarity) / 256
+    return math.floor(n * equal - 5 * math.sqrt(n * equal * (1 - equal)))
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
-def _apart(least_equal: int):
-    """Pairs of different components in each bucket whose minima agree often enough."""
 
-    def pairs(entries: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(entries) - 1):
-            other = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-            for at in range(0, len(other), 65_536):
-                some = other[at : at + 65_536]
-                some = some[(sketches[some] == sketches[i]).sum(axis=1) >= least_equal]
-                if len(some):
-                    yield np.full(len(some), entries[i]), entries[some]
+_PAIR = {"a": pa.int64(), "b": pa.int64(), "equal": pa.int32()}
+
+
+def _best_hub(hubs: int, least: int):
+    """For each entry the hub of another component that it agrees with most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            own, roots = _matrix(rows.column("sketch")), rows.column("root").to_numpy()
+            best, partner = np.zeros(len(own), dtype=np.int32), np.zeros(len(own), dtype=np.int64)
+            for i in range(hubs):
+                hub = rows.column(f"hub{i}")
+                equal = (own == _matrix(hub.field("sketch"))).sum(axis=1).astype(np.int32)
+                better = (hub.field("root").to_numpy() != roots) & (equal > best)
+                best[better], partner[better] = equal[better], hub.field("entry").to_numpy()[better]
+            found = np.flatnonzero(best >= least)
+            yield batch({"a": rows.column("entry").to_numpy()[found], "b": partner[found], "equal": best[found]}, _PAIR)
+
+    return run
+
+
+def _hub_pairs(members: DataFrame, turn: int, least: int) -> DataFrame:
+    """(a, b): for each entry at most one hub of another component, the best of all its buckets."""
+    draw = lambda i: F.struct(F.xxhash64("root", F.lit(turn * HUBS + i)), F.xxhash64("entry", F.lit(turn * HUBS + i)))
+    hubs = members.groupBy("bucket").agg(
+        *[F.min_by(F.struct("entry", "root", "sketch"), draw(i)).alias(f"hub{i}") for i in range(HUBS)]
+    )
+    pairs = map_arrow(members.join(hubs, "bucket").drop("bucket"), _best_hub(HUBS, least), "a long, b long, equal int")
+    return pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
+
+
+def _apart(short: int, least_short: int, least_long: int):
+    """Pairs of different components in each pair of blocks whose minima agree often enough."""
+
+    def pairs(rows: list[tuple[np.ndarray, ...]], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of a block with itself (``one``), or of two blocks."""
+        entries, roots, first, sketches = (np.concatenate(column) for column in zip(*rows, strict=True))
+        left = np.arange(len(entries)) if one else np.flatnonzero(first)
+        right = left if one else np.flatnonzero(~first)
+        for place, i in enumerate(left.tolist()):
+            others = right[place + 1 :] if one else right
+            others = others[roots[others] != roots[i]]
+            others = others[(sketches[others, :short] == sketches[i, :short]).sum(axis=1) >= least_short]
+            others = others[(sketches[others] == sketches[i]).sum(axis=1) >= least_long]
+            if len(others):
+                yield np.minimum(entries[others], entries[i]), np.maximum(entries[others], entries[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"a": pa.int64(), "b": pa.int64()}
         waiting: list[tuple[np.ndarray, ...]] = []
-        bucket = None
+        task = None
 
         def done() -> Iterator[pa.RecordBatch]:
             if waiting:
-                for a, b in pairs(*(np.concatenate(column) for column in zip(*waiting, strict=True))):
+                for a, b in pairs(waiting, task[1] == task[2]):
                     yield batch({"a": a, "b": b}, types)
 
         for rows in batches:
-            keys = rows.column("bucket").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
-            raw = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(keys), -1) if len(keys) else None
+            if not rows.num_rows:
+                continue
+            keys = np.stack([rows.column(name).to_numpy() for name in ("bucket", "low", "high")], axis=1)
+            edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1), len(keys)]
+            columns = (
+                rows.column("entry").to_numpy(), rows.column("root").to_numpy(),
+                rows.column("block").to_numpy() == keys[:, 1], _matrix(rows.column("sketch")),
+            )
             for start, end in zip(edges, edges[1:]):
-                if start == end:
-                    continue
-                if keys[start] != bucket:
+                if (own := tuple(keys[start].tolist())) != task:
                     yield from done()
-                    waiting, bucket = [], keys[start]
-                waiting.append(tuple(
-                    column[start:end]
-                    for column in (rows.column("entry").to_numpy(), rows.column("root").to_numpy(), raw)
-                ))
+                    waiting, task = [], own
+                waiting.append(tuple(column[start:end] for column in columns))
         yield from done()
 
     return run
 
 
+def _all_pairs(members: DataFrame, short: int, similarity: float) -> DataFrame:
+    """(a, b): all candidates of different components in the buckets, each once.
+
+    A bucket is cut in blocks of about BLOCK entries, and each two blocks meet in a task
+    of their own, so an entry is sent as often as its bucket has blocks.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
+    sent = placed.select("bucket", "entry", "root", "sketch", "block", other)
+    sent = sent.select("*", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")).drop("_other")
+    sent = sent.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    limits = least_equal(short, similarity), least_equal(WIDE, similarity)
+    return map_arrow(sent, _apart(short, *limits), "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs whose sets overlap by ``least`` hundredths of their union."""
     left = sets.select(F.col("entry").alias("a"), F.col("shingles").alias("_of_a"))
@@ -160,87 +247,128 @@ def _with_roots(entries: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(
-    docs: DataFrame,
-    *carry: str,
-    words: int = WORDS,
-    similarity: float = SIMILARITY,
-    groups: int = GROUPS,
-    rows: int = MINIMA,
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, stays, and the columns of ``carry``.
+def _open_members(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, entry, root) of the buckets that hold several components."""
+    rooted = _with_roots(keys, found)
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    return rooted.join(several.where("_low <> _high").select("bucket"), "bucket").select("bucket", "entry", "root")
 
-    A document's set holds its distinct runs of ``words`` words, A-Z lowered; with
-    fewer words, all of them as one. Documents whose sets overlap by ``similarity`` of
-    their union (in hundredths) are linked, and component_id is the smallest doc_id
-    that links lead to. ``kept`` says that it is the row's own; ``stays`` is true for
-    exactly one row of each component, also where rows repeat or ids are null (null
-    comes last). Null and empty texts have no set and are linked with nothing; they
-    stay. Texts of any length are taken whole; an empty table gives an empty result.
-    """
+
+def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float, groups: int, rows: int) -> DataFrame:
+    """(node, root): the components of the entries' links."""
     hundredths = math.ceil(similarity * 100 - 1e-9)
-    own = {c: f"_carry{i}" for i, c in enumerate(carry) if c != "text"}
+    short = 2 * groups * rows
+    keys = table_keys(entries, groups)
+    sketches = entries.select("entry", "sketch")
+    involved = keys.select(F.col("entry").alias("_row")).distinct()
+    texts = signed.select("_row", "text").join(involved, "_row").select(F.col("_row").alias("entry"), "text")
+    sets = settle(map_arrow(texts, _sets(words), "entry long, shingles array<long>"))
+    links = found = None
+    for turn in range(ROUNDS):
+        members = settle(_open_members(keys, found) if found else keys.withColumn("root", F.col("entry")))
+        pairs = _hub_pairs(members.join(sketches, "entry"), turn, least_equal(short, similarity))
+        more = settle(_confirmed(pairs, sets, hundredths))
+        discard(members)
+        links = links.unionByName(more) if links else more
+        found = components(links)
+        if not more.head(1) and turn:
+            break
+    left = settle(_open_members(keys, found))
+    wide = sets.join(left.select("entry").distinct(), "entry", "left_semi")
+    wide = settle(map_arrow(wide, _long_sketches(WIDE), "entry long, sketch binary"))
+    more = settle(_confirmed(_all_pairs(left.join(wide, "entry"), short, similarity), sets, hundredths))
+    for frame in (keys, left, wide, sets):
+        discard(frame)
+    return components(links.unionByName(more)) if more.head(1) else found
+
+
+def _grouped(docs: DataFrame, carry: tuple[str, ...], words: int, similarity: float, groups: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets' keys, and of each key the best row of its component."""
+    own = _names(carry)
     extra = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for c, name in own.items())
     more = [F.col(c).alias(name) for c, name in own.items()]
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     signed = numbered(map_arrow(chosen, _signed(words, groups, rows, tuple(own.values())), _SIGNATURES + extra))
-    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     entries = settle(
         signed.where("n_shingles > 0")
         .groupBy("set_key")
         .agg(
             F.min("_row").alias("entry"),
-            F.min(best).alias("best"),
+            F.min(_best_row()).alias("best"),
             F.count("*").alias("n_rows"),
             F.min_by("halves", "_row").alias("halves"),
             F.min_by("sketch", "_row").alias("sketch"),
         )
     )
-    keys = table_keys(entries, groups)
-    involved = keys.select(F.col("entry").alias("_row")).distinct()
-    sets = settle(
-        map_arrow(
-            signed.select("_row", "text").join(involved, "_row").select(F.col("_row").alias("entry"), "text"),
-            _sets(words),
-            "entry long, shingles array<long>",
-        )
-    )
-    hubs = keys.groupBy("entry").agg(F.min("hub").alias("b")).where("entry <> b").withColumnRenamed("entry", "a")
-    links = settle(_confirmed(hubs, sets, hundredths))
-    found = components(links)
-    # What the hubs have not joined.
-    rooted = _with_roots(keys, found)
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    open_buckets = open_buckets.where("_low <> _high").select("bucket")
-    members = (
-        rooted.join(open_buckets, "bucket")
-        .join(entries.select("entry", "sketch"), "entry")
-        .select("bucket", "entry", "root", "sketch")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "entry")
-    )
-    n = 2 * groups * rows
-    equal = similarity + (1 - similarity) / 256
-    least_equal = math.floor(n * equal - 5 * math.sqrt(n * equal * (1 - equal)))
-    more = map_arrow(members, _apart(least_equal), "a long, b long").distinct()
-    more = settle(_confirmed(more, sets, hundredths))
-    found = components(links.unionByName(more)) if more.head(1) else found
+    found = _linked(entries, signed, words, similarity, groups, rows)
     rooted = _with_roots(entries.select("entry", "set_key", "best", "n_rows"), found)
     lowest = rooted.groupBy("root").agg(F.min("best").alias("_best"))
     facts = settle(rooted.join(lowest, "root").select("set_key", "_best", "n_rows"))
+    discard(entries)
+    return signed, facts
+
+
+def _names(carry: tuple[str, ...]) -> dict[str, str]:
+    return {c: f"_carry{i}" for i, c in enumerate(carry) if c != "text"}
+
+
+def _best_row() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+
+
+def near_groups(
+    docs: DataFrame,
+    *carry: str,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    groups: int = GROUPS,
+    rows: int = MINIMA,
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, stays, and the columns of ``carry``.
+
+    A document's set holds its distinct runs of ``words`` words, A-Z lowered; with
+    fewer words, all of them as one. Documents whose sets overlap by ``similarity`` of
+    their union (in hundredths) are linked, and component_id is the smallest doc_id
+    that links lead to. ``kept`` says that it is the row's own; ``stays`` is true for
+    exactly one row of each component, also where rows repeat or ids are null (null
+    comes last). Null and empty texts have no set and are linked with nothing; they
+    stay. Texts of any length are taken whole; an empty table gives an empty result.
+    """
+    signed, facts = _grouped(docs, carry, words, similarity, groups, rows)
     rest = signed.drop("halves", "sketch", *([] if "text" in carry else ["text"]))
     placed = weighted_lookup(rest.where("n_shingles > 0"), facts, ["set_key"], "n_rows")
-    alone = rest.where("n_shingles = 0").withColumn("_best", best)
+    alone = rest.where("n_shingles = 0").withColumn("_best", _best_row())
     return placed.unionByName(alone).select(
         "doc_id",
         "n_shingles",
         F.col("_best.doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("_best.doc_id")).alias("kept"),
         (F.col("_row") == F.col("_best.row")).alias("stays"),
-        *[F.col(own.get(c, c)).alias(c) for c in carry],
+        *[F.col(_names(carry).get(c, c)).alias(c) for c in carry],
     )
 
 
+def one_of_each(
+    docs: DataFrame,
+    *carry: str,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    groups: int = GROUPS,
+    rows: int = MINIMA,
+) -> DataFrame:
+    """doc_id and the columns of ``carry`` of the rows that stay (see ``near_groups``).
+
+    Only the numbers of the rows that go are joined, so texts move only where these
+    are too many for a broadcast.
+    """
+    signed, facts = _grouped(docs, carry, words, similarity, groups, rows)
+    keyed = signed.where("n_shingles > 0").select("_row", "set_key")
+    placed = weighted_lookup(keyed, facts, ["set_key"], "n_rows")
+    gone = settle(placed.where(F.col("_row") != F.col("_best.row")).select("_row"))
+    left = signed.select("_row", "doc_id", *[_names(carry).get(c, c) for c in carry]).join(gone, "_row", "left_anti")
+    return left.select("doc_id", *[F.col(_names(carry).get(c, c)).alias(c) for c in carry])
+
+
 SQL = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

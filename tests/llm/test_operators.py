@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -64,6 +65,65 @@ def test_exact_groups_edges(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def shingles(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_components(rows):
+    """{doc_id: smallest doc_id reachable} by comparing all sets."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {i: top(i) for i in sets}
+
+
+def edited(rnd, words, edits):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), edits):
+        words[at] = f"new{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_near_groups_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(11)
+    rows, base = [], [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    rows += [edited(rnd, base, rnd.randint(1, 4)) for _ in range(60)]  # mostly linked
+    family = [f"t{rnd.randrange(5000)}" for _ in range(150)]
+    rows += [edited(rnd, family, 5) for _ in range(60)]  # near the threshold, on both sides
+    chain = [f"c{i}" for i in range(120)]
+    for _ in range(15):  # each is linked with the next one only
+        chain = chain[6:] + [f"c{rnd.randrange(10**6)}" for _ in range(6)]
+        rows.append(" ".join(chain))
+    rows += [" ".join(f"x{rnd.randrange(300)}" for _ in range(rnd.randint(1, 40))) for _ in range(40)] + [rows[0], rows[0].upper(), "", None]
+    # 75 shingles in common: of a union of 100, 100 and 75, and next to the threshold.
+    shared = [f"s{i}" for i in range(79)]
+    rows += [" ".join(shared + [f"p{i}" for i in range(12)]), " ".join(shared + [f"q{i}" for i in range(13)])]
+    rows += [" ".join(shared[:79] + [f"r{i}" for i in range(25)]), " ".join(shared)]
+    docs = [(i * 3 + 1, t) for i, t in enumerate(rows)]
+    rnd.shuffle(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs)
+    assert len(set(want.values())) < len(want) - 60
+    got = {r.doc_id: r for r in minhash.near_groups(table).collect()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(got[i].n_shingles == len(shingles(t)) for i, t in docs)
+    left = {r.doc_id: r.text for r in minhash.one_of_each(table, "text").collect()}
+    assert left == {i: t for i, t in docs if want[i] == i}
+
+
 def test_near_groups_keep_one_of_each(spark):
     words = [f"w{i}" for i in range(80)]
     near = " ".join([*words[:-1], "other"])
