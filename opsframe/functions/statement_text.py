@@ -27,6 +27,7 @@ _ENDS_LIST = (
     "where|group|having|order|fetch|for|union|except|intersect|minus|window|limit|offset|set|values|when|start|connect|with|optimize"
 )
 _CUT = rf"(?i)(?=[()]|(?<![\p{{L}}\p{{N}}_$#@.])(?:(?<!distinct\s{{1,9}})from|select|delete|{_ENDS_LIST}){_END})"
+_FIRST = r"^(?:[()]|[\p{L}\p{N}_$#@]++)"
 # A bracket around joined tables: their list starts at the bracket.
 _JOINED = rf"(?i)^\(\s*+{_NAME}(?:\s+(?:as\s+)?{_PART})??\s+(?:cross|inner|left|right|full|natural|join){_END}"
 _LEAD = rf"(?i)(?:{_EDGE}(?:(?<!distinct\s{{1,9}})from|join|(?:insert|merge)\s+into|(?<!for\s{{1,9}})update|using){_END}\s*+|,\s*+)(?:(?:only|final\s+table){_END}\s*+)?+"
@@ -48,11 +49,13 @@ def mask_text(text: Column) -> Column:
     that a bracket or a word in it means nothing.
     """
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    hidden = r"(?s)^(?:'|--|/\*).*"
 
     def blank(t: Column) -> Column:
-        name = F.concat(F.lit('"'), F.repeat(F.lit("_"), F.length(t) - 2), F.lit('"'))
-        return F.when(t.rlike(hidden), F.repeat(F.lit(" "), F.length(t))).when(t.rlike('(?s)^".*"$'), name).otherwise(t)
+        first, size = F.left(t, F.lit(1)), F.length(t)
+        hidden = (first == "'") | F.left(t, F.lit(2)).isin("--", "/*")
+        name = F.concat(F.lit('"'), F.repeat(F.lit("_"), size - 2), F.lit('"'))
+        closed = (first == '"') & (size > 1) & F.endswith(t, F.lit('"'))
+        return F.when(hidden, F.repeat(F.lit(" "), size)).when(closed, name).otherwise(t)
 
     # Most texts have nothing to hide.
     return F.when(text.rlike(_HIDES), F.array_join(F.transform(tokens, blank), "")).otherwise(text)
@@ -64,15 +67,18 @@ _OTHER, _SELECT, _FROM, _LIST_END, _OPEN, _OPEN_LIST, _CLOSE = range(7)
 
 def _code(segment: Column) -> Column:
     """The kind of a segment by its first word or bracket."""
-    first = F.left(segment, F.lit(1))
-    return (
-        F.when(first == "(", F.when(segment.rlike(_JOINED), _OPEN_LIST).otherwise(_OPEN))
-        .when(first == ")", _CLOSE)
-        .when(segment.rlike(r"(?i)^from\b"), _FROM)
-        .when(segment.rlike(r"(?i)^(?:select|delete)\b"), _SELECT)
-        .when(segment.rlike(rf"(?i)^(?:{_ENDS_LIST}){_END}"), _LIST_END)
-        .otherwise(_OTHER)
-    )
+
+    def kind(first: Column) -> Column:
+        return (
+            F.when(first == "(", F.when(segment.rlike(_JOINED), _OPEN_LIST).otherwise(_OPEN))
+            .when(first == ")", _CLOSE)
+            .when(first == "from", _FROM)
+            .when(first.isin("select", "delete"), _SELECT)
+            .when(first.isin(*_ENDS_LIST.split("|")), _LIST_END)
+            .otherwise(_OTHER)
+        )
+
+    return let(F.lower(F.regexp_extract(segment, _FIRST, 0)), kind)
 
 
 def _last_event(codes: Column, wanted: Column) -> Column:
@@ -114,16 +120,14 @@ def _marked(masked: Column) -> Column:
     def by_depth(found: Column) -> Column:
         steps = F.transform(found, lambda s: F.when(s["code"].isin(_OPEN, _OPEN_LIST), 1).when(s["code"] == _CLOSE, -1).otherwise(0).cast("long"))
         depths = F.zip_with(let(steps, sums_before), steps, lambda b, s: b + s)
-        ordered = F.array_sort(F.transform(
-            F.zip_with(depths, found, lambda d, s: F.struct(d.alias("d"), s["code"].alias("c"))),
-            lambda s, i: F.struct(s["d"].alias("d"), i.alias("i"), s["c"].alias("c")),
-        ))
+        numbered = F.transform(found, lambda s, i: F.struct(i.alias("i"), s["code"].alias("c")))
+        ordered = F.sort_array(F.zip_with(depths, numbered, lambda d, s: F.struct(d.alias("d"), s["i"].alias("i"), s["c"].alias("c"))))
         return let(ordered, lambda o: rejoined(found, o))
 
     def rejoined(found: Column, ordered: Column) -> Column:
         codes = F.transform(ordered, lambda o: o["c"])
         flags = F.zip_with(ordered, let(codes, _in_list), lambda o, f: F.struct(o["i"].alias("i"), f.alias("f")))
-        return F.array_join(F.zip_with(found, F.array_sort(flags), written), "")
+        return F.array_join(F.zip_with(found, F.sort_array(flags), written), "")
 
     def written(segment: Column, flag: Column) -> Column:
         text = segment["text"]
