@@ -14,7 +14,7 @@ by a hash; of those it agrees with by their minima, cut to bytes, the best one g
 So an entry has one candidate a round, and a group of copies falls together in a round
 or two without its pairs being listed. Then, in buckets that still hold several
 components, all entries of different components are compared, in blocks of bounded
-size, first by the same bytes and then by a sketch ten times as long. Pairs that could
+size, first by the same bytes and then by a sketch five times as long. Pairs that could
 be links (five standard deviations allowed) go on, each once. All candidates are
 confirmed on full sets. No bucket is held by one task.
 """
@@ -39,9 +39,9 @@ WORDS = 5
 SIMILARITY = 0.75
 GROUPS = 16
 MINIMA = 3
-HUBS = 4
-ROUNDS = 3
-WIDE = 1024  # minima of the long sketch; it begins with those of the short one
+HUBS = 3
+ROUNDS = 2
+WIDE = 512  # minima of the long sketch; it begins with those of the short one
 BLOCK = 1024  # entries of a bucket compared with as many others in a task
 _STEP = 4096  # shingles whose minima are computed at once
 _SEED = 23
@@ -110,7 +110,10 @@ def table_keys(entries: DataFrame, groups: int) -> DataFrame:
     )  # at most ``groups`` on either side
     keys = live.select("entry", F.explode("_left").alias("_a"), "_right")
     keys = settle(keys.select("entry", F.explode("_right").alias("_b"), "_a").select(F.xxhash64("_a", "_b").alias("bucket"), "entry"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    # Of the buckets with the same entries one is enough.
+    same = F.bit_xor(F.xxhash64("entry")).alias("_one"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("_other")
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n"), *same).where("_n > 1")
+    shared = shared.groupBy("_n", "_one", "_other").agg(F.min("bucket").alias("bucket")).select("bucket")
     kept = settle(keys.join(shared, "bucket"))
     discard(keys)
     return kept
@@ -127,11 +130,11 @@ def _long_sketches(n: int):
     return run
 
 
-def least_equal(n: int, similarity: float) -> int:
-    """So many of n bytes agree at least where the sets have the similarity, five standard
+def least_equal(n: int, similarity: float, deviations: float = 5) -> int:
+    """So many of n bytes agree at least where the sets have the similarity, with some standard
     deviations allowed; other bytes agree by chance once in 256."""
     equal = similarity + (1 - similarity) / 256
-    return math.floor(n * equal - 5 * math.sqrt(n * equal * (1 - equal)))
+    return math.floor(n * equal - deviations * math.sqrt(n * equal * (1 - equal)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -266,7 +269,8 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
     links = found = None
     for turn in range(ROUNDS):
         members = settle(_open_members(keys, found) if found else keys.withColumn("root", F.col("entry")))
-        pairs = _hub_pairs(members.join(sketches, "entry"), turn, least_equal(short, similarity))
+        # Links that this misses are found in the end.
+        pairs = _hub_pairs(members.join(sketches, "entry"), turn, least_equal(short, similarity, 1))
         more = settle(_confirmed(pairs, sets, hundredths))
         discard(members)
         links = links.unionByName(more) if links else more
