@@ -2,15 +2,17 @@
 
 The terms are token ids, so document frequencies over all documents are one number
 per entry of the vocabulary: a table of bounded size that every task gets. Documents
-are put in the order of minima over their token sets, which brings similar ones
-together without any of them being looked up elsewhere, and that order is cut into
-shards of a few hundred. Each shard has its own inverted index. A window starts with
-a seed document; the shard's index returns the unused neighbours by BM25, and they
-fill the window greedily. The one that does not fit is cut, and its rest is the seed
-of the next window, so only the last window of a task is padded.
-
-Shards hold a bounded number of documents at every size of the input. A document
-longer than that bound in tokens is handled alone, as one of its shard.
+are put in the order of weighted minima over their terms, where a term is drawn in
+proportion to its idf squared, so that rare terms decide: two documents share a minimum
+about as often as they share such terms. The order is cut into shards, and each shard has
+its own inverted index. A window starts with a seed document; the shard's index returns
+the unused neighbours by BM25, and they fill the window greedily. The one that does not
+fit is cut, and its rest is the seed of the next window, so only the last window of a
+task is padded.
+
+Shards hold a bounded number of documents at every size of the input, and a seed meets
+those of its own shard only. A document longer than that bound in tokens is handled
+alone, as one of its shard.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from opsframe.sources.durable import settle
 
 WINDOW = 1024
 END = 0
-SHARD_DOCS = 512
+SHARD_DOCS = 1024
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
 KEPT_PIECES = 900_000
@@ -63,34 +65,45 @@ class Encoder:
         self._quick = _ranked(path)
         with open(path, encoding="utf-8") as file:
             self._marks = [t["content"] for t in json.load(file)["added_tokens"]]
-        self._known: dict[str, bytes] = {}
+        self._known = _Parts(self._after_blank)  # what follows a blank, without the blank
         self._kept = kept
 
+    def _after_blank(self, part: str) -> bytes:
+        return next(self._encode([" " + part]))
+
     def _encode(self, parts: list[str]) -> Iterator[bytes]:
         slow = {}
         for i, part in enumerate(parts):
             if not self._quick or (part and max(part) > _LATIN) or any(mark in part for mark in self._marks):
                 slow[i] = part
-        found = self._library.encode_batch_fast(list(slow.values()), add_special_tokens=False)
+        found = self._library.encode_batch_fast(list(slow.values()), add_special_tokens=False) if slow else []
         ids = dict(zip(slow, (made.ids for made in found), strict=True))
         code, quick = self.kind.char, self._quick.encode_ordinary if self._quick else None
         for i, part in enumerate(parts):
             yield array(code, ids[i] if i in ids else quick(part)).tobytes()
 
     def encode(self, found: list[str]) -> list[np.ndarray]:
-        known = self._known  # what follows a blank, without the blank
-        if len(known) > self._kept:
-            known.clear()
+        if len(self._known) > self._kept:
+            self._known.clear()
         cuts = [text.split(" ") if _single_blanks(text) else _PLAIN.split(text) for text in found]
         first = self._encode([cut.pop(0) for cut in cuts])
-        missing = list(set().union(*(set(cut).difference(known) for cut in cuts)))
-        known.update(zip(missing, self._encode([" " + part for part in missing]), strict=True))
+        of = self._known.__getitem__
         return [
-            np.frombuffer(start + b"".join(map(known.__getitem__, cut)), dtype=self.kind)
-            for start, cut in zip(first, cuts, strict=True)
+            np.frombuffer(start + b"".join(map(of, cut)), dtype=self.kind) for start, cut in zip(first, cuts, strict=True)
         ]
 
 
+class _Parts(dict):
+    """Parts of texts and what they are encoded as, worked out when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self._encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = made = self._encode(part)
+        return made
+
+
 def _single_blanks(text: str) -> bool:
     """Whether every blank stands between two visible characters."""
     return not (
@@ -119,28 +132,43 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_TOKENS = "doc_id long, ids binary, doc_tokens long, near long, next_near long"
+_TOKENS = "doc_id long, ids binary, doc_tokens long"
 
 
 def _encoded(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path)
-        size = 1 << (8 * library.kind.itemsize) if library.kind.itemsize == 2 else 1 << 20
-        # Two random orders of the vocabulary.
-        orders = (random_longs(2 * size, 5) >> np.uint64(2)).view(np.int64).reshape(2, size)
+        last = library.kind.type(end).tobytes()
+        types = {"doc_id": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64()}
         for rows in batches:
             found = library.encode(rows.column("text").to_pylist())
-            whole = [np.append(ids, library.kind.type(end)) for ids in found]
-            yield batch(
-                {
-                    "doc_id": rows.column("doc_id"),
-                    "ids": [ids.tobytes() for ids in whole],
-                    "doc_tokens": [len(ids) for ids in whole],
-                    "near": [int(orders[0][ids].min()) for ids in whole],
-                    "next_near": [int(orders[1][ids].min()) for ids in whole],
-                },
-                {"doc_id": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "near": pa.int64(), "next_near": pa.int64()},
-            )
+            whole = [ids.tobytes() + last for ids in found]
+            counts = [len(ids) + 1 for ids in found]
+            yield batch({"doc_id": rows.column("doc_id"), "ids": whole, "doc_tokens": counts}, types)
+
+    return run
+
+
+def draws(idf: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
+    """n rows of a number for each term, whose minimum over a document falls on a term in
+    proportion to its idf squared: exponential variables divided by the weight."""
+    uniform = ((random_longs(n * len(idf), seed) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+    weight = np.maximum(idf.astype(float), 1e-6) ** 2
+    return -np.log(uniform).reshape(n, len(idf)) / weight
+
+
+def _placed(kind: str, order: np.ndarray, end: int):
+    """Adds the terms of two minima, which bring documents with rare terms in common together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"doc_id": pa.int64(), "ids": pa.binary(), "near": pa.int64(), "next_near": pa.int64()}
+        for rows in batches:
+            near: list[list[int]] = [[], []]
+            for raw in rows.column("ids"):
+                ids = np.frombuffer(raw.as_buffer(), dtype=kind)[:-1]
+                for own, numbers in zip(near, order, strict=True):
+                    own.append(int(ids[numbers[ids].argmin()]) if len(ids) else end)
+            yield batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "near": near[0], "next_near": near[1]}, types)
 
     return run
 
@@ -161,36 +189,44 @@ def _frequencies(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 class Shard:
-    """BM25 over the documents of one shard: an inverted index whose posting lists are
-    rows of term weights, one column per document."""
+    """BM25 over the documents of one shard: an inverted index with a posting list of
+    (document, weight) for each term."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, end: int):
         terms, owners, counts = [], [], []
-        self._terms = []
         for i, ids in enumerate(docs):
             own, times = np.unique(ids, return_counts=True)
             inside = own != end
             own, times = own[inside], times[inside]
-            self._terms.append(own)
             terms.append(own)
             counts.append(times)
             owners.append(np.full(len(own), i))
         term, owner = np.concatenate(terms), np.concatenate(owners)
-        count = np.concatenate(counts).astype(np.float32)
-        vocabulary, place = np.unique(term, return_inverse=True)
-        length = np.array([len(ids) for ids in docs], dtype=np.float32)
+        count = np.concatenate(counts).astype(np.float64)
+        length = np.array([len(ids) for ids in docs], dtype=np.float64)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
-        self._lists = np.zeros((len(vocabulary), len(docs)), dtype=np.float32)
-        self._lists[place, owner] = idf[term] * count * (K1 + 1) / (count + norm[owner])
-        self._places = [np.searchsorted(vocabulary, own) for own in self._terms]
+        order = np.argsort(term, kind="stable")
+        self._owners = owner[order]
+        self._weights = (idf[term] * count * (K1 + 1) / (count + norm[owner]))[order]
+        vocabulary, starts = np.unique(term[order], return_index=True)
+        self._bounds = np.append(starts, len(term))
+        self._terms = [np.searchsorted(vocabulary, own) for own in terms]
         self._unused = np.ones(len(docs), dtype=bool)
 
     def use(self, doc: int) -> None:
         self._unused[doc] = False
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the seed's terms: its posting lists added up."""
+        starts, ends = self._bounds[self._terms[seed]], self._bounds[self._terms[seed] + 1]
+        sizes = ends - starts
+        shift = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) if len(sizes) else sizes
+        places = shift + np.arange(len(shift))
+        return np.bincount(self._owners[places], self._weights[places], len(self._unused))
+
     def neighbours(self, seed: int) -> np.ndarray:
         """The unused documents, best first; equal scores in shard order."""
-        scores = self._lists[self._places[seed]].sum(axis=0)
+        scores = self.scores(seed)
         left = np.flatnonzero(self._unused)
         return left[np.argsort(-scores[left], kind="stable")]
 
@@ -201,8 +237,10 @@ def pack_shard(shard: Shard, lengths: list[int], window: int, room: int) -> Iter
     ``room`` is what the window open so far can still take.
     """
     waiting: list[int] = []
-    seed = 0
+    seed, asked = 0, None
     for _ in range(len(lengths)):
+        if asked is not None:  # the index is asked when another document is needed
+            waiting, asked = shard.neighbours(asked)[::-1].tolist(), None
         doc = waiting.pop() if waiting else int(np.flatnonzero(shard._unused)[0])
         shard.use(doc)
         start, fresh = 0, False
@@ -213,7 +251,7 @@ def pack_shard(shard: Shard, lengths: list[int], window: int, room: int) -> Iter
             yield doc, start, size, fresh
             start, room = start + size, room - size
         if fresh or not waiting:  # another seed, or its list is at an end
-            waiting = shard.neighbours(seed if fresh else doc)[::-1].tolist()
+            asked = seed if fresh else doc
 
 
 _PIECES = (
@@ -287,8 +325,9 @@ def pack(
     idf = np.zeros(max([0, *found["term"]]) + 1, dtype=np.float32)
     idf[found["term"]] = np.log1p((size - found["n_docs"] + 0.5) / (found["n_docs"] + 0.5))
     mean = (tokens or 0) / max(size, 1)
-    placed = encoded.select("doc_id", "ids", "near", "next_near", F.xxhash64("ids").alias("tie"))
-    placed = placed.repartitionByRange("near", "next_near", "tie", "doc_id")
+    order = draws(idf, 2)
+    placed = map_arrow(encoded.select("doc_id", "ids"), _placed(kind, order, end), "doc_id long, ids binary, near long, next_near long")
+    placed = placed.withColumn("tie", F.xxhash64("ids")).repartitionByRange("near", "next_near", "tie", "doc_id")
     placed = placed.sortWithinPartitions("near", "next_near", "tie", "doc_id").select("doc_id", "ids")
     return map_arrow(placed, _packed(kind, idf, mean, window, end, shard_docs, shard_tokens), _PIECES)
 
