@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_RECORDS: list[list[str]] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +38,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_folder(spark, "settled")
+    for paths in _RECORDS:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,6 +51,24 @@ def scratch_folder(spark: SparkSession, kind: str) -> str:
     return path.toString()
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of all frames that are settled inside."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS[:] = [own for own in _RECORDS if own is not paths]
+
+
+def discard_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders that ``recorded`` listed, those that are left."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled frame that nothing will read again.
 
