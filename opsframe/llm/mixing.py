@@ -36,7 +36,7 @@ def apportion(parties: DataFrame, votes: str, seats: str, order: Sequence[str],
     """
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     voters = F.count(F.when(F.col(votes) > 0, 1)).over(group)
-    share = F.col(votes) / F.sum(votes).over(group)
+    share = F.col(votes) / F.nullif(F.sum(votes).over(group), F.lit(0))
     # Rounding moves a party by half a seat at most, so these totals enclose the seats.
     least = F.greatest(F.floor(share * (F.col(seats) - voters / 2 - 1) + 0.5), F.lit(0))
     most = F.floor(share * (F.col(seats) + voters / 2 + 1) + 0.5)
