@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from opsframe.llm.packing import Encoder, pack, piece_digests
+from opsframe.llm.packing import K1, B, Encoder, Shard, pack, piece_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -83,3 +85,50 @@ def test_edges(spark, window):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, ids int, near string")
     check(piece_digests(pack(docs, PATH, window=window)).collect(), rows, window)
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def bm25(docs, ids):
+    """Scores of all documents for one of them, straight from the formula."""
+    n, mean = len(docs), sum(len(d) + 1 for d in docs) / len(docs)
+    frequency = Counter(t for d in docs for t in set(d))
+    out = []
+    for d in docs:
+        counts, norm = Counter(d), K1 * (1 - B + B * (len(d) + 1) / mean)
+        idf = lambda t: math.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5))
+        out.append(sum(idf(t) * counts[t] * (K1 + 1) / (counts[t] + norm) for t in set(ids) if t in counts))
+    return np.array(out)
+
+
+def test_the_index_equals_bm25():
+    rnd = random.Random(1)
+    docs = [[rnd.randrange(1, 60) for _ in range(rnd.randint(0, 40))] for _ in range(50)] + [[], [7] * 300]
+    n, frequency = len(docs), Counter(t for d in docs for t in set(d))
+    idf = np.zeros(61, dtype=np.float32)
+    for term, count in frequency.items():
+        idf[term] = math.log1p((n - count + 0.5) / (count + 0.5))
+    shard = Shard([np.array([*d, 0], dtype="<u2") for d in docs], idf, sum(len(d) + 1 for d in docs) / n, 0)
+    for seed, ids in enumerate(docs):
+        assert np.allclose(shard.scores(seed), bm25(docs, ids), rtol=1e-5)
+    shard.use(3)
+    assert 3 not in shard.neighbours(5) and len(shard.neighbours(5)) == n - 1
+
+
+def test_rare_terms_bring_documents_into_one_shard(spark):
+    """Of planted neighbours, which share rare words in common prose, most share a window."""
+    rnd = random.Random(3)
+    tokens = sorted(t[1:] for t in Tokenizer.from_file(PATH).get_vocab() if t[0] == "\u0120" and t[1:].isascii() and t[1:].islower() and len(t) > 5)
+    chosen = rnd.sample(tokens, 760)  # words of one token
+    common, rows = chosen[720:], []
+    for group in range(60):
+        rare = chosen[12 * group : 12 * group + 12]
+        for _ in range(3):
+            words = rnd.choices(common, k=60) + rare
+            rnd.shuffle(words)
+            rows.append((len(rows), " ".join(words)))
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = defaultdict(set)
+    for p in pack(docs, PATH, shard_docs=30).collect():
+        held[p.sequence_id].add(p.doc_id)
+    together = sum(any({a, b} <= own for own in held.values()) for g in range(60) for a, b in ((3 * g, 3 * g + 1), (3 * g, 3 * g + 2), (3 * g + 1, 3 * g + 2)))
+    assert together / 180 > 0.3  # 8% by chance
