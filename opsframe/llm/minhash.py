@@ -165,10 +165,17 @@ def _best_hub(hubs: int, least: int):
 
 
 def _hub_pairs(members: DataFrame, turn: int, least: int) -> DataFrame:
-    """(a, b): for each entry at most one hub of another component, the best of all its buckets."""
+    """(a, b): for each entry at most one hub of another component, the best of all its buckets.
+
+    In the first turn a bucket's hubs are its entry with the most buckets, which is the
+    middle of a group of copies, the smallest one, and one that is drawn; then all are drawn.
+    """
     draw = lambda i: F.struct(F.xxhash64("root", F.lit(turn * HUBS + i)), F.xxhash64("entry", F.lit(turn * HUBS + i)))
+    orders = [draw(i) for i in range(HUBS)]
+    if not turn:
+        orders[:2] = F.struct(-F.col("degree"), F.col("entry")), F.struct(F.col("entry"))
     hubs = members.groupBy("bucket").agg(
-        *[F.min_by(F.struct("entry", "root", "sketch"), draw(i)).alias(f"hub{i}") for i in range(HUBS)]
+        *[F.min_by(F.struct("entry", "root", "sketch"), order).alias(f"hub{i}") for i, order in enumerate(orders)]
     )
     pairs = map_arrow(members.join(hubs, "bucket").drop("bucket"), _best_hub(HUBS, least), "a long, b long, equal int")
     return pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
@@ -262,7 +269,8 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
     hundredths = math.ceil(similarity * 100 - 1e-9)
     short = 2 * groups * rows
     keys = table_keys(entries, groups)
-    sketches = entries.select("entry", "sketch")
+    degrees = keys.groupBy("entry").agg(F.count("*").alias("degree"))
+    sketches = settle(entries.select("entry", "sketch").join(degrees, "entry"))
     involved = keys.select(F.col("entry").alias("_row")).distinct()
     texts = signed.select("_row", "text").join(involved, "_row").select(F.col("_row").alias("entry"), "text")
     sets = settle(map_arrow(texts, _sets(words), "entry long, shingles array<long>"))
@@ -281,7 +289,7 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
     wide = sets.join(left.select("entry").distinct(), "entry", "left_semi")
     wide = settle(map_arrow(wide, _long_sketches(WIDE), "entry long, sketch binary"))
     more = settle(_confirmed(_all_pairs(left.join(wide, "entry"), short, similarity), sets, hundredths))
-    for frame in (keys, left, wide, sets):
+    for frame in (keys, left, wide, sets, sketches):
         discard(frame)
     return components(links.unionByName(more)) if more.head(1) else found
 
