@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import at, div, draw, spell_digits
 from opsframe.operators.numbering import number_rows
+from opsframe.sources.durable import folder_exists
 
 VALUES_PER_COLUMN = 255
 NUMBER_BOUND = 10_000_000_000
@@ -77,6 +78,22 @@ def month_rows(ids: DataFrame, month: int, written_at, seed: int = 1, alphabet:
     )
 
 
+def write_months(ids: DataFrame, months: Mapping[str, int], root: str, written_at, overwrite: bool = False, **options) -> list[str]:
+    """Write the monthly tables under ``root``; the names of those written.
+
+    Tables that are there are left alone, so a second run costs a look at the folders;
+    with ``overwrite`` they are built anew. A table counts as there when its write was
+    committed.
+    """
+    spark, written = ids.sparkSession, []
+    for name, month in months.items():
+        path = f"{root}/{name}"
+        if overwrite or not folder_exists(spark, f"{path}/_SUCCESS"):
+            month_rows(ids, month, written_at, **options).write.mode("overwrite").parquet(path)
+            written.append(name)
+    return written
+
+
 def double_rows(df: DataFrame, written_at, renumber: bool = False) -> DataFrame:
     """The table plus a copy of every row with a new id and change time.
 

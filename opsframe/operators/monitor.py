@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.arrays import let
 from opsframe.functions.scalars import job_id
 
 STATEMENT_RECORD = 1000
@@ -223,6 +224,38 @@ def search_statements(statements: DataFrame, text: str, column: str = "statement
     return statements.where(F.upper(column).contains(text.upper()))
 
 
+def trigram_postings(statements: DataFrame, number: str = "statement_number", column: str = "statement_text", *keep: str) -> DataFrame:
+    """(trigram, number, and the columns of ``keep``): which statements hold which three characters.
+
+    Characters are in upper case, as ``search_statements`` compares them. Written by
+    capture date and sorted by trigram, a search reads its own trigrams only. Texts of
+    fewer than three characters and null have none.
+    """
+    text = F.upper(column)
+
+    def three(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - 3)
+        return F.transform(places, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+
+    rows = statements.select(number, *keep, F.when(F.length(text) >= 3, F.array_distinct(let(F.split(text, ""), three))).alias("_t"))
+    return rows.select(F.explode("_t").alias("trigram"), number, *keep)
+
+
+def search_indexed(
+    statements: DataFrame, postings: DataFrame, text: str, number: str = "statement_number", column: str = "statement_text"
+) -> DataFrame:
+    """``search_statements`` by way of ``trigram_postings``: only statements that hold every
+    trigram of ``text`` are read and compared. A text of fewer than three characters has
+    no trigram, and all statements are compared."""
+    wanted = text.upper()
+    needed = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
+    if not needed:
+        return search_statements(statements, text, column)
+    hits = postings.where(F.col("trigram").isin(needed)).groupBy(number).agg(F.count_distinct("trigram").alias("_n"))
+    numbers = hits.where(F.col("_n") == len(needed)).select(number)
+    return search_statements(statements.join(numbers, number, "left_semi"), text, column)
+
+
 def snapshot_counts(statements: DataFrame, rollup: DataFrame) -> DataFrame:
     """How many statement records there are, and how many plans they roll up to."""
     counted = [

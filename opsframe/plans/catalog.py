@@ -27,7 +27,7 @@ from opsframe.operators import (
 from opsframe.operators.collections import active_collections, active_collections_at
 from opsframe.plans.bindings import derived
 from opsframe.sources import archive, members
-from opsframe.sources.durable import scratch_folder
+from opsframe.sources.durable import scratch_folder, settle
 from opsframe.sources.tables import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,21 @@ def bound_member_scan(spark, folder):
     return members.member_scan(samples, samples.agg(F.max(members.MEMBER_COLUMN)))
 
 
+@query
+def bound_samples_one_plan(spark, folder):
+    """Two sample tables, kept by member, each bound to a member of its own in one plan."""
+    samples, root = derived(spark, folder, "samples"), scratch_folder(spark, "samples")
+    tables = {}
+    for name in ("QAPMSMJMI", "QAPMSMSYS"):
+        samples.write.partitionBy(members.MEMBER_COLUMN).parquet(f"{root}/{name}")
+        tables[name] = spark.read.schema(samples.schema).parquet(f"{root}/{name}")
+    ids = samples.agg(F.max(members.MEMBER_COLUMN).alias("QAPMSMJMI"), F.min(members.MEMBER_COLUMN).alias("QAPMSMSYS"))
+    resolved = ids.unpivot([], ["QAPMSMJMI", "QAPMSMSYS"], "tbl", "mbr")
+    bound = members.bound_samples(resolved, tables)
+    parts = [df.select(F.lit(name).alias("tbl"), *samples.columns) for name, df in bound.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # Interval performance -------------------------------------------------------
 
 
@@ -253,6 +268,13 @@ def statement_search(spark, folder):
     return monitor.search_statements(documents, "the", "text").select("doc_id", "lang", "text")
 
 
+@query
+def statement_search_indexed(spark, folder):
+    documents = read_tables(spark, folder, "documents")["documents"]
+    postings = settle(monitor.trigram_postings(documents, "doc_id", "text").sortWithinPartitions("trigram"))
+    return monitor.search_indexed(documents, postings, "the", "doc_id", "text").select("doc_id", "lang", "text")
+
+
 # Statement texts ------------------------------------------------------------
 
 @query

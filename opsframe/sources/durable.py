@@ -83,3 +83,8 @@ def discard(df: DataFrame) -> None:
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if path.getName().startswith("settled-") and files.makeQualified(path.getParent()).equals(files.makeQualified(root)):
             files.delete(path, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,22 @@ def bind_members(resolved: DataFrame, read_table: Callable[[str], DataFrame], pr
     return names
 
 
+def bound_samples(
+    resolved: DataFrame, tables: Mapping[str, DataFrame], column: str = MEMBER_COLUMN
+) -> dict[str, DataFrame]:
+    """Each sample table reduced to its member in ``resolved`` (tbl, mbr), as plans.
+
+    A join instead of a look at the driver: nothing runs until the tables are used, and
+    a plan over several of them reads of each the partition its row names, which Spark
+    finds when it runs. The lookup has one row per sample table, so it is broadcast. A
+    table without a row has no rows.
+    """
+    return {
+        name: df.join(F.broadcast(resolved.where(F.col("tbl") == name).select(F.col("mbr").alias(column))), column, "left_semi")
+        for name, df in tables.items()
+    }
+
+
 def bind_active(
     spark: SparkSession,
     collections: DataFrame,

@@ -116,6 +116,17 @@ def test_discard_deletes_settled_files_only(spark, tmp_path):
     assert table.count() == 3
 
 
+def test_indexed_search_equals_the_scan(spark):
+    texts = ["select SYS", "selectsys", "", None, "sy", "Größe ÄÖ", "a\nb\tc", "aaaa", "👍👍x", "SELECT 1 FROM sysibm.t", "straße"]
+    day = spark.createDataFrame(list(enumerate(texts)), "statement_number bigint, statement_text string")
+    postings = monitor.trigram_postings(day).cache()
+    for needle in ("sys", "S", "", "öß", "größe", "äö", "aaaaa", "aaa", "absent", "\nb\t", "👍👍x", "t s", "STRASSE", "raße"):
+        want = sorted(r.statement_number for r in monitor.search_statements(day, needle).collect())
+        got = sorted(r.statement_number for r in monitor.search_indexed(day, postings, needle).collect())
+        assert got == want, needle
+    postings.unpersist()
+
+
 def test_reasons(spark):
     rows = [(3006, "AB", None)] * 3 + [(3006, "A1", None), (1000, "AB", "AB"), (1000, None, "B1"), (1000, None, None)]
     df = spark.createDataFrame(rows, "qqrid bigint, qqrcod string, qvc24 string")

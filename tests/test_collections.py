@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe.operators.collections import active_collections, active_collections_at
-from opsframe.sources.members import bind_active, bind_members, member_scan, partitioned_reader
+from opsframe.sources.members import bind_active, bind_members, bound_samples, member_scan, partitioned_reader
 from tests.plans import final_plan, planned
 
 DAY = "2024-01-10 "
@@ -126,3 +126,18 @@ def test_many_times_need_no_nested_loop(spark, day, table_members):
     assert {r.mbr for r in found.collect()} == {"Q2"}
     assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
     assert active_collections_at(day, table_members, times.limit(0)).count() == 0
+
+
+def test_several_tables_are_bound_in_one_plan(spark, day, table_members, tmp_path):
+    samples = spark.createDataFrame([("Q1", 1), ("Q2", 2), ("Q2", 3), ("Q3", 4)], "collection_id string, intnum bigint")
+    for table in ("QAPMSMJMI", "QAPMSMSYS", "QAPMSMPOL"):
+        samples.write.partitionBy("collection_id").parquet(str(tmp_path / table))
+    read = partitioned_reader(spark, str(tmp_path))
+    resolved = active_collections(day, table_members, DAY + "12:00:00")
+    bound = bound_samples(resolved, {t: read(t) for t in ("QAPMSMJMI", "QAPMSMSYS", "QAPMSMPOL")})
+    both = bound["QAPMSMJMI"].select("intnum").unionByName(bound["QAPMSMSYS"].select("intnum"))
+    assert sorted(r.intnum for r in both.collect()) == [2, 2, 3, 3]
+    assert bound["QAPMSMPOL"].count() == 0  # no row in the lookup
+    plan = final_plan(both)
+    assert plan.count("dynamicpruning") >= 2
+    assert "NestedLoop" not in plan

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from opsframe.operators import partitions
-from opsframe.operators.generators import double_rows, month_rows, row_ids, skewed_rows, tenant_schedule
+from opsframe.operators.generators import double_rows, month_rows, row_ids, skewed_rows, tenant_schedule, write_months
 from opsframe.operators.partitions import count_sweep, count_where, out_of_bounds, partition_view, sweep_params
 from tests.plans import planned
 
@@ -133,3 +133,13 @@ def test_summary_equals_the_scan_after_an_append(spark, tmp_path):
     small = partitions.CountSummary(spark, opened, "dtanbr", most_values=3)  # scans
     assert small.count(5) == scans(5) and summary.count(None) == 0
     assert summary.count_table(5, label="JANUARY").first().n == scans(5, label="JANUARY")
+
+
+def test_months_are_built_once_unless_asked(spark, tmp_path):
+    ids, months = row_ids(spark, 50), {"JANUARY": 1, "FEBRUARY": 2}
+    assert write_months(ids, months, str(tmp_path), "2024-01-01") == ["JANUARY", "FEBRUARY"]
+    assert write_months(ids, months | {"MARCH": 3}, str(tmp_path), "2024-01-02") == ["MARCH"]
+    stamps = lambda: {str(r.chgtsp)[:10] for r in spark.read.parquet(str(tmp_path / "JANUARY")).collect()}
+    assert stamps() == {"2024-01-01"}
+    assert write_months(ids, months, str(tmp_path), "2024-01-02", overwrite=True) == ["JANUARY", "FEBRUARY"]
+    assert stamps() == {"2024-01-02"} and spark.read.parquet(str(tmp_path / "JANUARY")).count() == 50
