@@ -3,8 +3,8 @@
 The terms are token ids, so document frequencies over all documents are one number
 per entry of the vocabulary: a table of bounded size that every task gets. Documents
 are put in the order of weighted minima over their terms, where a term is drawn in
-proportion to its idf squared, so that rare terms decide: two documents share a minimum
-about as often as they share such terms. The order is cut into shards, and each shard has
+proportion to its saturated frequency and its idf squared, so that telling terms decide:
+two documents share a minimum about as often as they share such terms. The order is cut into shards, and each shard has
 its own inverted index. A window starts with a seed document; the shard's index returns
 the unused neighbours by BM25, and they fill the window greedily. The one that does not
 fit is cut, and its rest is the seed of the next window, so only the last window of a
@@ -149,25 +149,32 @@ def _encoded(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def draws(idf: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
-    """n rows of a number for each term, whose minimum over a document falls on a term in
-    proportion to its idf squared: exponential variables divided by the weight."""
-    uniform = ((random_longs(n * len(idf), seed) >> np.uint64(11)).astype(float) + 0.5) / 2**53
-    weight = np.maximum(idf.astype(float), 1e-6) ** 2
-    return -np.log(uniform).reshape(n, len(idf)) / weight
+def draws(n_terms: int, n: int, seed: int = 5) -> np.ndarray:
+    """n rows of an exponential variable for each term. Divided by a term's weight in a document,
+    the minimum over the document falls on a term in proportion to its weight."""
+    uniform = ((random_longs(n * n_terms, seed) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+    return -np.log(uniform).reshape(n, n_terms)
 
 
-def _placed(kind: str, order: np.ndarray, end: int):
-    """Adds the terms of two minima, which bring documents with rare terms in common together."""
+def saturated(counts: np.ndarray, length: float, mean_length: float) -> np.ndarray:
+    """BM25's weight of a term that stands so often in a document, without its idf."""
+    return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
+
+
+def _placed(kind: str, idf: np.ndarray, mean_length: float, end: int):
+    """Adds the terms of two weighted minima, which bring documents with the same telling terms together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"doc_id": pa.int64(), "ids": pa.binary(), "near": pa.int64(), "next_near": pa.int64()}
+        order, weight = draws(len(idf), 2), np.maximum(idf.astype(float), 1e-6) ** 2
         for rows in batches:
             near: list[list[int]] = [[], []]
             for raw in rows.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), dtype=kind)[:-1]
-                for own, numbers in zip(near, order, strict=True):
-                    own.append(int(ids[numbers[ids].argmin()]) if len(ids) else end)
+                ids = np.frombuffer(raw.as_buffer(), dtype=kind)
+                terms, counts = np.unique(ids[:-1], return_counts=True)
+                own = weight[terms] * saturated(counts, len(ids), mean_length)
+                for found, numbers in zip(near, order, strict=True):
+                    found.append(int(terms[(numbers[terms] / own).argmin()]) if len(terms) else end)
             yield batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "near": near[0], "next_near": near[1]}, types)
 
     return run
@@ -204,10 +211,9 @@ class Shard:
         term, owner = np.concatenate(terms), np.concatenate(owners)
         count = np.concatenate(counts).astype(np.float64)
         length = np.array([len(ids) for ids in docs], dtype=np.float64)
-        norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         order = np.argsort(term, kind="stable")
         self._owners = owner[order]
-        self._weights = (idf[term] * count * (K1 + 1) / (count + norm[owner]))[order]
+        self._weights = (idf[term] * saturated(count, length[owner], mean_length))[order]
         vocabulary, starts = np.unique(term[order], return_index=True)
         self._bounds = np.append(starts, len(term))
         self._terms = [np.searchsorted(vocabulary, own) for own in terms]
@@ -325,8 +331,7 @@ def pack(
     idf = np.zeros(max([0, *found["term"]]) + 1, dtype=np.float32)
     idf[found["term"]] = np.log1p((size - found["n_docs"] + 0.5) / (found["n_docs"] + 0.5))
     mean = (tokens or 0) / max(size, 1)
-    order = draws(idf, 2)
-    placed = map_arrow(encoded.select("doc_id", "ids"), _placed(kind, order, end), "doc_id long, ids binary, near long, next_near long")
+    placed = map_arrow(encoded.select("doc_id", "ids"), _placed(kind, idf, mean, end), "doc_id long, ids binary, near long, next_near long")
     placed = placed.withColumn("tie", F.xxhash64("ids")).repartitionByRange("near", "next_near", "tie", "doc_id")
     placed = placed.sortWithinPartitions("near", "next_near", "tie", "doc_id").select("doc_id", "ids")
     return map_arrow(placed, _packed(kind, idf, mean, window, end, shard_docs, shard_tokens), _PIECES)
