@@ -12,11 +12,12 @@ part, so most documents never form a key. Equal sets are one entry from the star
 In a table's bucket every entry is compared with a few hubs, entries of it that are drawn
 by a hash; of those it agrees with by their minima, cut to bytes, the best one goes on.
 So an entry has one candidate a round, and a group of copies falls together in a round
-or two without its pairs being listed. Then, in buckets that still hold several
-components, all entries of different components are compared, in blocks of bounded
-size, first by the same bytes and then by a sketch five times as long. Pairs that could
-be links (five standard deviations allowed) go on, each once. All candidates are
-confirmed on full sets. No bucket is held by one task.
+or two without its pairs being listed. Then the entries of buckets that still hold
+several components meet by their groups of the first collection, in blocks of bounded
+size; those of different components that share a table are compared, each two once,
+first by the same bytes and then by a sketch ten times as long. Pairs that could be
+links (five standard deviations allowed) go on. All candidates are confirmed on full
+sets. No bucket is held by one task.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ GROUPS = 16
 MINIMA = 3
 HUBS = 3
 ROUNDS = 2
-WIDE = 512  # minima of the long sketch; it begins with those of the short one
-BLOCK = 1024  # entries of a bucket compared with as many others in a task
+WIDE = 1024  # minima of the long sketch; it begins with those of the short one
+BLOCK = 1024  # entries compared with as many others in a task
 _STEP = 4096  # shingles whose minima are computed at once
 _SEED = 23
 
@@ -181,17 +182,21 @@ def _hub_pairs(members: DataFrame, turn: int, least: int) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
 
 
-def _apart(short: int, least_short: int, least_long: int):
-    """Pairs of different components in each pair of blocks whose minima agree often enough."""
+def _apart(groups: int, short: int, least_short: int, least_long: int):
+    """Pairs of different components in each two blocks that share a table and whose minima
+    agree often enough. A pair is given by the first group of minima that it shares only."""
 
-    def pairs(rows: list[tuple[np.ndarray, ...]], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(rows: list[tuple[np.ndarray, ...]], key: int, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of a block with itself (``one``), or of two blocks."""
-        entries, roots, first, sketches = (np.concatenate(column) for column in zip(*rows, strict=True))
+        entries, roots, first, sketches, halves = (np.concatenate(column) for column in zip(*rows, strict=True))
+        slot = int(np.flatnonzero(halves[0, :groups] == key)[0])
         left = np.arange(len(entries)) if one else np.flatnonzero(first)
         right = left if one else np.flatnonzero(~first)
         for place, i in enumerate(left.tolist()):
             others = right[place + 1 :] if one else right
             others = others[roots[others] != roots[i]]
+            shared = halves[others] == halves[i]
+            others = others[(shared[:, :groups].argmax(axis=1) == slot) & shared[:, groups:].any(axis=1)]
             others = others[(sketches[others, :short] == sketches[i, :short]).sum(axis=1) >= least_short]
             others = others[(sketches[others] == sketches[i]).sum(axis=1) >= least_long]
             if len(others):
@@ -204,17 +209,18 @@ def _apart(short: int, least_short: int, least_long: int):
 
         def done() -> Iterator[pa.RecordBatch]:
             if waiting:
-                for a, b in pairs(waiting, task[1] == task[2]):
+                for a, b in pairs(waiting, task[0], task[1] == task[2]):
                     yield batch({"a": a, "b": b}, types)
 
         for rows in batches:
             if not rows.num_rows:
                 continue
-            keys = np.stack([rows.column(name).to_numpy() for name in ("bucket", "low", "high")], axis=1)
+            keys = np.stack([rows.column(name).to_numpy() for name in ("half", "low", "high")], axis=1)
             edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1), len(keys)]
+            halves = rows.column("halves").flatten().to_numpy().reshape(len(keys), -1)
             columns = (
                 rows.column("entry").to_numpy(), rows.column("root").to_numpy(),
-                rows.column("block").to_numpy() == keys[:, 1], _matrix(rows.column("sketch")),
+                rows.column("block").to_numpy() == keys[:, 1], _matrix(rows.column("sketch")), halves,
             )
             for start, end in zip(edges, edges[1:]):
                 if (own := tuple(keys[start].tolist())) != task:
@@ -226,20 +232,25 @@ def _apart(short: int, least_short: int, least_long: int):
     return run
 
 
-def _all_pairs(members: DataFrame, short: int, similarity: float) -> DataFrame:
-    """(a, b): all candidates of different components in the buckets, each once.
+def _all_pairs(members: DataFrame, groups: int, short: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs of entries (entry, root, sketch, halves) of different components that share
+    a table and may be links, each once.
 
-    A bucket is cut in blocks of about BLOCK entries, and each two blocks meet in a task
-    of their own, so an entry is sent as often as its bucket has blocks.
+    Entries meet by their groups of the first collection, of which each has few, and look
+    in the task whether they share one of the second. The entries of a group are cut in
+    blocks of about BLOCK, and each two blocks meet in a task of their own, so an entry is
+    sent as often as its group has blocks.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("_blocks")))
+    by_half = members.select("entry", "root", F.explode(F.slice("halves", 1, groups)).alias("half"))
+    sizes = by_half.groupBy("half").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    placed = by_half.join(sizes.where("_low <> _high").select("half", "_blocks"), "half")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
-    sent = placed.select("bucket", "entry", "root", "sketch", "block", other)
+    sent = placed.select("half", "entry", "block", other)
     sent = sent.select("*", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")).drop("_other")
-    sent = sent.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    sent = sent.join(members, "entry").repartition("half", "low", "high").sortWithinPartitions("half", "low", "high")
     limits = least_equal(short, similarity), least_equal(WIDE, similarity)
-    return map_arrow(sent, _apart(short, *limits), "a long, b long").distinct()
+    return map_arrow(sent, _apart(groups, short, *limits), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -286,9 +297,10 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
         if not more.head(1) and turn:
             break
     left = settle(_open_members(keys, found))
-    wide = sets.join(left.select("entry").distinct(), "entry", "left_semi")
-    wide = settle(map_arrow(wide, _long_sketches(WIDE), "entry long, sketch binary"))
-    more = settle(_confirmed(_all_pairs(left.join(wide, "entry"), short, similarity), sets, hundredths))
+    apart = left.select("entry", "root").distinct()
+    wide = map_arrow(sets.join(apart.select("entry"), "entry", "left_semi"), _long_sketches(WIDE), "entry long, sketch binary")
+    wide = settle(wide.join(apart, "entry").join(entries.select("entry", "halves"), "entry"))
+    more = settle(_confirmed(_all_pairs(wide, groups, short, similarity), sets, hundredths))
     for frame in (keys, left, wide, sets, sketches):
         discard(frame)
     return components(links.unionByName(more)) if more.head(1) else found
