@@ -123,9 +123,12 @@ def mix(
     repeated rows are documents of their own. A source's taken words miss its target
     by about half a block; of a document no word is taken more than ``most_repeats``
     times. The same rows give the same mix. An empty table gives an empty result.
+    Carried columns may have any name but those returned.
     """
+    own = {c: f"_carry{i}" for i, c in enumerate(carry)}
+    more = [F.col(c).alias(name) for c, name in own.items()]
     rows = numbered(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *[c for c in carry if c != "source"])
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *more)
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sources, weights, most_repeats).withColumn("_shards", F.ceil(F.col("source_size") / shard_words))
@@ -166,5 +169,5 @@ def mix(
         passes.cast("long").alias("passes"),
         F.when(partly, F.pmod(inside(F.col("_from")), size)).cast("long").alias("from_word"),
         F.when(partly, F.coalesce(F.nullif(inside(F.col("_to")), F.lit(0)), "size")).cast("long").alias("to_word"),
-        *carry,
+        *[F.col(name).alias(c) for c, name in own.items()],
     )
