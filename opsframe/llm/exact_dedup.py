@@ -72,14 +72,15 @@ def exact_groups(
     then the one with the smallest doc_id, where null comes last. Of repeated rows
     with one doc_id exactly one is kept, though all of them carry the keep_id. An
     empty table gives an empty result. Lengths do not matter: a text is digested
-    whole.
+    whole. Carried columns may have any name but those returned.
     """
+    own = {c: f"_carry{i}" for i, c in enumerate(carry)}
     text = F.coalesce("text", F.lit(""))
     plain = stripped(text)
     rows = numbered(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            *carry,
+            *[F.col(c).alias(name) for c, name in own.items()],
             F.length(text).alias("_points"),
             F.unhex(F.sha2(plain, 256)).alias("_sha"),
             F.length(plain).alias("_length"),
@@ -104,7 +105,7 @@ def exact_groups(
         F.col("_all").alias("group_size"),
         (F.col("_row") == F.col("_stays.row")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
-        *carry,
+        *[F.col(name).alias(c) for c, name in own.items()],
     )
 
 

@@ -63,6 +63,12 @@ def test_exact_groups_edges(spark):
     assert by_id[1].keep_id == 3 and by_id[1].group_size == 3 and by_id[6].kept and not by_id[None].kept
     assert {by_id[i].keep_id for i in (4, 5)} == {5} or {by_id[i].keep_id for i in (4, 5)} == {4}
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "777 as _run", "888L as _row", "9 as _length", "'s' as _sha", "1 as _best")
+    names = ("_run", "_row", "_length", "_sha", "_best")
+    for fan_in, size in ((2, 1), (8, 25_000)):
+        held = exact_dedup.exact_groups(clashing, *names, rows_per_run=size, fan_in=fan_in).collect()
+        assert all(tuple(r[n] for n in names) == (777, 888, 9, "s", 1) for r in held)
+        assert sorted((str(r.doc_id), r.group_size, r.kept) for r in held) == sorted((str(r.doc_id), r.group_size, r.kept) for r in out)
 
 
 def shingles(text, width=5):
