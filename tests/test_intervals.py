@@ -64,6 +64,14 @@ def test_histogram(spark):
     assert intervals.response_histogram(summary, hours=(17, 17)).first().intervals_with_irt == 1
 
 
+def test_histogram_of_large_counters(spark):
+    summary = intervals.interval_summary(*tables(spark, [(1, 1), (1, 2)], os={1: 3_000_000_000}))
+    rates = ("cpu_pct", "cpu_sql", "cpu_pct_inter", "cpu_pct_batch", "trans_rate_inter", "logical_io_batch", "spoolf_rate")
+    row = intervals.response_histogram(summary.withColumns({c: F.lit(5_118_500_000_000.125) for c in rates})).first()
+    assert (row.irt, row.max_irt) == (Decimal("3000000.00"), Decimal("6000000.0"))
+    assert {row[c] for c in rates} == {Decimal("5118500000000.13"), Decimal("5118500000000")}
+
+
 def test_ratio(spark):
     df = spark.createDataFrame(
         [(1, 3, 1, 0, 5), (2, 3, 1, 2, 5120), (3, 4, 1, 1, 1), (4, 3, 1, 512, 655)],
