@@ -128,6 +128,19 @@ def test_many_times_need_no_nested_loop(spark, day, table_members):
     assert active_collections_at(day, table_members, times.limit(0)).count() == 0
 
 
+def test_spans_over_bins_are_not_paired_with_times(spark):
+    stamp = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    spans = [(f"Q{i:03}", 30 * i, 30 * i + 40_000 + 7 * i) for i in range(200)]
+    days = collections(spark, *[("*CS", n, str(stamp(a)), str(stamp(b))) for n, a, b in spans])
+    members = spark.createDataFrame([("QMPGDATA", "QAPMSMJMI", n) for n, _, _ in spans], "system_table_schema string, system_table_name string, system_table_member string")
+    asked = [a + d for _, a, b in spans for a in (a, b) for d in (0, 0.5)]
+    times = spark.createDataFrame([(stamp(a),) for a in asked], "asked_at timestamp_ntz")
+    found = active_collections_at(days, members, times)
+    want = {stamp(t): max((n for n, a, b in spans if a < t <= b), default=None) for t in asked}
+    assert {r.asked_at: r.mbr for r in found.collect()} == {t: n for t, n in want.items() if n}
+    assert not [line for line in planned(found).splitlines() if "Join" in line and "_start" in line]
+
+
 def test_several_tables_are_bound_in_one_plan(spark, day, table_members, tmp_path):
     samples = spark.createDataFrame([("Q1", 1), ("Q2", 2), ("Q2", 3), ("Q3", 4)], "collection_id string, intnum bigint")
     for table in ("QAPMSMJMI", "QAPMSMSYS", "QAPMSMPOL"):
