@@ -158,3 +158,13 @@ def test_rename_table_is_complete():
     assert len(monitor.ROLLUP_KEYS) == 28 and len(monitor.ROLLUP_SUMS) + len(monitor.ROLLUP_MAXIMA) + 2 == 16
     used = {*monitor.ROLLUP_KEYS, *monitor.ROLLUP_SUMS, *monitor.ROLLUP_MAXIMA}
     assert used <= set(names)
+
+
+def test_captures_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = spark.range(40).selectExpr("id % 30 as statement_number", "id as other")
+    for before in ({"accepted": 30, "repeated": 10}, {"present": 40}):
+        judged = archive.judge_rows(rows, "2024-02-01", path, "statement_number")
+        assert "Broadcast" not in final_plan(judged)
+        told = archive.append_snapshot(rows, "2024-02-01", path)
+        assert {r.status: r["count"] for r in told.groupBy("status").count().collect()} == before
