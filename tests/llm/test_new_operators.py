@@ -172,6 +172,20 @@ def test_filter_audit_has_no_row_limit(spark):
     assert filter_audit.audit(docs, labels).count() == 3500 * 600  # 1.1 million prefixes
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_blocks_leave_nothing_out_of_the_count(spark, block):
+    turns = [(c, t, "assistant" if t % 3 else "user", "x" * (t + c)) for c in range(4) for t in range(1 + 5 * c)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r.formatted_chars for r in chat.read_back(chat.format_conversations(rows, block_turns=block)).collect()}
+    written = lambda said: sum(len(f"[INST]{r}[/INST]{t}</s>") for _, _, r, t in said)
+    want = {}
+    for conv, said in itertools.groupby(turns, lambda t: t[0]):
+        said = list(said)
+        closing = {i + 1 for i, t in enumerate(said) if t[2] == "assistant"} | {len(said)}
+        want[conv] = sum(written(said[:n]) for n in closing)
+    assert found == want
+
+
 def expected_chat(turns):
     out = {}
     key = lambda t: (t[0] is not None, t[0] or 0, t[1] is None, t[1] or 0, t[2] or "", t[3] or "")
