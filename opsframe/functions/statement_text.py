@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opsframe.functions.arrays import before_each, let, placed, sums_before
+from opsframe.functions.arrays import before_each, let, sums_before
 
 # A statement as strings, delimited names, comments and plain runs. A doubled
 # quote inside a string simply ends one token and starts the next.
 _TOKEN = r"""(?s)'[^']*'?|"[^"]*"?|--[^\n]*|/\*.*?(?:\*/|$)|[^'"/\-]+|."""
-_HIDES = r"""['"]|--|/\*"""
 
 _WORD = r"[\p{L}_$#@][\p{L}\p{N}_$#@]*+"
 _PART = rf'(?:{_WORD}|(?:"[^"]*+")++)'
@@ -26,12 +25,18 @@ _NAME = rf"{_NOT_A_TABLE}{_PART}(?:\s*+[./]\s*+{_PART})*+"
 _ENDS_LIST = (
     "where|group|having|order|fetch|for|union|except|intersect|minus|window|limit|offset|set|values|when|start|connect|with|optimize"
 )
-_CUT = rf"(?i)(?=[()]|(?<![\p{{L}}\p{{N}}_$#@.])(?:(?<!distinct\s{{1,9}})from|select|delete|{_ENDS_LIST}){_END})"
+_CLAUSE = rf"(?=[c-ilmosu-w]){_EDGE}(?:(?<!distinct\s{{1,9}})from|select|delete|{_ENDS_LIST}){_END}"
+# What stands between two cuts, taken word by word: only at the start of a word is anything looked for.
+_RUN = r"[\p{L}\p{N}_$#@.]++"
+_SEGMENT = rf"(?is)(?=.)(?:[()]|{_CLAUSE})?+(?:[^\p{{L}}\p{{N}}_$#@.()]++|(?!{_CLAUSE}){_RUN})*+"
 _FIRST = r"^(?:[()]|[\p{L}\p{N}_$#@]++)"
 # A bracket around joined tables: their list starts at the bracket.
 _JOINED = rf"(?i)^\(\s*+{_NAME}(?:\s+(?:as\s+)?{_PART})??\s+(?:cross|inner|left|right|full|natural|join){_END}"
 _LEAD = rf"(?i)(?:{_EDGE}(?:(?<!distinct\s{{1,9}})from|join|(?:insert|merge)\s+into|(?<!for\s{{1,9}})update|using){_END}\s*+|,\s*+)(?:(?:only|final\s+table){_END}\s*+)?+"
-_REFERENCE = rf"{_LEAD}(?:(?<=into\s{{1,9}}|update\s{{1,9}}){_NAME}|{_NAME}(?!\s*+\())"
+_REFERRED = rf"(?:(?<=into\s{{1,9}}|update\s{{1,9}}){_NAME}|{_NAME}(?!\s*+\())"
+# What leads to the next reference, word by word, and its name; at the end of the text no name.
+_NEXT = rf"(?is)((?:(?!(?=[fijmu,]){_LEAD}{_REFERRED})(?:{_RUN}|[^\p{{L}}\p{{N}}_$#@.,]++|,))*+(?:{_LEAD})?+)((?:{_REFERRED})?+)"
+_LED_BY_USING = rf"(?i){_EDGE}using{_END}\s*+(?:(?:only|final\s+table){_END}\s*+)?+\z"
 _CTE = rf"(?i){_EDGE}({_PART})\s*+(?:\([^()]*\)\s*+)?as\s*+(?:(?:not\s+)?materialized\s*+)?\("
 _HAS_CTE = rf"(?i){_EDGE}with{_END}"
 
@@ -58,7 +63,8 @@ def mask_text(text: Column) -> Column:
         return F.when(hidden, F.repeat(F.lit(" "), size)).when(closed, name).otherwise(t)
 
     # Most texts have nothing to hide.
-    return F.when(text.rlike(_HIDES), F.array_join(F.transform(tokens, blank), "")).otherwise(text)
+    hides = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"')) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*"))
+    return F.when(hides, F.array_join(F.transform(tokens, blank), "")).otherwise(text)
 
 
 # What a segment begins with; the numbers order nothing.
@@ -115,7 +121,7 @@ def _marked(masked: Column) -> Column:
     the depth; put in the order of depth, the segments of one bracket stand together,
     and what a segment means depends on the last events before it.
     """
-    segments = F.transform(F.split(masked, _CUT), lambda s: F.struct(_code(s).alias("code"), s.alias("text")))
+    segments = F.transform(F.regexp_extract_all(masked, F.lit(_SEGMENT), F.lit(0)), lambda s: F.struct(_code(s).alias("code"), s.alias("text")))
 
     def by_depth(found: Column) -> Column:
         steps = F.transform(found, lambda s: F.when(s["code"].isin(_OPEN, _OPEN_LIST), 1).when(s["code"] == _CLOSE, -1).otherwise(0).cast("long"))
@@ -152,35 +158,51 @@ def reference_array(masked: Column, text: Column | None = None) -> Column:
         plain = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
         return F.when(F.startswith(name, F.lit('"')), plain).otherwise(F.upper(name))
 
-    def of(start: Column, match: Column) -> Column:
-        lead = F.length(F.regexp_extract(match, rf"^{_LEAD}", 0))
-        qualified = F.substring(given, (start + lead + 1).cast("int"), (F.length(match) - lead).cast("int"))
+    # A word that is nowhere in a text need not be looked for by a pattern.
+    said = F.lower(masked)
+    has_using = F.contains(said, F.lit("using"))
+    merge = F.contains(said, F.lit("merge")) & F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
+
+    def found(marked: Column) -> Column:
+        lead, name = (F.regexp_extract_all(marked, F.lit(_NEXT), F.lit(k)) for k in (1, 2))
+        return let(F.arrays_zip(lead.alias("lead"), name.alias("name")), pieced)
+
+    def pieced(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda p: (F.length(p["lead"]) + F.length(p["name"])).cast("long"))
+        spans = F.zip_with(let(lengths, sums_before), pairs, of)
+        return F.transform(F.filter(spans, lambda s: s["size"] > 0), named)
+
+    def of(before: Column, pair: Column) -> Column:
         return F.struct(
-            F.regexp_extract_all(qualified, F.lit(_PART), F.lit(0)).alias("parts"),
-            F.lower(F.left(match, F.lit(5))).alias("lead"),
-            (start + lead + 1).alias("place"),
+            (before + F.length(pair["lead"]) + 1).cast("int").alias("place"),
+            F.length(pair["name"]).alias("size"),
+            (has_using & F.regexp_like(pair["lead"], F.lit(_LED_BY_USING))).alias("using"),
         )
 
-    def named(r: Column) -> Column:
+    def named(s: Column) -> Column:
+        parts = F.regexp_extract_all(F.substring(given, s["place"], s["size"]), F.lit(_PART), F.lit(0))
+        return let(F.struct(parts.alias("parts"), s["place"].alias("place"), s["using"].alias("using")), reference)
+
+    def reference(r: Column) -> Column:
         n = F.size(r["parts"])
         return F.struct(
             F.when(n > 1, part(F.get(r["parts"], n - 2))).alias("schema"),
             part(F.get(r["parts"], n - 1)).alias("name"),
             r["place"].alias("name_start_position"),
-            r["lead"].alias("lead"),
+            r["using"].alias("using"),
         )
 
-    found = F.transform(placed(let(masked, _marked), _REFERENCE, of), named)
     ctes = F.transform(F.regexp_extract_all(given, F.lit(_CTE), F.lit(1)), part)
-    merge = F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.contains(said, F.lit("with")) & masked.rlike(_HAS_CTE), ctes).otherwise(none)
 
-    def kept(references: Column, own: Column) -> Column:
-        table = lambda r: (r["schema"].isNotNull() | ~F.array_contains(own, r["name"])) & ((r["lead"] != "using") | merge)
-        return F.transform(F.filter(references, table), lambda r: r.dropFields("lead"))
+    def kept(references: Column) -> Column:
+        tables = F.filter(references, lambda r: ~r["using"] | merge)
+        tables = let(own, lambda names: F.filter(tables, lambda r: r["schema"].isNotNull() | ~F.array_contains(names, r["name"])))
+        return F.transform(tables, lambda r: r.dropFields("using"))
 
-    none = F.array().cast("array<string>")
-    own = F.when(masked.rlike(_HAS_CTE), ctes).otherwise(none)
-    return kept(found, own).cast(REFERENCE_TYPE)
+    # Each step is named once, so that it is computed once.
+    return let(let(let(masked, _marked), found), kept).cast(REFERENCE_TYPE)
 
 
 def remove_first(text: Column, schema: Column, separator: str = GUARDED_SEPARATOR, whole_word: bool = False) -> Column:

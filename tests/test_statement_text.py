@@ -249,3 +249,15 @@ def test_texts_are_not_shuffled_with_references(spark):
     narrow = job.table_references(df).drop("statement_text")
     plan = planned(job.strip_references(narrow, statements=df))
     assert "any_value" not in plan and "first(statement_text" not in plan
+
+
+def test_a_text_is_cut_once_and_read_word_by_word(spark):
+    words = "insert into a.b select extract(year from d), x from l1.t1 p, l2 / t2 join (c.d cross join e), f.g"
+    rows = spark.createDataFrame([(1, words), (2, "plain words " * 20_000), (3, "")], "statement_number long, statement_text string")
+    found = job.table_references(rows)
+    assert [(r.schema, r.name) for r in found.orderBy("seq").collect()] == [
+        ("A", "B"), ("L1", "T1"), ("L2", "T2"), ("C", "D"), (None, "E"), ("F", "G"),
+    ]
+    # The patterns that cut a text and that find its names: once, and once for each of two groups.
+    plan = planned(found)
+    assert (plan.count("minus|window"), plan.count("final\\s+table")) == (2, 5)
