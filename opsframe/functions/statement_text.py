@@ -36,6 +36,7 @@ _LEAD = rf"(?i)(?:{_EDGE}(?:(?<!distinct\s{{1,9}})from|join|(?:insert|merge)\s+i
 _REFERRED = rf"(?:(?<=into\s{{1,9}}|update\s{{1,9}}){_NAME}|{_NAME}(?!\s*+\())"
 # What leads to the next reference, word by word, and its name; at the end of the text no name.
 _NEXT = rf"(?is)((?:(?!(?=[fijmu,]){_LEAD}{_REFERRED})(?:{_RUN}|[^\p{{L}}\p{{N}}_$#@.,]++|,))*+(?:{_LEAD})?+)((?:{_REFERRED})?+)"
+_PARTS = "\u0000"
 _LED_BY_USING = rf"(?i){_EDGE}using{_END}\s*+(?:(?:only|final\s+table){_END}\s*+)?+\z"
 _CTE = rf"(?i){_EDGE}({_PART})\s*+(?:\([^()]*\)\s*+)?as\s*+(?:(?:not\s+)?materialized\s*+)?\("
 _HAS_CTE = rf"(?i){_EDGE}with{_END}"
@@ -128,18 +129,21 @@ def _marked(masked: Column) -> Column:
         depths = F.zip_with(let(steps, sums_before), steps, lambda b, s: b + s)
         numbered = F.transform(found, lambda s, i: F.struct(i.alias("i"), s["code"].alias("c")))
         ordered = F.sort_array(F.zip_with(depths, numbered, lambda d, s: F.struct(d.alias("d"), s["i"].alias("i"), s["c"].alias("c"))))
-        return let(ordered, lambda o: rejoined(found, o))
+        # Without brackets the order of depth is that of the text.
+        plain = let(F.transform(found, lambda s: s["code"]), lambda codes: F.zip_with(found, _in_list(codes), written))
+        brackets = F.contains(masked, F.lit("(")) | F.contains(masked, F.lit(")"))
+        return F.array_join(F.when(brackets, let(ordered, lambda o: rewritten(found, o))).otherwise(plain), "")
 
-    def rejoined(found: Column, ordered: Column) -> Column:
+    def rewritten(found: Column, ordered: Column) -> Column:
         codes = F.transform(ordered, lambda o: o["c"])
         flags = F.zip_with(ordered, let(codes, _in_list), lambda o, f: F.struct(o["i"].alias("i"), f.alias("f")))
-        return F.array_join(F.zip_with(found, F.sort_array(flags), written), "")
+        return F.zip_with(found, F.transform(F.sort_array(flags), lambda x: x["f"]), written)
 
-    def written(segment: Column, flag: Column) -> Column:
+    def written(segment: Column, listing: Column) -> Column:
         text = segment["text"]
         quiet = F.translate(F.when(segment["code"] == _FROM, F.overlay(text, F.lit("...."), F.lit(1))).otherwise(text), ",", ";")
         listed = F.when(segment["code"] == _OPEN_LIST, F.overlay(text, F.lit(","), F.lit(1))).otherwise(text)
-        return F.when(flag["f"], listed).otherwise(quiet)
+        return F.when(listing, listed).otherwise(quiet)
 
     return let(segments, by_depth)
 
@@ -164,8 +168,14 @@ def reference_array(masked: Column, text: Column | None = None) -> Column:
     merge = F.contains(said, F.lit("merge")) & F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
 
     def found(marked: Column) -> Column:
-        lead, name = (F.regexp_extract_all(marked, F.lit(_NEXT), F.lit(k)) for k in (1, 2))
-        return let(F.arrays_zip(lead.alias("lead"), name.alias("name")), pieced)
+        # One pass of the pattern: the pieces, two for a match, are parted by a character that is not in the text.
+        parted = F.regexp_replace(F.translate(marked, _PARTS, "\u0001"), _NEXT, f"$1{_PARTS}$2{_PARTS}")
+        return let(F.split(parted, _PARTS), paired)
+
+    def paired(pieces: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 3, F.lit(0)), F.lit(2))
+        both = F.transform(pairs, lambda i: F.struct(F.get(pieces, i).alias("lead"), F.get(pieces, i + 1).alias("name")))
+        return F.when(pieces.isNotNull(), let(both, pieced))
 
     def pieced(pairs: Column) -> Column:
         lengths = F.transform(pairs, lambda p: (F.length(p["lead"]) + F.length(p["name"])).cast("long"))
