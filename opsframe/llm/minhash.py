@@ -9,8 +9,9 @@ i-th group of one with the j-th group of the other: 2 m h minima in the place of
 Keys are made only where they can match: a group that no other document has takes no
 part, so most documents never form a key. Equal sets are one entry from the start.
 
-In a table's bucket every entry is compared with a few hubs, entries of it that are drawn
-by a hash; of those it agrees with by their minima, cut to bytes, the best one goes on.
+In a table's bucket every entry meets a few hubs, entries of it that are drawn by a hash.
+An entry is compared with those of all its buckets' hubs that it shares most buckets with;
+of those it agrees with by their minima, cut to bytes, the best one goes on.
 So an entry has one candidate a round, and a group of copies falls together in a round
 or two without its pairs being listed. Then the entries of buckets that still hold
 several components meet by their groups of the first collection, in blocks of bounded
@@ -41,6 +42,7 @@ SIMILARITY = 0.75
 GROUPS = 16
 MINIMA = 3
 HUBS = 3
+MET = 4  # hubs that an entry is compared with in a round
 ROUNDS = 2
 WIDE = 1024  # minima of the long sketch; it begins with those of the short one
 BLOCK = 1024  # entries compared with as many others in a task
@@ -145,41 +147,59 @@ def _matrix(column: pa.Array) -> np.ndarray:
 _PAIR = {"a": pa.int64(), "b": pa.int64(), "equal": pa.int32()}
 
 
-def _best_hub(hubs: int, least: int):
-    """For each entry the hub of another component that it agrees with most."""
+def _agreeing(least: int):
+    """The pairs of an entry and a hub whose minima agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
                 continue
-            own, roots = _matrix(rows.column("sketch")), rows.column("root").to_numpy()
-            best, partner = np.zeros(len(own), dtype=np.int32), np.zeros(len(own), dtype=np.int64)
-            for i in range(hubs):
-                hub = rows.column(f"hub{i}")
-                equal = (own == _matrix(hub.field("sketch"))).sum(axis=1).astype(np.int32)
-                better = (hub.field("root").to_numpy() != roots) & (equal > best)
-                best[better], partner[better] = equal[better], hub.field("entry").to_numpy()[better]
-            found = np.flatnonzero(best >= least)
-            yield batch({"a": rows.column("entry").to_numpy()[found], "b": partner[found], "equal": best[found]}, _PAIR)
+            own, hub = _matrix(rows.column("sketch")), _matrix(rows.column("hub_sketch"))
+            equal = (own == hub).sum(axis=1).astype(np.int32)
+            found = np.flatnonzero(equal >= least)
+            a, b = (rows.column(name).to_numpy()[found] for name in ("entry", "hub"))
+            yield batch({"a": a, "b": b, "equal": equal[found]}, _PAIR)
 
     return run
 
 
-def _hub_pairs(members: DataFrame, turn: int, least: int) -> DataFrame:
-    """(a, b): for each entry at most one hub of another component, the best of all its buckets.
+def hub_candidates(members: DataFrame, degrees: DataFrame, turn: int) -> DataFrame:
+    """(entry, hub): for each entry up to MET hubs, of other components, of its buckets.
 
     In the first turn a bucket's hubs are its entry with the most buckets, which is the
     middle of a group of copies, the smallest one, and one that is drawn; then all are drawn.
+    Of all hubs of its buckets an entry is given the MET that it shares most buckets with.
     """
     draw = lambda i: F.struct(F.xxhash64("root", F.lit(turn * HUBS + i)), F.xxhash64("entry", F.lit(turn * HUBS + i)))
     orders = [draw(i) for i in range(HUBS)]
+    ranked = members
     if not turn:
         orders[:2] = F.struct(-F.col("degree"), F.col("entry")), F.struct(F.col("entry"))
-    hubs = members.groupBy("bucket").agg(
-        *[F.min_by(F.struct("entry", "root", "sketch"), order).alias(f"hub{i}") for i, order in enumerate(orders)]
+        ranked = members.join(degrees, "entry")
+    hubs = ranked.groupBy("bucket").agg(
+        F.array(*[F.min_by(F.struct("entry", "root"), order) for order in orders]).alias("_hubs")
     )
-    pairs = map_arrow(members.join(hubs, "bucket").drop("bucket"), _best_hub(HUBS, least), "a long, b long, equal int")
-    return pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
+    others = F.transform(F.filter("_hubs", lambda h: h["root"] != F.col("root")), lambda h: h["entry"])
+    met = members.join(hubs, "bucket").select("entry", F.array_distinct(others).alias("_hubs"))
+    # At most HUBS for each of an entry's buckets.
+    listed = met.groupBy("entry").agg(F.flatten(F.collect_list("_hubs")).alias("_hubs"))
+    times = lambda h: F.size(F.filter("_hubs", lambda x: x == h))
+    ranked = F.sort_array(F.transform(F.array_distinct("_hubs"), lambda h: F.struct((-times(h)).alias("n"), h.alias("hub"))))
+    return listed.select("entry", F.explode(F.slice(ranked, 1, MET)).alias("_hub")).select("entry", F.col("_hub.hub").alias("hub"))
+
+
+def _hub_pairs(members: DataFrame, sketches: DataFrame, turn: int, least: int) -> DataFrame:
+    """(a, b): for each entry at most one hub of another component, the best of its candidates."""
+    candidates = settle(hub_candidates(members, sketches.select("entry", "degree"), turn))
+    own = sketches.select("entry", "sketch")
+    times = candidates.groupBy("hub").agg(F.count("*").alias("_n"))
+    facts = settle(times.join(own.select(F.col("entry").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"))
+    both = weighted_lookup(candidates.join(own, "entry"), facts, ["hub"], "_n")
+    pairs = map_arrow(both, _agreeing(least), "a long, b long, equal int")
+    best = settle(pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b")))
+    for frame in (candidates, facts):
+        discard(frame)
+    return best
 
 
 def _apart(groups: int, short: int, least_short: int, least_long: int):
@@ -289,9 +309,10 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
     for turn in range(ROUNDS):
         members = settle(_open_members(keys, found) if found else keys.withColumn("root", F.col("entry")))
         # Links that this misses are found in the end.
-        pairs = _hub_pairs(members.join(sketches, "entry"), turn, least_equal(short, similarity, 1))
+        pairs = _hub_pairs(members, sketches, turn, least_equal(short, similarity, 1))
         more = settle(_confirmed(pairs, sets, hundredths))
-        discard(members)
+        for frame in (members, pairs):
+            discard(frame)
         links = links.unionByName(more) if links else more
         found = components(links)
         if not more.head(1) and turn:

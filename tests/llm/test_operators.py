@@ -182,3 +182,23 @@ def test_licenses_in_other_spelling(spark):
     assert sorted((r.doc_id, r.whole, r.licenses, r.n_parts) for r in out if r.licenses) == [(1, "MIT", "MIT", 1), (2, None, "MIT", 1)]
     assert len(out) == len(rows)
     assert licenses.license_scan(docs.limit(0), licenses.known_licenses(spark)).count() == 0
+
+
+def test_a_group_of_near_copies_gives_few_candidates_an_entry(spark, monkeypatch):
+    counted = []
+    whole = minhash.map_arrow
+
+    def counting(df, function, schema):
+        made = whole(df, function, schema)
+        if schema == "a long, b long, equal int":
+            counted.append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "map_arrow", counting)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], f"own{i}", *words[i + 1 :]]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = minhash.near_groups(docs).collect()
+    assert {row.component_id for row in found} == {0} and sum(row.kept for row in found) == 1
+    # A few hubs for each of 40 entries, however many buckets they share.
+    assert counted and max(counted) <= 4 * 40
