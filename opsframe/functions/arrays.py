@@ -28,10 +28,36 @@ def before_each(values: Column, combine: Callable[[Column, Column], Column]) ->
         return F.aggregate(some, state, step)["found"]
 
     zero = F.lit(0).cast("long")
-    places = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_CHUNK))
-    chunks = F.transform(places, lambda at: F.slice(values, at, F.lit(_CHUNK)))
     whole = lambda c: F.transform(c, lambda x: F.aggregate(x, zero, combine))
-    return let(chunks, lambda c: F.flatten(F.zip_with(c, running(whole(c), zero), running)))
+    chunked = let(_chunks(values), lambda c: F.flatten(F.zip_with(c, running(whole(c), zero), running)))
+    # Most arrays are one chunk.
+    return F.when(F.size(values) > _CHUNK, chunked).otherwise(running(values, zero))
+
+
+def _chunks(values: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_CHUNK))
+    return F.transform(places, lambda at: F.slice(values, at, F.lit(_CHUNK)))
+
+
+def states(values: Column, first: Column, step: Callable[[Column, Column], Column], field: str) -> Column:
+    """A field of the state, a struct, after each value of an array; ``values`` is named more than once.
+
+    Works in chunks as ``before_each`` does; the state goes from chunk to chunk.
+    """
+
+    def running(some: Column, state: Column, more: Callable[[Column, Column], Column], none: str) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(none).alias("found"))
+        return F.aggregate(some, begin, more)
+
+    def each(s: Column, v: Column) -> Column:
+        return let(step(s["state"], v), lambda now: F.struct(now.alias("state"), F.concat(s["found"], F.array(now[field])).alias("found")))
+
+    def chunk(s: Column, c: Column) -> Column:
+        made = running(c, s["state"], each, "array<boolean>")
+        return let(made, lambda m: F.struct(m["state"].alias("state"), F.concat(s["found"], F.array(m["found"])).alias("found")))
+
+    chunked = F.flatten(running(_chunks(values), first, chunk, "array<array<boolean>>")["found"])
+    return F.when(F.size(values) > _CHUNK, chunked).otherwise(running(values, first, each, "array<boolean>")["found"])
 
 
 def sums_before(lengths: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opsframe.functions.arrays import before_each, let, sums_before
+from opsframe.functions.arrays import let, states, sums_before
 
 # A statement as strings, delimited names, comments and plain runs. A doubled
 # quote inside a string simply ends one token and starts the next.
@@ -88,13 +88,6 @@ def _code(segment: Column) -> Column:
     return let(F.lower(F.regexp_extract(segment, _FIRST, 0)), kind)
 
 
-def _last_event(codes: Column, wanted: Column) -> Column:
-    """For each place the code of the last event before it, among those that ``wanted`` marks."""
-    events = F.zip_with(codes, wanted, lambda c, w: F.struct(c.alias("c"), w.alias("w")))
-    numbered = F.transform(events, lambda e, i: F.when(e["w"], (i + 1) * 8 + e["c"]).otherwise(0).cast("long"))
-    return let(numbered, lambda n: F.transform(before_each(n, lambda a, b: F.greatest(a, b)), lambda x: (x % 8).cast("int")))
-
-
 def _in_list(codes: Column) -> Column:
     """For each segment of one bracket after the other whether commas part tables in it.
 
@@ -102,16 +95,14 @@ def _in_list(codes: Column) -> Column:
     bracket, and not another FROM: those of ``extract(year from x)`` and ``fetch from c``
     do not. A list ends with a word that begins another clause.
     """
-    flag = lambda *kinds: (lambda c: c.isin(*kinds))
-    valid = F.zip_with(codes, _last_event(codes, F.transform(codes, flag(_SELECT, _FROM, _OPEN, _OPEN_LIST))), lambda c, last: (c != _FROM) | (last == _SELECT))
-    events = F.zip_with(codes, valid, lambda c, ok: ok & c.isin(_SELECT, _FROM, _LIST_END, _OPEN, _OPEN_LIST))
+    opens = (_SELECT, _FROM, _OPEN, _OPEN_LIST)
 
-    def state(marked: Column) -> Column:
-        pairs = F.zip_with(codes, marked, lambda c, e: F.struct(c.alias("c"), e.alias("e")))
-        own = F.zip_with(pairs, _last_event(codes, marked), lambda p, last: F.when(p["e"], p["c"]).otherwise(last))
-        return F.transform(own, flag(_FROM, _OPEN_LIST))
+    def step(s: Column, c: Column) -> Column:
+        changes = ((c != _FROM) | (s["last"] == _SELECT)) & c.isin(*opens, _LIST_END)
+        listing = F.when(changes, c.isin(_FROM, _OPEN_LIST)).otherwise(s["listing"])
+        return F.struct(F.when(c.isin(*opens), c).otherwise(s["last"]).alias("last"), listing.alias("listing"))
 
-    return let(events, state)
+    return states(codes, F.struct(F.lit(_OTHER).alias("last"), F.lit(False).alias("listing")), step, "listing")
 
 
 def _marked(masked: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from opsframe.functions.arrays import states
 from opsframe.functions.statement_text import mask_text, remove_first, strip_chain
 from opsframe.operators import statements as job
 from tests.plans import planned
@@ -267,3 +268,21 @@ def test_a_text_holds_the_character_that_parts_pieces(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "statement_number long, statement_text string")
     found = job.table_references(rows).orderBy("statement_number", "seq").collect()
     assert [(r.statement_number, r.schema, r.name, r.name_start_position) for r in found] == [(0, None, "A", 15), (0, None, "B", 18), (0, "C", "D", 22)]
+
+
+def test_states_of_long_and_short_arrays(spark):
+    sizes = (0, 1, 64, 65, 300)
+    rows = [(n, [(i * 7 + n) % 5 for i in range(n)]) for n in sizes]
+    df = spark.createDataFrame(rows, "n int, codes array<int>")
+    first = F.struct(F.lit(0).alias("last"), F.lit(False).alias("up"))
+    step = lambda s, c: F.struct(c.alias("last"), F.when(c == 2, s["up"]).otherwise(c > s["last"]).alias("up"))
+    found = {r.n: r.up for r in df.select("n", states(F.col("codes"), first, step, "up").alias("up")).collect()}
+    for n, codes in rows:
+        last, up, want = 0, False, []
+        for c in codes:
+            last, up = c, up if c == 2 else c > last
+            want.append(up)
+        assert found[n] == want
+    # What a segment means is told by one walk over the kinds; the plan had two numberings of the events.
+    plan = planned(job.table_references(spark.createDataFrame([(1, "x")], "statement_number long, statement_text string")))
+    assert "greatest(lambda" not in plan
