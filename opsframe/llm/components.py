@@ -45,3 +45,12 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def more_joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found``, as ``components`` gives it, after more links: only the components' roots meet again."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = found.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return settle(moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(joined))

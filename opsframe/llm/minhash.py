@@ -16,9 +16,11 @@ So an entry has one candidate a round, and a group of copies falls together in a
 or two without its pairs being listed. Then the entries of buckets that still hold
 several components meet by their groups of the first collection, in blocks of bounded
 size; those of different components that share a table are compared, each two once,
-first by the same bytes and then by a sketch ten times as long. Pairs that could be
-links (five standard deviations allowed) go on. All candidates are confirmed on full
-sets. No bucket is held by one task.
+first by the same bytes, then by a sketch ten times as long and, if they could be
+links (five standard deviations allowed), on their full sets, which the block holds.
+A block gives the links that join its components, fewer than it has entries: texts
+that are nearly similar enough are compared there and listed nowhere. All candidates
+are confirmed on full sets. No bucket is held by one task.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import WordHasher, batch, map_arrow, mixed, numbered, random_longs, shingle_set, with_columns
-from opsframe.llm.components import components
+from opsframe.llm.components import components, more_joined
 from opsframe.operators.lookup import weighted_lookup
 from opsframe.sources.durable import discard, settle
 
@@ -46,6 +48,7 @@ MET = 4  # hubs that an entry is compared with in a round
 ROUNDS = 2
 WIDE = 1024  # minima of the long sketch; it begins with those of the short one
 BLOCK = 1024  # entries compared with as many others in a task
+BLOCK_SHINGLES = 2_000_000  # and so many shingles of theirs
 _STEP = 4096  # shingles whose minima are computed at once
 _SEED = 23
 
@@ -128,7 +131,7 @@ def _long_sketches(n: int):
         for rows in batches:
             sets = (np.array(found.as_py(), dtype=np.int64).view(np.uint64) for found in rows.column("shingles"))
             made = [_bytes(minima(found, functions)) for found in sets]
-            yield batch({"entry": rows.column("entry"), "sketch": made}, {"entry": pa.int64(), "sketch": pa.binary()})
+            yield with_columns(batch({"sketch": made}, {"sketch": pa.binary()}), rows, ("entry", "shingles"))
 
     return run
 
@@ -202,13 +205,25 @@ def _hub_pairs(members: DataFrame, sketches: DataFrame, turn: int, least: int) -
     return best
 
 
-def _apart(groups: int, short: int, least_short: int, least_long: int):
-    """Pairs of different components in each two blocks that share a table and whose minima
-    agree often enough. A pair is given by the first group of minima that it shares only."""
+def linked_with(own: np.ndarray, others: list[np.ndarray], least: int) -> np.ndarray:
+    """Which of some sets overlap with one by ``least`` hundredths of their union; sets are sorted, none is empty."""
+    every = np.concatenate(others)
+    sizes = np.array([len(other) for other in others])
+    hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both * 100 >= (len(own) + sizes - both) * least
 
-    def pairs(rows: list[tuple[np.ndarray, ...]], key: int, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _apart(groups: int, short: int, least_short: int, least_long: int, hundredths: int):
+    """The links that join components in each two blocks. A pair is looked at where it has
+    the first group of minima that it shares, if it shares a table, its components are not
+    joined yet and its minima agree often enough; links are confirmed on full sets."""
+
+    def pairs(rows: list[tuple], key: int, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of a block with itself (``one``), or of two blocks."""
-        entries, roots, first, sketches, halves = (np.concatenate(column) for column in zip(*rows, strict=True))
+        *columns, parts = zip(*rows, strict=True)
+        entries, roots, first, sketches, halves = (np.concatenate(column) for column in columns)
+        sets = [found for part in parts for found in part]
         slot = int(np.flatnonzero(halves[0, :groups] == key)[0])
         left = np.arange(len(entries)) if one else np.flatnonzero(first)
         right = left if one else np.flatnonzero(~first)
@@ -220,11 +235,16 @@ def _apart(groups: int, short: int, least_short: int, least_long: int):
             others = others[(sketches[others, :short] == sketches[i, :short]).sum(axis=1) >= least_short]
             others = others[(sketches[others] == sketches[i]).sum(axis=1) >= least_long]
             if len(others):
+                others = others[linked_with(sets[i], [sets[j] for j in others], hundredths)]
+            if len(others):
+                joined, one_each = np.unique(roots[others], return_index=True)
+                others = others[one_each]
+                roots[np.isin(roots, joined)] = roots[i]
                 yield np.minimum(entries[others], entries[i]), np.maximum(entries[others], entries[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"a": pa.int64(), "b": pa.int64()}
-        waiting: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple] = []
         task = None
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -238,9 +258,13 @@ def _apart(groups: int, short: int, least_short: int, least_long: int):
             keys = np.stack([rows.column(name).to_numpy() for name in ("half", "low", "high")], axis=1)
             edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1), len(keys)]
             halves = rows.column("halves").flatten().to_numpy().reshape(len(keys), -1)
+            sets = rows.column("shingles")
+            bounds = sets.offsets.to_numpy()
+            values = sets.values.to_numpy().view(np.uint64)
             columns = (
                 rows.column("entry").to_numpy(), rows.column("root").to_numpy(),
                 rows.column("block").to_numpy() == keys[:, 1], _matrix(rows.column("sketch")), halves,
+                [values[start:end] for start, end in zip(bounds, bounds[1:])],
             )
             for start, end in zip(edges, edges[1:]):
                 if (own := tuple(keys[start].tolist())) != task:
@@ -252,25 +276,26 @@ def _apart(groups: int, short: int, least_short: int, least_long: int):
     return run
 
 
-def _all_pairs(members: DataFrame, groups: int, short: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs of entries (entry, root, sketch, halves) of different components that share
-    a table and may be links, each once.
+def _block_links(members: DataFrame, groups: int, short: int, similarity: float, hundredths: int) -> DataFrame:
+    """(a, b): links between entries (entry, root, sketch, halves, shingles, size) of different components
+    that share a table, confirmed on full sets; of each two blocks those that join components.
 
     Entries meet by their groups of the first collection, of which each has few, and look
     in the task whether they share one of the second. The entries of a group are cut in
-    blocks of about BLOCK, and each two blocks meet in a task of their own, so an entry is
-    sent as often as its group has blocks.
+    blocks of about BLOCK, fewer where their sets are large, and each two blocks meet in a
+    task of their own, so an entry is sent as often as its group has blocks.
     """
-    by_half = members.select("entry", "root", F.explode(F.slice("halves", 1, groups)).alias("half"))
-    sizes = by_half.groupBy("half").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    by_half = members.select("entry", "root", "size", F.explode(F.slice("halves", 1, groups)).alias("half"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("_blocks")
+    sizes = by_half.groupBy("half").agg(blocks, F.min("root").alias("_low"), F.max("root").alias("_high"))
     placed = by_half.join(sizes.where("_low <> _high").select("half", "_blocks"), "half")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
     sent = placed.select("half", "entry", "block", other)
     sent = sent.select("*", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")).drop("_other")
-    sent = sent.join(members, "entry").repartition("half", "low", "high").sortWithinPartitions("half", "low", "high")
+    sent = sent.join(members.drop("size"), "entry").repartition("half", "low", "high").sortWithinPartitions("half", "low", "high")
     limits = least_equal(short, similarity), least_equal(WIDE, similarity)
-    return map_arrow(sent, _apart(groups, short, *limits), "a long, b long")
+    return map_arrow(sent, _apart(groups, short, *limits, hundredths), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -305,7 +330,7 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
     involved = keys.select(F.col("entry").alias("_row")).distinct()
     texts = signed.select("_row", "text").join(involved, "_row").select(F.col("_row").alias("entry"), "text")
     sets = settle(map_arrow(texts, _sets(words), "entry long, shingles array<long>"))
-    links = found = None
+    found = None
     for turn in range(ROUNDS):
         members = settle(_open_members(keys, found) if found else keys.withColumn("root", F.col("entry")))
         # Links that this misses are found in the end.
@@ -313,18 +338,20 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
         more = settle(_confirmed(pairs, sets, hundredths))
         for frame in (members, pairs):
             discard(frame)
-        links = links.unionByName(more) if links else more
-        found = components(links)
+        found = more_joined(found, more) if found else components(more)
         if not more.head(1) and turn:
             break
     left = settle(_open_members(keys, found))
     apart = left.select("entry", "root").distinct()
-    wide = map_arrow(sets.join(apart.select("entry"), "entry", "left_semi"), _long_sketches(WIDE), "entry long, sketch binary")
-    wide = settle(wide.join(apart, "entry").join(entries.select("entry", "halves"), "entry"))
-    more = settle(_confirmed(_all_pairs(wide, groups, short, similarity), sets, hundredths))
-    for frame in (keys, left, wide, sets, sketches):
+    open_sets = sets.join(apart.select("entry"), "entry", "left_semi")
+    wide = map_arrow(open_sets, _long_sketches(WIDE), "sketch binary, entry long, shingles array<long>")
+    wide = wide.join(apart, "entry").join(entries.select("entry", "halves"), "entry")
+    wide = settle(wide.withColumn("size", F.size("shingles")))
+    for frame in (keys, left, sets, sketches):
         discard(frame)
-    return components(links.unionByName(more)) if more.head(1) else found
+    more = settle(_block_links(wide, groups, short, similarity, hundredths))
+    discard(wide)
+    return more_joined(found, more) if more.head(1) else found
 
 
 def _grouped(docs: DataFrame, carry: tuple[str, ...], words: int, similarity: float, groups: int, rows: int) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 
-from opsframe.llm import ann, exact_dedup, licenses, minhash, mixing, queries, url_filter
+from opsframe.llm import ann, components, exact_dedup, licenses, minhash, mixing, queries, url_filter
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -202,3 +202,42 @@ def test_a_group_of_near_copies_gives_few_candidates_an_entry(spark, monkeypatch
     assert {row.component_id for row in found} == {0} and sum(row.kept for row in found) == 1
     # A few hubs for each of 40 entries, however many buckets they share.
     assert counted and max(counted) <= 4 * 40
+
+
+def test_texts_nearly_similar_enough_are_not_listed(spark, monkeypatch):
+    counted = []
+    whole = minhash.map_arrow
+
+    def counting(df, function, schema):
+        made = whole(df, function, schema)
+        if schema == "a long, b long":
+            counted.append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "map_arrow", counting)
+    rnd = random.Random(3)
+    family = [f"t{i}" for i in range(150)]
+    docs = [(i, edited(rnd, family, 5)) for i in range(80)]  # next to the threshold, on both sides
+    found = minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_components(docs)
+    assert {row.doc_id: row.component_id for row in found} == want and len(set(want.values())) > 10
+    # The last comparison gives links that join components, not all that might be links.
+    assert len(counted) == 1 and counted[0] < 4 * len(docs)
+
+
+@pytest.mark.parametrize("least", [50, 75, 100])
+def test_sets_are_compared_in_full(least):
+    rnd = random.Random(least)
+    sets = [np.unique(np.array([rnd.randrange(40) for _ in range(rnd.randint(1, 60))], dtype=np.uint64)) for _ in range(60)]
+    for own in sets:
+        want = [100 * len(set(own) & set(x)) >= least * len(set(own) | set(x)) for x in map(list, sets)]
+        assert minhash.linked_with(own, sets, least).tolist() == want
+
+
+def test_more_links_join_components(spark):
+    rnd = random.Random(8)
+    rows = [[(rnd.randrange(60), rnd.randrange(60)) for _ in range(n)] for n in (25, 12)]
+    first, more = (spark.createDataFrame(links, "a long, b long") for links in rows)
+    found = components.more_joined(components.components(first), more)
+    want = components.components(first.unionByName(more))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
