@@ -136,6 +136,17 @@ def test_in_row_jobs_need_no_exchange(spark):
     assert "Exchange" not in planned(statements.table_references(texts))
 
 
+def test_texts_of_one_row_group_are_dealt_to_many_tasks(spark):
+    texts = derived(spark, FOLDER, "statements")
+    assert texts.rdd.getNumPartitions() == 1
+    dealt = derived(spark, FOLDER, "statements", even=True)
+    assert dealt.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, texts.collect()))
+    # The keys move, not the texts made of them.
+    plan = planned(QUERIES["strip_all_in_row"](spark, FOLDER))
+    assert "o_totalprice" not in plan[plan.rindex("Exchange") :] and "NOTES" not in plan[plan.rindex("Exchange") :]
+
+
 def test_performance_list_scans_each_record_stream_once(spark, tmp_path):
     path = str(tmp_path / "monitor")
     derived(spark, FOLDER, "monitor").write.parquet(path)
