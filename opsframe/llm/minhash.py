@@ -131,7 +131,7 @@ def _long_sketches(n: int):
         for rows in batches:
             sets = (np.array(found.as_py(), dtype=np.int64).view(np.uint64) for found in rows.column("shingles"))
             made = [_bytes(minima(found, functions)) for found in sets]
-            yield with_columns(batch({"sketch": made}, {"sketch": pa.binary()}), rows, ("entry", "shingles"))
+            yield with_columns(batch({"sketch": made}, {"sketch": pa.binary()}), rows, ("entry", "shingles", "root", "halves"))
 
     return run
 
@@ -343,9 +343,8 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
             break
     left = settle(_open_members(keys, found))
     apart = left.select("entry", "root").distinct()
-    open_sets = sets.join(apart.select("entry"), "entry", "left_semi")
-    wide = map_arrow(open_sets, _long_sketches(WIDE), "sketch binary, entry long, shingles array<long>")
-    wide = wide.join(apart, "entry").join(entries.select("entry", "halves"), "entry")
+    open_sets = sets.join(apart.join(entries.select("entry", "halves"), "entry"), "entry").select("entry", "shingles", "root", "halves")
+    wide = map_arrow(open_sets, _long_sketches(WIDE), "sketch binary, entry long, shingles array<long>, root long, halves array<long>")
     wide = settle(wide.withColumn("size", F.size("shingles")))
     for frame in (keys, left, sets, sketches):
         discard(frame)
