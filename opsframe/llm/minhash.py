@@ -9,13 +9,14 @@ i-th group of one with the j-th group of the other: 2 m h minima in the place of
 Keys are made only where they can match: a group that no other document has takes no
 part, so most documents never form a key. Equal sets are one entry from the start.
 
-In a table's bucket every entry meets a few hubs, entries of it that are drawn by a hash.
+A round lists the buckets of a few diagonals of the m by m tables, other ones each time.
+In a bucket every entry meets a few hubs, entries of it that are drawn by a hash.
 An entry is compared with those of all its buckets' hubs that it shares most buckets with;
 of those it agrees with by their minima, cut to bytes, the best one goes on.
 So an entry has one candidate a round, and a group of copies falls together in a round
-or two without its pairs being listed. Then the entries of buckets that still hold
-several components meet by their groups of the first collection, in blocks of bounded
-size; those of different components that share a table are compared, each two once,
+or two without its pairs being listed. No round lists the keys of all tables. The entries
+that have groups of both collections with other components meet by those of the first, in
+blocks of bounded size; those of different components that share any table are compared, each two once,
 first by the same bytes, then by a sketch ten times as long and, if they could be
 links (five standard deviations allowed), on their full sets, which the block holds.
 A block gives the links that join its components, fewer than it has entries: texts
@@ -46,6 +47,7 @@ MINIMA = 3
 HUBS = 3
 MET = 4  # hubs that an entry is compared with in a round
 ROUNDS = 2
+DIAGONALS = 2  # of tables in a round
 WIDE = 1024  # minima of the long sketch; it begins with those of the short one
 BLOCK = 1024  # entries compared with as many others in a task
 BLOCK_SHINGLES = 2_000_000  # and so many shingles of theirs
@@ -106,23 +108,23 @@ def _sets(words: int):
     return run
 
 
-def table_keys(entries: DataFrame, groups: int) -> DataFrame:
-    """(bucket, entry) for every key that two entries or more share."""
+def live_halves(entries: DataFrame, groups: int) -> DataFrame:
+    """(entry, left, right): the groups of minima, with their slots, that other entries have too; of either collection some."""
     halves = entries.select("entry", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("_n")).where("_n > 1").select("half")
-    live = halves.join(shared, "half").groupBy("entry").agg(
-        F.collect_list(F.when(F.col("slot") < groups, F.col("half"))).alias("_left"),
-        F.collect_list(F.when(F.col("slot") >= groups, F.col("half"))).alias("_right"),
-    )  # at most ``groups`` on either side
-    keys = live.select("entry", F.explode("_left").alias("_a"), "_right")
-    keys = settle(keys.select("entry", F.explode("_right").alias("_b"), "_a").select(F.xxhash64("_a", "_b").alias("bucket"), "entry"))
-    # Of the buckets with the same entries one is enough.
-    same = F.bit_xor(F.xxhash64("entry")).alias("_one"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("_other")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n"), *same).where("_n > 1")
-    shared = shared.groupBy("_n", "_one", "_other").agg(F.min("bucket").alias("bucket")).select("bucket")
-    kept = settle(keys.join(shared, "bucket"))
-    discard(keys)
-    return kept
+    found = F.struct((F.col("slot") % groups).alias("slot"), "half")
+    return halves.join(shared, "half").groupBy("entry").agg(
+        F.collect_list(F.when(F.col("slot") < groups, found)).alias("left"),
+        F.collect_list(F.when(F.col("slot") >= groups, found)).alias("right"),
+    ).where((F.size("left") > 0) & (F.size("right") > 0))  # at most ``groups`` on either side
+
+
+def table_keys(live: DataFrame, groups: int, turn: int) -> DataFrame:
+    """(bucket, entry): the keys of the tables on a turn's diagonals. A table is a group of each collection."""
+    apart = [(turn * DIAGONALS + i) % groups for i in range(DIAGONALS)]
+    meets = F.filter("right", lambda r: F.pmod(r["slot"] - F.col("_a.slot"), F.lit(groups)).isin(apart))
+    keys = live.select("entry", F.explode("left").alias("_a"), "right").select("entry", "_a", F.explode(meets).alias("_b"))
+    return keys.select(F.xxhash64("_a.half", "_b.half").alias("bucket"), "entry")
 
 
 def _long_sketches(n: int):
@@ -166,7 +168,7 @@ def _agreeing(least: int):
     return run
 
 
-def hub_candidates(members: DataFrame, degrees: DataFrame, turn: int) -> DataFrame:
+def hub_candidates(members: DataFrame, turn: int) -> DataFrame:
     """(entry, hub): for each entry up to MET hubs, of other components, of its buckets.
 
     In the first turn a bucket's hubs are its entry with the most buckets, which is the
@@ -178,7 +180,7 @@ def hub_candidates(members: DataFrame, degrees: DataFrame, turn: int) -> DataFra
     ranked = members
     if not turn:
         orders[:2] = F.struct(-F.col("degree"), F.col("entry")), F.struct(F.col("entry"))
-        ranked = members.join(degrees, "entry")
+        ranked = members.join(members.groupBy("entry").agg(F.count("*").alias("degree")), "entry")
     hubs = ranked.groupBy("bucket").agg(
         F.array(*[F.min_by(F.struct("entry", "root"), order) for order in orders]).alias("_hubs")
     )
@@ -193,11 +195,10 @@ def hub_candidates(members: DataFrame, degrees: DataFrame, turn: int) -> DataFra
 
 def _hub_pairs(members: DataFrame, sketches: DataFrame, turn: int, least: int) -> DataFrame:
     """(a, b): for each entry at most one hub of another component, the best of its candidates."""
-    candidates = settle(hub_candidates(members, sketches.select("entry", "degree"), turn))
-    own = sketches.select("entry", "sketch")
+    candidates = settle(hub_candidates(members, turn))
     times = candidates.groupBy("hub").agg(F.count("*").alias("_n"))
-    facts = settle(times.join(own.select(F.col("entry").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"))
-    both = weighted_lookup(candidates.join(own, "entry"), facts, ["hub"], "_n")
+    facts = settle(times.join(sketches.select(F.col("entry").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"))
+    both = weighted_lookup(candidates.join(sketches, "entry"), facts, ["hub"], "_n")
     pairs = map_arrow(both, _agreeing(least), "a long, b long, equal int")
     best = settle(pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", F.col("_best.b").alias("b")))
     for frame in (candidates, facts):
@@ -313,26 +314,37 @@ def _with_roots(entries: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _open_members(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, entry, root) of the buckets that hold several components."""
-    rooted = _with_roots(keys, found)
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    return rooted.join(several.where("_low <> _high").select("bucket"), "bucket").select("bucket", "entry", "root")
+def _open_members(rooted: DataFrame) -> DataFrame:
+    """(bucket, entry, root) of the buckets that hold several components; of those with the same entries one."""
+    same = F.bit_xor(F.xxhash64("entry")).alias("_one"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("_other")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"), *same)
+    several = several.where("_low <> _high").groupBy("_n", "_one", "_other").agg(F.min("bucket").alias("bucket"))
+    return rooted.join(several.select("bucket"), "bucket").select("bucket", "entry", "root")
+
+
+def _apart_entries(live: DataFrame, found: DataFrame) -> DataFrame:
+    """(entry, root) of the entries that may share a table with another component: of either
+    collection they have a group that several components have."""
+    sides = [live.select("entry", F.lit(side).alias("side"), F.explode(f"{side}.half").alias("half")) for side in ("left", "right")]
+    rooted = _with_roots(sides[0].unionByName(sides[1]), found)
+    several = rooted.groupBy("half").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("half")
+    both = rooted.join(several, "half").groupBy("entry").agg(F.min("root").alias("root"), F.min("side").alias("_low"), F.max("side").alias("_high"))
+    return both.where("_low <> _high").select("entry", "root")
 
 
 def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float, groups: int, rows: int) -> DataFrame:
     """(node, root): the components of the entries' links."""
     hundredths = math.ceil(similarity * 100 - 1e-9)
     short = 2 * groups * rows
-    keys = table_keys(entries, groups)
-    degrees = keys.groupBy("entry").agg(F.count("*").alias("degree"))
-    sketches = settle(entries.select("entry", "sketch").join(degrees, "entry"))
-    involved = keys.select(F.col("entry").alias("_row")).distinct()
-    texts = signed.select("_row", "text").join(involved, "_row").select(F.col("_row").alias("entry"), "text")
+    live = settle(live_halves(entries, groups))
+    involved = live.select("entry")
+    sketches = settle(entries.select("entry", "sketch").join(involved, "entry"))
+    texts = signed.select("_row", "text").join(involved.withColumnRenamed("entry", "_row"), "_row").select(F.col("_row").alias("entry"), "text")
     sets = settle(map_arrow(texts, _sets(words), "entry long, shingles array<long>"))
     found = None
     for turn in range(ROUNDS):
-        members = settle(_open_members(keys, found) if found else keys.withColumn("root", F.col("entry")))
+        keys = table_keys(live, groups, turn)
+        members = settle(_open_members(_with_roots(keys, found) if found else keys.withColumn("root", F.col("entry"))))
         # Links that this misses are found in the end.
         pairs = _hub_pairs(members, sketches, turn, least_equal(short, similarity, 1))
         more = settle(_confirmed(pairs, sets, hundredths))
@@ -341,12 +353,11 @@ def _linked(entries: DataFrame, signed: DataFrame, words: int, similarity: float
         found = more_joined(found, more) if found else components(more)
         if not more.head(1) and turn:
             break
-    left = settle(_open_members(keys, found))
-    apart = left.select("entry", "root").distinct()
-    open_sets = sets.join(apart.join(entries.select("entry", "halves"), "entry"), "entry").select("entry", "shingles", "root", "halves")
+    left = _apart_entries(live, found)
+    open_sets = sets.join(left.join(entries.select("entry", "halves"), "entry"), "entry").select("entry", "shingles", "root", "halves")
     wide = map_arrow(open_sets, _long_sketches(WIDE), "sketch binary, entry long, shingles array<long>, root long, halves array<long>")
     wide = settle(wide.withColumn("size", F.size("shingles")))
-    for frame in (keys, left, sets, sketches):
+    for frame in (live, sets, sketches):
         discard(frame)
     more = settle(_block_links(wide, groups, short, similarity, hundredths))
     discard(wide)

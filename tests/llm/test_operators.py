@@ -204,6 +204,25 @@ def test_a_group_of_near_copies_gives_few_candidates_an_entry(spark, monkeypatch
     assert counted and max(counted) <= 4 * 40
 
 
+def test_near_groups_list_the_keys_of_a_few_tables_a_round(spark, monkeypatch):
+    counted = []
+    whole = minhash.settle
+
+    def counting(df):
+        made = whole(df)
+        if "bucket" in made.columns:
+            counted.append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "settle", counting)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(40)]
+    found = minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {row.component_id for row in found} == {0}
+    # The keys of all 256 tables that these entries share are several times as many.
+    assert counted and sum(counted) <= 40 * 2 * 2 * minhash.GROUPS
+
+
 def test_texts_nearly_similar_enough_are_not_listed(spark, monkeypatch):
     counted = []
     whole = minhash.map_arrow
