@@ -25,14 +25,14 @@ _NAME = rf"{_NOT_A_TABLE}{_PART}(?:\s*+[./]\s*+{_PART})*+"
 _ENDS_LIST = (
     "where|group|having|order|fetch|for|union|except|intersect|minus|window|limit|offset|set|values|when|start|connect|with|optimize"
 )
-_CLAUSE = rf"(?=[c-ilmosu-w]){_EDGE}(?:(?<!distinct\s{{1,9}})from|select|delete|{_ENDS_LIST}){_END}"
+_CLAUSE = rf"(?=[c-ilmosu-w]){_EDGE}(?:from(?<!distinct\s{{1,9}}from)|select|delete|{_ENDS_LIST}){_END}"
 # What stands between two cuts, taken word by word: only at the start of a word is anything looked for.
 _RUN = r"[\p{L}\p{N}_$#@.]++"
 _SEGMENT = rf"(?is)(?=.)(?:[()]|{_CLAUSE})?+(?:[^\p{{L}}\p{{N}}_$#@.()]++|(?!{_CLAUSE}){_RUN})*+"
 _FIRST = r"^(?:[()]|[\p{L}\p{N}_$#@]++)"
 # A bracket around joined tables: their list starts at the bracket.
 _JOINED = rf"(?i)^\(\s*+{_NAME}(?:\s+(?:as\s+)?{_PART})??\s+(?:cross|inner|left|right|full|natural|join){_END}"
-_LEAD = rf"(?i)(?:{_EDGE}(?:(?<!distinct\s{{1,9}})from|join|(?:insert|merge)\s+into|(?<!for\s{{1,9}})update|using){_END}\s*+|,\s*+)(?:(?:only|final\s+table){_END}\s*+)?+"
+_LEAD = rf"(?i)(?:{_EDGE}(?:from(?<!distinct\s{{1,9}}from)|join|(?:insert|merge)\s+into|update(?<!for\s{{1,9}}update)|using){_END}\s*+|,\s*+)(?:(?:only|final\s+table){_END}\s*+)?+"
 _REFERRED = rf"(?:(?<=into\s{{1,9}}|update\s{{1,9}}){_NAME}|{_NAME}(?!\s*+\())"
 # What leads to the next reference, word by word, and its name; at the end of the text no name.
 _NEXT = rf"(?is)((?:(?!(?=[fijmu,]){_LEAD}{_REFERRED})(?:{_RUN}|[^\p{{L}}\p{{N}}_$#@.,]++|,))*+(?:{_LEAD})?+)((?:{_REFERRED})?+)"
@@ -105,81 +105,82 @@ def _in_list(codes: Column) -> Column:
     return states(codes, F.struct(F.lit(_OTHER).alias("last"), F.lit(False).alias("listing")), step, "listing")
 
 
-def _marked(masked: Column) -> Column:
+def segment_array(masked: Column) -> Column:
+    """The masked text cut at brackets and clause words, each piece with its kind."""
+    return F.transform(F.regexp_extract_all(masked, F.lit(_SEGMENT), F.lit(0)), lambda s: F.struct(_code(s).alias("code"), s.alias("text")))
+
+
+def marked_text(masked: Column, found: Column) -> Column:
     """The masked text with the commas that part no tables, and the FROMs that begin no
-    list, replaced by others of their length.
+    list, replaced by others of their length; ``found`` are its segments.
 
-    The text is cut at brackets and clause words. A running sum over the brackets is
-    the depth; put in the order of depth, the segments of one bracket stand together,
-    and what a segment means depends on the last events before it.
+    A running sum over the brackets is the depth; put in the order of depth, the segments
+    of one bracket stand together, and what a segment means depends on the last events
+    before it.
     """
-    segments = F.transform(F.regexp_extract_all(masked, F.lit(_SEGMENT), F.lit(0)), lambda s: F.struct(_code(s).alias("code"), s.alias("text")))
 
-    def by_depth(found: Column) -> Column:
+    def by_depth() -> Column:
         steps = F.transform(found, lambda s: F.when(s["code"].isin(_OPEN, _OPEN_LIST), 1).when(s["code"] == _CLOSE, -1).otherwise(0).cast("long"))
         depths = F.zip_with(let(steps, sums_before), steps, lambda b, s: b + s)
         numbered = F.transform(found, lambda s, i: F.struct(i.alias("i"), s["code"].alias("c")))
-        ordered = F.sort_array(F.zip_with(depths, numbered, lambda d, s: F.struct(d.alias("d"), s["i"].alias("i"), s["c"].alias("c"))))
-        # Without brackets the order of depth is that of the text.
-        plain = let(F.transform(found, lambda s: s["code"]), lambda codes: F.zip_with(found, _in_list(codes), written))
-        brackets = F.contains(masked, F.lit("(")) | F.contains(masked, F.lit(")"))
-        return F.array_join(F.when(brackets, let(ordered, lambda o: rewritten(found, o))).otherwise(plain), "")
+        return F.sort_array(F.zip_with(depths, numbered, lambda d, s: F.struct(d.alias("d"), s["i"].alias("i"), s["c"].alias("c"))))
 
-    def rewritten(found: Column, ordered: Column) -> Column:
+    def rewritten(ordered: Column) -> Column:
         codes = F.transform(ordered, lambda o: o["c"])
         flags = F.zip_with(ordered, let(codes, _in_list), lambda o, f: F.struct(o["i"].alias("i"), f.alias("f")))
         return F.zip_with(found, F.transform(F.sort_array(flags), lambda x: x["f"]), written)
 
     def written(segment: Column, listing: Column) -> Column:
         text = segment["text"]
-        quiet = F.translate(F.when(segment["code"] == _FROM, F.overlay(text, F.lit("...."), F.lit(1))).otherwise(text), ",", ";")
+        quiet = F.replace(F.when(segment["code"] == _FROM, F.overlay(text, F.lit("...."), F.lit(1))).otherwise(text), F.lit(","), F.lit(";"))
         listed = F.when(segment["code"] == _OPEN_LIST, F.overlay(text, F.lit(","), F.lit(1))).otherwise(text)
         return F.when(listing, listed).otherwise(quiet)
 
-    return let(segments, by_depth)
-
+    # Without brackets the order of depth is that of the text.
+    plain = let(found["code"], lambda codes: F.zip_with(found, _in_list(codes), written))
+    brackets = F.contains(masked, F.lit("(")) | F.contains(masked, F.lit(")"))
+    return F.array_join(F.when(brackets, let(by_depth(), rewritten)).otherwise(plain), "")
 
-def reference_array(masked: Column, text: Column | None = None) -> Column:
-    """Table references of a masked text in text order.
 
-    Names come from ``text`` (the masked one if it is not given): ordinary identifiers
-    are folded to upper case, delimited ones are taken as they are; the schema is the
-    part before the name and null when absent; positions are 1-based and point at the
-    qualified name. Names of common table expressions are no tables and are left out.
-    """
-    given = masked if text is None else text
+def reference_pieces(marked: Column) -> Column:
+    """The marked text in pieces, two for a reference: what leads to it, and its name."""
+    # One pass of the pattern: the pieces are parted by a character that is not in the text.
+    parted = F.regexp_replace(F.replace(marked, F.lit(_PARTS), F.lit("\u0001")), _NEXT, f"$1{_PARTS}$2{_PARTS}")
+    return F.split(parted, _PARTS)
 
-    def part(name: Column) -> Column:
-        plain = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
-        return F.when(F.startswith(name, F.lit('"')), plain).otherwise(F.upper(name))
 
+def piece_spans(masked: Column, pieces: Column) -> Column:
+    """Where the names of the pieces stand: place, size, and whether USING leads to them."""
     # A word that is nowhere in a text need not be looked for by a pattern.
-    said = F.lower(masked)
-    has_using = F.contains(said, F.lit("using"))
-    merge = F.contains(said, F.lit("merge")) & F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
+    has_using = F.contains(F.lower(masked), F.lit("using"))
 
-    def found(marked: Column) -> Column:
-        # One pass of the pattern: the pieces, two for a match, are parted by a character that is not in the text.
-        parted = F.regexp_replace(F.translate(marked, _PARTS, "\u0001"), _NEXT, f"$1{_PARTS}$2{_PARTS}")
-        return let(F.split(parted, _PARTS), paired)
-
-    def paired(pieces: Column) -> Column:
+    def paired() -> Column:
         pairs = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 3, F.lit(0)), F.lit(2))
         both = F.transform(pairs, lambda i: F.struct(F.get(pieces, i).alias("lead"), F.get(pieces, i + 1).alias("name")))
         return F.when(pieces.isNotNull(), let(both, pieced))
 
     def pieced(pairs: Column) -> Column:
         lengths = F.transform(pairs, lambda p: (F.length(p["lead"]) + F.length(p["name"])).cast("long"))
-        spans = F.zip_with(let(lengths, sums_before), pairs, of)
-        return F.transform(F.filter(spans, lambda s: s["size"] > 0), named)
+        led = lambda using: F.zip_with(let(lengths, sums_before), pairs, lambda before, pair: of(before, pair, using))
+        return F.filter(let(has_using, led), lambda s: s["size"] > 0)
 
-    def of(before: Column, pair: Column) -> Column:
+    def of(before: Column, pair: Column, using: Column) -> Column:
         return F.struct(
             (before + F.length(pair["lead"]) + 1).cast("int").alias("place"),
             F.length(pair["name"]).alias("size"),
-            (has_using & F.regexp_like(pair["lead"], F.lit(_LED_BY_USING))).alias("using"),
+            (using & F.regexp_like(pair["lead"], F.lit(_LED_BY_USING))).alias("using"),
         )
 
+    return paired()
+
+
+def span_references(masked: Column, given: Column, spans: Column) -> Column:
+    """The references at the spans, without names of common table expressions."""
+
+    def part(name: Column) -> Column:
+        plain = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(name, F.lit('"')), plain).otherwise(F.upper(name))
+
     def named(s: Column) -> Column:
         parts = F.regexp_extract_all(F.substring(given, s["place"], s["size"]), F.lit(_PART), F.lit(0))
         return let(F.struct(parts.alias("parts"), s["place"].alias("place"), s["using"].alias("using")), reference)
@@ -193,17 +194,29 @@ def reference_array(masked: Column, text: Column | None = None) -> Column:
             r["using"].alias("using"),
         )
 
+    said = F.lower(masked)
+    merge = F.contains(said, F.lit("merge")) & F.regexp_like(masked, F.lit(r"(?i)\bmerge\s+into\b"))
     ctes = F.transform(F.regexp_extract_all(given, F.lit(_CTE), F.lit(1)), part)
     none = F.array().cast("array<string>")
     own = F.when(F.contains(said, F.lit("with")) & masked.rlike(_HAS_CTE), ctes).otherwise(none)
+    tables = F.transform(F.filter(spans, lambda s: ~s["using"] | merge), named)
+    tables = let(own, lambda names: F.filter(tables, lambda r: r["schema"].isNotNull() | ~F.array_contains(names, r["name"])))
+    return F.transform(tables, lambda r: r.dropFields("using")).cast(REFERENCE_TYPE)
 
-    def kept(references: Column) -> Column:
-        tables = F.filter(references, lambda r: ~r["using"] | merge)
-        tables = let(own, lambda names: F.filter(tables, lambda r: r["schema"].isNotNull() | ~F.array_contains(names, r["name"])))
-        return F.transform(tables, lambda r: r.dropFields("using"))
 
+def reference_array(masked: Column, text: Column | None = None) -> Column:
+    """Table references of a masked text in text order.
+
+    Names come from ``text`` (the masked one if it is not given): ordinary identifiers
+    are folded to upper case, delimited ones are taken as they are; the schema is the
+    part before the name and null when absent; positions are 1-based and point at the
+    qualified name. Names of common table expressions are no tables and are left out.
+    """
+    given = masked if text is None else text
     # Each step is named once, so that it is computed once.
-    return let(let(let(masked, _marked), found), kept).cast(REFERENCE_TYPE)
+    marked = let(segment_array(masked), lambda found: marked_text(masked, found))
+    spans = let(let(marked, reference_pieces), lambda pieces: piece_spans(masked, pieces))
+    return let(spans, lambda found: span_references(masked, given, found)).cast(REFERENCE_TYPE)
 
 
 def remove_first(text: Column, schema: Column, separator: str = GUARDED_SEPARATOR, whole_word: bool = False) -> Column:

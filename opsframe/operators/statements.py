@@ -17,7 +17,11 @@ from opsframe.functions.statement_text import (
     GUARDED_SEPARATOR,
     SIMPLE_SEPARATOR,
     mask_text,
-    reference_array,
+    marked_text,
+    piece_spans,
+    reference_pieces,
+    segment_array,
+    span_references,
     strip_chain,
 )
 from opsframe.operators.lookup import weighted_lookup
@@ -44,8 +48,14 @@ def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_references(statements: DataFrame, name: str = "references") -> DataFrame:
     """Statements with an array of the table references in their text."""
-    masked = _computed_once(statements, "_masked", mask_text(F.col("statement_text")))
-    return _computed_once(masked, name, reference_array(F.col("_masked"), F.col("statement_text"))).drop("_masked")
+    masked, text = F.col("_masked"), F.col("statement_text")
+    # The steps of ``reference_array``, each a column: within one another they would be slower.
+    found = _computed_once(statements, "_masked", mask_text(text))
+    found = _computed_once(found, "_segments", segment_array(masked))
+    found = _computed_once(found, "_marked", marked_text(masked, F.col("_segments"))).drop("_segments")
+    found = _computed_once(found, "_pieces", reference_pieces(F.col("_marked"))).drop("_marked")
+    found = _computed_once(found, "_spans", piece_spans(masked, F.col("_pieces"))).drop("_pieces")
+    return _computed_once(found, name, span_references(masked, text, F.col("_spans"))).drop("_masked", "_spans")
 
 
 def table_references(statements: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from opsframe.functions.arrays import states
-from opsframe.functions.statement_text import mask_text, remove_first, strip_chain
+from opsframe.functions.statement_text import mask_text, reference_array, remove_first, strip_chain
 from opsframe.operators import statements as job
 from tests.plans import planned
 
@@ -286,3 +286,17 @@ def test_states_of_long_and_short_arrays(spark):
     # What a segment means is told by one walk over the kinds; the plan had two numberings of the events.
     plan = planned(job.table_references(spark.createDataFrame([(1, "x")], "statement_number long, statement_text string")))
     assert "greatest(lambda" not in plan
+
+
+def test_each_step_of_the_references_is_a_column_of_its_own(spark):
+    texts = [
+        "select a.x, b.y from LIB.ONE a, two b join q.three c on a.id = b.id where z in (1, 2), w",
+        "with k as (select 1 from base) select extract(year from d), 'x, from no' from k, (select * from in_b, l.c) t",
+        'select * from "a.b"."c", d -- , e', "merge into t1 using s/t2 on 1 = 1", "", None, "no table", "select 1\u0000, 2 from a, b",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "statement_number int, statement_text string")
+    found = job.with_references(rows)
+    whole = reference_array(mask_text(F.col("statement_text")), F.col("statement_text"))
+    assert all(r.references == r.whole for r in found.withColumn("whole", whole).collect())
+    # The mask, the segments, the marked text, its pieces, their spans and the references.
+    assert planned(found).count("Generate explode") >= 6
