@@ -186,6 +186,24 @@ def test_blocks_leave_nothing_out_of_the_count(spark, block):
     assert found == want
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_every_example_holds_all_turns_before_its_reply(spark, block):
+    turns = [(c, t, "assistant" if t % 3 else "user", f"{c}.{t}</s>" + "y" * t) for c in (0, 1, None) for t in range(2 + 5 * (c or 0))]
+    turns += [(7, t, "user", f"no reply {t}") for t in range(8)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = []
+    for conv, said in itertools.groupby(turns, lambda t: t[0]):
+        said = [(r, t.replace("</s>", "<\\/s>")) for _, _, r, t in said]
+        for n, (role, text) in enumerate(said, 1):
+            if role == "assistant" or n == len(said):
+                whole = "".join(f"[INST]{r}[/INST]{t}</s>" for r, t in said[:n])
+                want.append((conv, n, n - 1 if role == "assistant" else None, whole, text if role == "assistant" else None, n == len(said)))
+    examples = chat.format_conversations(rows, block_turns=block).collect()
+    loss = lambda r: None if r.target is None else r.text[r.loss_start : r.loss_end]
+    found = [(r.conv_id, r.n_turns, r.target, r.text, loss(r), r.closes) for r in examples]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def expected_chat(turns):
     out = {}
     key = lambda t: (t[0] is not None, t[0] or 0, t[1] is None, t[1] or 0, t[2] or "", t[3] or "")
