@@ -168,3 +168,38 @@ def test_captures_are_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in final_plan(judged)
         told = archive.append_snapshot(rows, "2024-02-01", path)
         assert {r.status: r["count"] for r in told.groupBy("status").count().collect()} == before
+
+
+def test_whole_rows_of_a_capture_stay_where_they_are(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id % 300 as statement_number", "md5(string(id)) as statement_text")
+    scratch = Path(durable.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(scratch.iterdir())
+    told = archive.append_snapshot(rows, "2024-02-01", str(tmp_path / "archive"))
+    # No copy of the rows is left but those of the archive and the refused ones.
+    assert not [f for folder in set(scratch.iterdir()) - before for f in folder.glob("*.parquet")]
+    assert {r.status: r["count"] for r in told.groupBy("status").count().collect()} == {"accepted": 300, "repeated": 100}
+    with durable.settings(spark, durable.IN_PLACE):
+        plan = final_plan(archive.judge_rows(rows, "2024-02-01", str(tmp_path / "archive"), "statement_number"))
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert "statement_text" in plan and "statement_text" not in plan[plan.index("Exchange") :]
+    assert not spark.catalog.listTables() and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_captures_in_many_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(durable, "CHUNK_BITS", 2)
+    path = str(tmp_path / "archive")
+    # One key has a third of the rows, one is null; some rows are the same.
+    rows = spark.range(0, 600, 1, 7).selectExpr("if(id % 3 = 0, 7, if(id % 11 = 0, null, id % 250)) as statement_number", "id % 400 as other", "null as empty")
+    rows = rows.withColumn("empty", F.col("empty").cast("string"))
+    keys = [r.statement_number for r in rows.collect()]
+    count = lambda df: {r.status: r["count"] for r in df.groupBy("status").count().collect()}
+    told = archive.append_snapshot(rows, "2024-02-01", path)
+    assert told.columns == [*rows.columns, "status"] and count(told) == {"accepted": len(set(keys)), "repeated": len(keys) - len(set(keys))}
+    assert told.drop("status").exceptAll(rows).count() == 0 and rows.exceptAll(told.drop("status")).count() == 0
+    least = rows.groupBy("statement_number").agg(F.min(F.xxhash64(*rows.columns)).alias("d"))
+    kept = told.where("status = 'accepted'").select("statement_number", F.xxhash64(*rows.columns).alias("d"))
+    assert kept.exceptAll(least).count() == 0
+    more = rows.unionByName(spark.range(1000, 1100).selectExpr("id as statement_number", "id as other", "'x' as empty"))
+    assert count(archive.append_snapshot(more, "2024-02-01", path)) == {"accepted": 100, "present": 600}
+    assert archive.read_archive(spark, path).count() == len(set(keys)) + 100
