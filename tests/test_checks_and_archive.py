@@ -186,8 +186,10 @@ def test_whole_rows_of_a_capture_stay_where_they_are(spark, tmp_path):
     assert not spark.catalog.listTables() and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
-def test_captures_in_many_chunks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("hashed", [0, 1_000_000])
+def test_captures_in_many_chunks(spark, tmp_path, monkeypatch, hashed):
     monkeypatch.setattr(durable, "CHUNK_BITS", 2)
+    monkeypatch.setattr(archive, "MOST_HASHED", hashed)
     path = str(tmp_path / "archive")
     # One key has a third of the rows, one is null; some rows are the same.
     rows = spark.range(0, 600, 1, 7).selectExpr("if(id % 3 = 0, 7, if(id % 11 = 0, null, id % 250)) as statement_number", "id % 400 as other", "null as empty")
